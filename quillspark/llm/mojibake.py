@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,9 +37,9 @@ WEAK = [
     ("cp1252", "gb18030"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("mac_roman", "cp1252"), ("cp850", "cp1252"),
 ]
 #: Characters that come from lost or undefined bytes only.
-LOST = re.compile("[\x80-\x9f�]|ï¿½")
+LOST = re.compile("[\x80-\x9f�]|ï¿½|锟斤拷|锟斤|斤拷")
 #: Log cost of beginning a damaged span, of going on in it, and of reading a lost byte.
-BEGIN, GO_ON, READ_LOST = 4.0, 0.1, 0.5
+BEGIN, GO_ON, READ_LOST = 6.0, 0.1, 0.5
 BEAM = 48
 
 
@@ -99,8 +100,43 @@ def edges(s: str, pairs: list[tuple[str, str]], starts: list[int] | None = None,
     return out
 
 
+def _sequences(wrong: str) -> re.Pattern:
+    """What the bytes of one character in UTF-8 look like in a single-byte encoding."""
+    def read(lo: int, hi: int) -> str:
+        chars = set()
+        for b in range(lo, hi + 1):
+            chars.add(bytes([b]).decode(wrong, "ignore") or chr(b))
+            if wrong == "cp1252":
+                chars.add(chr(b))
+        return "[" + "".join(map(re.escape, sorted(chars))) + "]"
+
+    more = read(0x80, 0xBF)
+    return re.compile(f"{read(0xC2, 0xDF)}{more}|{read(0xE0, 0xEF)}{more}{{2}}|{read(0xF0, 0xF4)}{more}{{3}}")
+
+
+SEQUENCES = {wrong: _sequences(wrong) for _, wrong in STRONG}
+
+
+def peeled(s: str, wrong: str) -> str:
+    """One layer of UTF-8 read in ``wrong`` undone wherever it can be."""
+    if wrong == "gb18030":
+        try:
+            return s.encode("gb18030").decode("utf-8")
+        except UnicodeError:
+            return s
+
+    def undo(m: re.Match) -> str:
+        try:
+            t = b"".join(byte_of(c, wrong) for c in m.group()).decode("utf-8")
+        except (UnicodeError, TypeError):
+            return m.group()
+        return t if t.isprintable() or t in "\xad" or "\x80" <= t <= "\x9f" or t.isspace() else m.group()
+
+    return SEQUENCES[wrong].sub(undo, s)
+
+
 def strongly_damaged(s: str) -> bool:
-    return not s.isascii() and (LOST.search(s) is not None or bool(edges(s, STRONG)))
+    return not s.isascii() and (LOST.search(s) is not None or any(p.search(s) for p in SEQUENCES.values()))
 
 
 _LATIN_RUN = re.compile("[\xa0-\xffŒ-Ÿ‘-™]{4,}")
@@ -113,7 +149,18 @@ def _rare(c: str) -> bool:
 
 def clean(s: str) -> bool:
     """Texts the corpus' frequencies are taken from: none that may be damaged."""
-    return s.isascii() or not (strongly_damaged(s) or _LATIN_RUN.search(s) or any(map(_rare, s)))
+    if s.isascii():
+        return True
+    han = sum("一" <= c <= "鿿" for c in s)
+    strayed = 0 < han < 0.3 * sum(map(str.isalpha, s))  # Han characters lost among other letters
+    return not (strayed or strongly_damaged(s) or _LATIN_RUN.search(s) or any(map(_rare, s)))
+
+
+def _fits(s: str, i: int, j: int, text: str) -> bool:
+    """A reading in another script than the letters it touches is none."""
+    near = (s[i - 1] if i else " ") + (s[j] if j < len(s) else " ")
+    ends = text[0] + text[-1]
+    return not any(n.isascii() and n.isalpha() and t.isalpha() and t > "\u02ff" for n, t in zip(near, ends))
 
 
 class Decoder:
@@ -126,7 +173,7 @@ class Decoder:
             b = c.encode("utf-8")
             for k in range(1, len(b)):
                 self.by_prefix[b[:k]].append(c)
-        self.narrow = sorted((c for c in alphabet if not "⺀" <= c <= "鿿"), key=lambda c: -lm.chars[c])
+        self.narrow = sorted((c for c in alphabet if not "⺀" <= c <= "鿿" and unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)), key=lambda c: -lm.chars[c])
 
     def lost(self, s: str, out: dict[int, list[tuple[int, str]]]) -> None:
         """Edges for lost bytes: a whole character lost, or the end of a character whose beginning is there."""
@@ -162,29 +209,46 @@ class Decoder:
                         if not "⺀" <= x <= "鿿":
                             out[i].append((i + 1, x))
 
-    def best(self, s: str) -> str:
+    def odd(self, s: str) -> set[int]:
+        """Places outside ASCII that the corpus makes unlikely."""
+        around, lm = "  " + s + " ", self.lm
+        out = set()
+        for i, c in enumerate(s):
+            if not c.isascii() and (c not in self.alphabet or lm.char(around[i + 1], c, around[i + 3]) < -5 or lm.char(around[i], around[i + 1], c) < -5):
+                out.add(i)
+        return out
+
+    def best(self, s: str, odd: set[int]) -> str:
         """The best path through the lattice of one layer."""
         lm = self.lm
         out = edges(s, STRONG)
-        # places that the corpus makes unlikely, and those beside them, are open to every reading
-        around = " " + s + " "
-        odd = {i + d for i in range(len(s)) if not s[i].isascii() and (s[i] not in self.alphabet or min(lm.char(around[i], s[i], around[i + 2]), lm.char(around[max(0, i - 1)], around[i], s[i])) < -5) for d in (-1, 0, 1)}
-        starts = [i for i in sorted(odd) if 0 <= i < len(s) and not s[i].isascii() and s[i] != "�"]
-        for i, e in edges(s, WIDE + WEAK, starts, self.alphabet).items():
-            out[i] += e
-        if out or odd:
-            self.lost(s, out)
-            self.stripped(s, out)
+        # the unlikely places, and those beside them, are open to every reading
+        starts = [i for i in sorted({i + d for i in odd for d in (-1, 0, 1)}) if 0 <= i < len(s) and not s[i].isascii() and s[i] != "�"]
+        for i, e in edges(s, WIDE if out else WIDE + WEAK, starts, self.alphabet).items():
+            out[i] += [(j, t) for j, t in e if _fits(s, i, j, t)]
+        self.lost(s, out)
+        self.stripped(s, out)
+        out = {i: list(dict.fromkeys(e)) for i, e in out.items() if e}
         if not out:
             return s
+        # only the words with readings are searched; what stands before them is their context
+        lo, hi = min(out), max(j for e in out.values() for j, _ in e)
+        while lo > 0 and s[lo - 1].isalpha():
+            lo -= 1
+        hi = min(len(s), hi + 1)
+        while hi < len(s) and s[hi - 1].isalpha():
+            hi += 1
+        before, after, s = s[:lo], s[hi:], s[lo:hi]
+        out = {i - lo: [(j - lo, t) for j, t in e] for i, e in out.items()}
+        context = ("  " + before)[-2:]
         # state: (last two characters, word begun, in a damaged span); value: (score, score at the word's begin, text)
         layers: list[dict] = [{} for _ in range(len(s) + 1)]
-        layers[0][(" ", " ", "", False)] = (0.0, 0.0, "")
+        layers[0][(context[0], context[1], "", False)] = (0.0, 0.0, "")
         for i in range(len(s)):
-            states = sorted(layers[i].items(), key=lambda x: -x[1][0])[:BEAM]
+            states = sorted(layers[i].items(), key=lambda x: -x[1][0])[: BEAM if any(len(out.get(k, ())) > 8 for k in (i, i - 1)) else BEAM // 4]
             layers[i] = {}
             for (a, b, word, inside), (score, mark, text) in states:
-                for j, meant in [(i + 1, s[i]), *dict.fromkeys(out.get(i, ()))]:
+                for j, meant in [(i + 1, s[i]), *out.get(i, ())]:
                     same = j == i + 1 and meant == s[i]
                     x, y, w, m = a, b, word, mark
                     v = score
@@ -207,7 +271,7 @@ class Decoder:
                     if old is None or old[0] < v:
                         layers[j][key] = (v, m, text + meant)
         ends = [(self._word_end(v, m, w) if w else v, text) for (_, _, w, _), (v, m, text) in layers[-1].items()]
-        return max(ends)[1]
+        return before + max(ends)[1] + after
 
     def _word_end(self, score: float, mark: float, word: str) -> float:
         """A word's probability: mostly its corpus frequency, else its spelling."""
@@ -220,7 +284,16 @@ class Decoder:
 
     def restore(self, s: str, layers: int = 4) -> str:
         for _ in range(layers):
-            t = self.best(s)
+            odd = self.odd(s)
+            if not odd:
+                break
+            # A reading of the whole text that leaves nothing unlikely, or only another layer of damage, is the one path.
+            for wrong in [*SEQUENCES, "gb18030"]:
+                t = peeled(s, wrong)
+                if t != s and (not self.odd(t) or wrong != "gb18030" and SEQUENCES[wrong].search(t)):
+                    break
+            else:
+                t = self.best(s, odd)
             if t == s:
                 break
             s = t

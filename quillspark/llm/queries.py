@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import duplicates, setjoin
+from quillspark.llm import duplicates, encoding, mojibake, packing, setjoin
 
 _KEY = r"array_to_string(list_sort(regexp_extract_all(lower(upper(raw)), '[\p{L}\p{M}\p{N}]+')), ' ')"
 _ENTRIES = f"SELECT DISTINCT note_id, field, ref_id, {_KEY} AS k FROM refs WHERE raw IS NOT NULL"
@@ -22,8 +22,13 @@ def queries() -> dict:
     return {
         "p2_found": duplicates.p2_found,
         "p2_collapsed": duplicates.p2_collapsed,
+        "p3_found": mojibake.p3_found,
+        "p3_restored": mojibake.p3_restored,
         "p6_found": setjoin.p6_found,
         "p6_classes": setjoin.p6_classes,
+        "p7_ids": encoding.p7_ids,
+        "p8_packed": packing.p8_packed,
+        "p8_fill": packing.p8_fill,
     }
 
 
