@@ -27,8 +27,8 @@ from quillspark.tables import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The tokenizer's own way to split text before merging bytes (public, belongs to the vocabulary).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A chunk ends where the hash's low bits are zero: every 128 bytes on average.
-CUT_BITS = 7
+#: A chunk ends where these bits of the hash are zero: every 512 bytes on average.
+CUT_BITS = 9
 WINDOW = 32
 TABLE_BYTES = 96 << 20
 #: Places where a new piece starts whatever stands before or after: a blank after a word or a stop, or a stop after a word.

@@ -299,6 +299,9 @@ class Decoder:
             s = t
         return s
 
+    def damaged(self, s: str) -> bool:
+        return LOST.search(s) is not None or self.restore(s) != s
+
 
 def suspects(batches: Iterator[pd.DataFrame], lm) -> Iterator[pd.DataFrame]:
     decoder = Decoder(lm.value)
