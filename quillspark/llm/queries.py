@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import duplicates, encoding, mojibake, packing, setjoin
+from quillspark.llm import duplicates, encoding, lookalikes, mojibake, packing, scans, setjoin
 
 _KEY = r"array_to_string(list_sort(regexp_extract_all(lower(upper(raw)), '[\p{L}\p{M}\p{N}]+')), ' ')"
 _ENTRIES = f"SELECT DISTINCT note_id, field, ref_id, {_KEY} AS k FROM refs WHERE raw IS NOT NULL"
@@ -24,6 +24,10 @@ def queries() -> dict:
         "p2_collapsed": duplicates.p2_collapsed,
         "p3_found": mojibake.p3_found,
         "p3_restored": mojibake.p3_restored,
+        "p4_found": lookalikes.p4_found,
+        "p4_forms": lookalikes.p4_forms,
+        "p5_found": scans.p5_found,
+        "p5_paragraphs": scans.p5_paragraphs,
         "p6_found": setjoin.p6_found,
         "p6_classes": setjoin.p6_classes,
         "p7_ids": encoding.p7_ids,
