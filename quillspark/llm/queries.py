@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import duplicates, encoding, lookalikes, mojibake, packing, scans, setjoin
+from quillspark.llm import abuse, duplicates, encoding, lookalikes, mojibake, packing, scans, setjoin
 
 _KEY = r"array_to_string(list_sort(regexp_extract_all(lower(upper(raw)), '[\p{L}\p{M}\p{N}]+')), ' ')"
 _ENTRIES = f"SELECT DISTINCT note_id, field, ref_id, {_KEY} AS k FROM refs WHERE raw IS NOT NULL"
@@ -33,6 +33,9 @@ def queries() -> dict:
         "p7_ids": encoding.p7_ids,
         "p8_packed": packing.p8_packed,
         "p8_fill": packing.p8_fill,
+        "p9_found": abuse.p9_found,
+        "p9_scores": abuse.p9_scores,
+        "p9_rates": abuse.p9_rates,
     }
 
 
