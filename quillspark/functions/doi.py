@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 DOI_PATTERN = r"10\.\d{4,9}/[-A-Za-z0-9._;()/:]+"
 #: The full-width yen sign stands for the slash in file names.
 SLASH_STAND_IN = "￥"
-#: Characters deleted from text before a DOI is looked for: zero-width, bidi and separator characters.
-INVISIBLE = "​‌‍⁠﻿‎‏  "
+#: Characters deleted before a DOI is looked for: zero-width, soft hyphen, direction marks and separators.
+INVISIBLE = "​‌‍﻿­‎‏  "
+#: A blank after DOI punctuation and before a DOI character.
+SPLICE = r"(?<=[/\-._;():])\s(?=[-A-Za-z0-9._;()/:])"
+#: A blank after a DOI's dot or slash, before a part with a dot in it; and one before a part with a digit in it.
+GAP_BEFORE_PART = r"(?i)(10\.\d{4,9}/[-A-Za-z0-9._;()/:]+)([./])\s+([-A-Za-z0-9]{2,}\.[-A-Za-z0-9._;()/:]+)"
+GAP_BEFORE_DIGIT = r"(?i)(10\.\d{4,9}/[-A-Za-z0-9._;()/:]*?)[ \t]+(?=[-A-Za-z0-9._;()/:]*\d)([-A-Za-z0-9._;()/:]+)"
+#: What ends a DOI without belonging to it.
+IDENTIFIER_TAIL = r"(?i)\.?\(?(?:PMID|PMCID):?\s*\d+\)?\.?$"
+YEAR_OR_DOTS_TAIL = r"\(\d{4}\)\.?$|\.+$"
+TRAILING = "。,， \t\n;：:"
 #: Characters a file name must not hold.
 UNSAFE = '\\:*?"<>|'
-#: Punctuation dropped from the end of a canonical DOI.
-TRAILING = "。,， \t\n；;：:"
 #: Dashes written as a hyphen.
-DASHES = "‐‑‒–—"
+DASHES = "‐‑–—"
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -45,7 +52,7 @@ def plausible_dois(text: Column) -> Column:
 
 def is_safe_name(name: Column) -> Column:
     """True for a file name that is the safe form of a DOI; its complement is a "special" name."""
-    return name.rlike(rf"^10\.\d{{4,9}}{SLASH_STAND_IN}")
+    return name.rlike(rf"(?i)^10\.\d{{4,9}}{SLASH_STAND_IN}[-A-Za-z0-9._;()/:]+")
 
 
 def normalize_dashes(text: Column) -> Column:
@@ -53,44 +60,47 @@ def normalize_dashes(text: Column) -> Column:
 
 
 def smart_quotes(text: Column) -> Column:
-    """Typographic quotes become plain ones, the ellipsis three dots."""
-    return F.replace(F.translate(text, "‘’“”", "''\"\""), F.lit("…"), F.lit("..."))
+    """Typographic quotes and the two long dashes become plain ones, the ellipsis three dots."""
+    return F.replace(F.translate(text, "“”‘’–—", "\"\"''--"), F.lit("…"), F.lit("..."))
+
+
+def _closed(text: Column) -> Column:
+    text = F.regexp_replace(text, GAP_BEFORE_PART, "$1$2$3")
+    return F.regexp_replace(text, GAP_BEFORE_DIGIT, "$1$2")
 
 
 def repair_text(text: Column, rounds: int = 6) -> Column:
-    """Rejoin DOIs that white space or invisible characters have split.
+    """Rejoin DOIs that blanks or invisible characters have split.
 
-    Each round closes one more gap per DOI; text in which a DOI has more than ``rounds`` gaps keeps the rest
-    (see :func:`repair_unfinished`).
+    Each round closes a gap of every DOI; :func:`repair_unfinished` tells the texts that need more rounds.
     """
-    cleaned = F.translate(text, INVISIBLE, "")
-    spliced = F.regexp_replace(cleaned, r"(?i)(10\.\d{4,9}/[-A-Za-z0-9._;()/:]*[-._;()/:])\s(?=[A-Za-z0-9])", "$1")
+    text = F.regexp_replace(F.translate(text, INVISIBLE, ""), SPLICE, "")
     for _ in range(rounds):
-        spliced = F.regexp_replace(spliced, _GAP, "$1$2")
-    return spliced
-
-
-_GAP = r"(?i)(10\.)\s+(\d{4,9}/)|(?i)(?<=10\.\d{4,9})\s+(?=/)|(?i)(?<=10\.\d{4,9}/)\s+(?=[A-Za-z0-9])"
+        text = _closed(text)
+    return text
 
 
 def repair_unfinished(text: Column, rounds: int = 6) -> Column:
     """True where a further round of :func:`repair_text` would still change the text."""
     done = repair_text(text, rounds)
-    return F.regexp_replace(done, _GAP, "$1$2") != done
+    return _closed(done) != done
+
+
+def strip_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def canonical(raw: Column) -> Column:
-    """``struct(doi, safe)``: the DOI without appended URL, PMID tail, year tail and punctuation, and its file name."""
-    s = F.regexp_replace(raw, r"(?s)https?://.*$", "")
-    s = F.regexp_replace(s, r"(?is)[\s(\[]*PMC?ID:?.*$", "")
-    s = F.regexp_replace(s, r"(\(\d{4}\)|\.+)$", "")
-    s = F.rtrim(s, F.lit(TRAILING))
-    s = F.when(F.contains(s, F.lit("(")), s).otherwise(F.substring_index(s, ")", 1))
+    """``struct(doi, safe)``: the DOI without appended URL, identifier, year and punctuation, and its file name."""
+    s = F.regexp_replace(strip_blanks(raw), r"(?s)https?://.*$", "")
+    s = F.regexp_replace(F.regexp_replace(s, IDENTIFIER_TAIL, ""), YEAR_OR_DOTS_TAIL, "")
+    s = F.rtrim(strip_blanks(s), F.lit(TRAILING))
+    s = F.when(s.rlike("[（(]"), s).otherwise(F.regexp_replace(s, r"(?d)[)）].*", ""))
     safe = F.translate(F.replace(s, F.lit("/"), F.lit(SLASH_STAND_IN)), UNSAFE, "")
-    safe = F.regexp_replace(safe, rf"[{SLASH_STAND_IN}_\s]+", SLASH_STAND_IN)
+    safe = F.regexp_replace(safe, rf"(?U)[{SLASH_STAND_IN}_\s]+", SLASH_STAND_IN)
     safe = F.substring(F.btrim(safe, F.lit(f"{SLASH_STAND_IN}-_ ")), 1, 200)
     # an empty safe form gets a name that is the same in every run
-    safe = F.when(safe == "", F.concat(F.lit("doi-"), F.hex(F.xxhash64(s)))).otherwise(safe)
+    safe = F.when(safe == "", F.concat(F.lit("doi-"), F.lower(F.hex(F.crc32(s.cast("binary")))))).otherwise(safe)
     return F.struct(s.alias("doi"), safe.alias("safe"))
 
 
@@ -103,6 +113,6 @@ def key_of_entry(raw: Column) -> Column:
 
 
 def doi_from_doi_line(text: Column) -> Column:
-    """DOI of the first line that begins with ``doi:`` and holds one."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?i)^\s*doi\s*[:：]") & x.rlike(f"(?i){DOI_PATTERN}"))
-    return doi_first(F.get(lines, F.lit(0)))
+    """Canonical DOI of the first line that begins with ``doi:`` and holds one."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(r"(?i)^\s*doi:") & x.rlike(f"(?i){DOI_PATTERN}"))
+    return canonical(doi_first(F.get(lines, F.lit(0))))["doi"]

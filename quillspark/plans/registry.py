@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import orphans
-from quillspark.plans import pointer_sql
+from quillspark.operators import graph, linkage, orphans
+from quillspark.plans import graph_sql, linkage_sql, pointer_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": orphans.p1_found, "p1_report": orphans.p1_report}
+    return {"p1_found": orphans.p1_found, "p1_report": orphans.p1_report, **graph.QUERIES, **linkage.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(pointer_sql.SQL)
+    return {**pointer_sql.SQL, **graph_sql.SQL, **linkage_sql.SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,50 @@ def hot_keys(rows: DataFrame, key: str, total: int, most: int = 64, least: int =
     """
     limit = max(least, total // most)
     return rows.groupBy(key).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > limit).select(key)
+
+
+def lookup(rows: DataFrame, key: str, dim: DataFrame, most: int = 64) -> DataFrame:
+    """Left join of ``rows`` with ``dim`` (one row per ``key``), safe against keys that hold a large share of ``rows``.
+
+    The few hot keys meet their dimension row by broadcast (at most ``most`` rows); in the shuffle their rows, like those
+    with a null key, carry a key of their own, so that no task gets them all.
+    """
+    extra = [c for c in dim.columns if c != key]
+    hot = hot_keys(rows.filter(F.col(key).isNotNull()), key, rows.count(), most)
+    hot_dim = hot.join(dim, key, "left").select(F.col(key).alias("__key"), F.struct(*extra).alias("__hot"), F.lit(True).alias("__is_hot"))
+    marked = rows.join(F.broadcast(hot_dim), F.col(key) == F.col("__key"), "left")
+    spread = F.when(F.col("__is_hot") | F.col(key).isNull(), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key))
+    cold_dim = dim.select(F.col(key).alias("__join"), F.struct(*extra).alias("__cold"))
+    met = marked.withColumn("__join", spread).join(cold_dim, "__join", "left")
+    value = F.when(F.col("__is_hot"), F.col("__hot")).otherwise(F.col("__cold"))
+    return met.select(*rows.columns, *(value[c].alias(c) for c in extra))
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``rank`` (from 0) in the total order of ``order``, without bringing them all into one task: rows are
+    range-partitioned, numbered within their partition and shifted by the sizes of the partitions before."""
+    parts = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    within = Window.partitionBy("__part").orderBy(*order)
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row per partition
+    shift = sizes.withColumn("__shift", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    numbered = parts.withColumn("__rank", F.row_number().over(within) - 1)
+    return numbered.join(F.broadcast(shift), "__part").withColumn("rank", F.col("__rank") + F.col("__shift")).drop("__part", "__rank", "__shift")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes, each once (the earliest delivery)."""
+    return _once(table(spark, sf_dir, "notes"), "note_id")
+
+
+def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(table(spark, sf_dir, "frontmatter"), "note_id")
+
+
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(table(spark, sf_dir, "refs"), "ref_id")
+
+
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """Redelivered rows differ in ``received_at`` only, so any of them stands for the record."""
+    return rows.drop("received_at").dropDuplicates([key])
