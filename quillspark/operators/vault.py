@@ -1,0 +1,154 @@
+"""Plans for the files of a vault: what would be renamed, archived, moved or thrown away. No file is touched here; a plan is
+a DataFrame that a sink may carry out."""
+
+from __future__ import annotations
+
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import markdown as M
+from quillspark.functions import title as T
+from quillspark.functions import wikilink as W
+from quillspark.tables import frontmatter, notes, ranked, table
+
+BATCH = 45
+DONE = "完成_"
+TERMINAL = ("done", "failed")
+SPARED = (".obsidian", "TRASH", "trash")
+#: Dashes read as a hyphen when names are compared.
+NAME_DASHES = "–—"
+
+
+def unreferenced(inventory: DataFrame, texts: DataFrame) -> DataFrame:
+    """Names of ``inventory(name)`` that no text of ``texts(text)`` shows as a local image."""
+    shown = texts.filter(F.contains("text", F.lit("!["))).select(F.explode(M.local_images(F.col("text"))).alias("name")).distinct()
+    return inventory.select("name").distinct().join(shown, "name", "left_anti")
+
+
+def image_gc(spark, sf_dir: str) -> DataFrame:
+    """Images to be moved away: every document is held to own an image of its name, beside those that are shown."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    own = docs.select(F.concat(F.lit("doc-"), "doc_id", F.lit(".jpg")).alias("name"))
+    shown = docs.select(F.explode(M.local_images(F.col("text"))).alias("name"))
+    return unreferenced(own.unionByName(shown), docs).select("name", F.concat(F.lit("TRASH/"), "name").alias("to"))
+
+
+def image_use(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.explode(M.local_images(F.col("text"))).alias("name")).groupBy("name").agg(F.countDistinct("doc_id").alias("n_documents"))
+
+
+def _name_key(name):
+    return F.translate(name, NAME_DASHES, "-" * len(NAME_DASHES))
+
+
+def _resolved(links: DataFrame, stems: DataFrame) -> DataFrame:
+    """``links(note_id, field, page)`` with the note each leads to: by its exact name, else by the name with other dashes;
+    of several the first path."""
+    exact = stems.groupBy(F.col("stem").alias("page")).agg(F.min_by("note_id", "path_parts").alias("exact_id"))
+    loose = stems.groupBy(_name_key(F.col("stem")).alias("loose")).agg(F.min_by("note_id", "path_parts").alias("loose_id"))
+    found = links.join(exact, "page", "left").withColumn("loose", _name_key(F.col("page"))).join(loose, "loose", "left")
+    return found.select("note_id", "field", "page", F.coalesce("exact_id", "loose_id").alias("target_id"), F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("loose_id").isNotNull(), "dashes").otherwise("none").alias("how"))
+
+
+def note_links(spark, sf_dir: str) -> DataFrame:
+    fields = ("paper-translate", "paper-analyze", "figure-extractor")
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), W.page(F.col(f"`{f}`")).alias("page")) for f in fields))).alias("l")
+    links = frontmatter(spark, sf_dir).select("note_id", each).select("note_id", "l.field", "l.page").filter("page IS NOT NULL")
+    return _resolved(links, notes(spark, sf_dir).select("note_id", "stem", "path_parts"))
+
+
+def archive_plan(spark, sf_dir: str) -> DataFrame:
+    """Copies that archiving every clipping would make: the note itself and the notes it links to. What is not found is
+    reported, what is in the trash is not copied."""
+    n = notes(spark, sf_dir).select("note_id", "path", "trashed_at", F.get("path_parts", F.lit(0)).alias("top"))
+    own = n.filter("top = 'Clippings'").select("note_id", F.lit("note").alias("item"), F.col("note_id").alias("target_id"))
+    linked = note_links(spark, sf_dir).join(n.filter("top = 'Clippings'").select("note_id"), "note_id", "left_semi").select("note_id", F.col("field").alias("item"), "target_id")
+    targets = n.select(F.col("note_id").alias("target_id"), F.col("path").alias("source"), "trashed_at")
+    plan = own.unionByName(linked).join(targets, "target_id", "left")
+    status = F.when(F.col("source").isNull(), "not found").when(F.col("trashed_at").isNotNull(), "in trash").otherwise("copied")
+    return plan.select("note_id", "item", status.alias("status"), F.when(status == "copied", F.concat(F.lit("Archive/"), "source")).alias("path"))
+
+
+def trash_plan(spark, sf_dir: str, day: str = "20240630") -> DataFrame:
+    """Folders to be moved into the day's trash, with the notes in them; those of the program and of the trash are spared."""
+    top = F.get("path_parts", F.lit(0))
+    rows = notes(spark, sf_dir).filter((F.size("path_parts") > 1) & ~top.isin(*SPARED)).groupBy(top.alias("folder")).agg(F.count("*").alias("n_notes"))
+    return rows.select("folder", "n_notes", F.concat(F.lit(f"trash/{day}/"), "folder").alias("to"))
+
+
+def _pdfs(spark, sf_dir: str) -> DataFrame:
+    """A PDF for every note, in its folder; those of trashed notes have a sibling marked as done."""
+    n = notes(spark, sf_dir)
+    folder = F.array_join(F.slice("path_parts", F.lit(1), F.greatest(F.size("path_parts") - 1, F.lit(0))), "/")
+    own = n.select(folder.alias("dir"), F.concat("stem", F.lit(".pdf")).alias("name"))
+    done = n.filter("trashed_at IS NOT NULL").select(folder.alias("dir"), F.concat(F.lit(DONE), "stem", F.lit(".pdf")).alias("name"))
+    return own.unionByName(done)
+
+
+def done_filter(spark, sf_dir: str) -> DataFrame:
+    """PDFs to be processed, and those whose marked sibling is there, which go to the trash."""
+    pdfs = _pdfs(spark, sf_dir)
+    marked = pdfs.filter(F.col("name").startswith(DONE)).select("dir", F.expr(f"substring(name, {len(DONE) + 1})").alias("name"), F.lit(True).alias("done"))
+    rows = pdfs.filter(~F.contains("name", F.lit("完成"))).join(marked, ["dir", "name"], "left")
+    return rows.select("dir", "name", F.when(F.col("done"), "trash").otherwise("process").alias("action"))
+
+
+def batches(spark, sf_dir: str) -> DataFrame:
+    """Batches of 45 notes in the order of their paths, each with its histogram of states; a batch is over when none of its
+    notes is left in another state."""
+    n = notes(spark, sf_dir).select("note_id", "path", F.when(F.col("trashed_at").isNotNull(), "failed").when(F.col("body").isNull(), "waiting").otherwise("done").alias("state"))
+    rows = ranked(n, "path", "note_id").withColumn("batch", F.expr(f"rank div {BATCH}"))
+    return rows.groupBy("batch").agg(
+        F.count("*").alias("n"), F.count_if(F.col("state") == "done").alias("n_done"), F.count_if(F.col("state") == "failed").alias("n_failed"), F.min("path").alias("first_path")
+    ).withColumn("over", F.col("n_done") + F.col("n_failed") >= F.col("n"))
+
+
+def rename_plan(spark, sf_dir: str) -> DataFrame:
+    """New file names from titles; of equal names in a folder the first keeps it, the others get a number."""
+    n = notes(spark, sf_dir).select("note_id", "path", F.get("path_parts", F.lit(0)).alias("dir"))
+    rows = frontmatter(spark, sf_dir).filter("title IS NOT NULL").select("note_id", T.file_name(F.col("title")).alias("name")).filter("name <> ''").join(n, "note_id")
+    k = F.row_number().over(Window.partitionBy("dir", "name").orderBy("path", "note_id")) - 1
+    return rows.withColumn("k", k).select("note_id", "dir", F.when(F.col("k") == 0, F.concat("name", F.lit(".pdf"))).otherwise(F.concat("name", F.lit(" ("), F.col("k").cast("string"), F.lit(").pdf"))).alias("new_name"))
+
+
+def path_resolve(spark, sf_dir: str) -> DataFrame:
+    """Notes that given names lead to: as it stands, with ``.md``, without dots at the end, else any note that begins so,
+    the newest; the first of these that exists."""
+    asked = frontmatter(spark, sf_dir).select("note_id", W.page(F.col("`paper-analyze`")).alias("page")).filter("page IS NOT NULL AND page <> ''")
+    asked = asked.withColumn("page", F.concat("page", F.when(F.col("note_id") % 3 == 0, "...").when(F.col("note_id") % 3 == 1, ".md").otherwise("")))
+    stems = notes(spark, sf_dir).groupBy("stem").agg(F.max_by("note_id", F.struct("mtime", "note_id")).alias("found_id"))
+    forms = F.array(*(F.struct(F.lit(i).alias("priority"), x.alias("stem")) for i, x in enumerate((F.col("page"), F.regexp_replace("page", r"\.md$", ""), F.rtrim(F.col("page"), F.lit("."))))))
+    tried = asked.select("note_id", F.explode(forms).alias("f")).select("note_id", "f.priority", "f.stem")
+    return tried.join(stems, "stem").groupBy("note_id").agg(F.min_by("found_id", "priority").alias("found_id"), F.min("priority").alias("priority"))
+
+
+def newest_notes(spark, sf_dir: str) -> DataFrame:
+    """The note saved last in each folder."""
+    return notes(spark, sf_dir).groupBy(F.get("path_parts", F.lit(0)).alias("folder")).agg(F.max_by("note_id", F.struct("mtime", "note_id")).alias("note_id"), F.max("mtime").alias("mtime"))
+
+
+def claimed(candidates: DataFrame, most: int = 10) -> DataFrame:
+    """(folder, note_id, place, doi): each note of a folder, in order, claims its ``most`` newest citing DOIs that no note
+    before it has claimed.
+
+    ``candidates`` is (folder, ord, note_id, age, doi). What a note may claim depends on all notes before it in its folder,
+    so a folder is one group and its candidates must fit into one task; :func:`citedby_topn` is the form without claims,
+    for folders of any size.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        out = []
+        for (_, note), own in rows.sort_values(["ord", "note_id", "age", "doi"]).groupby(["ord", "note_id"], sort=True):
+            got = [d for d in dict.fromkeys(own["doi"]) if d not in taken][:most]
+            taken.update(got)
+            out += [(own["folder"].iloc[0], note, i + 1, d) for i, d in enumerate(got)]
+        return pd.DataFrame(out, columns=["folder", "note_id", "place", "doi"])
+
+    return candidates.groupBy("folder").applyInPandas(run, "folder string, note_id long, place int, doi string")
+
+
+QUERIES = {f.__name__: f for f in (image_gc, image_use, note_links, archive_plan, trash_plan, done_filter, batches, rename_plan, path_resolve, newest_notes)}

@@ -1,0 +1,46 @@
+"""SQL (DuckDB) of the vault plans."""
+
+from quillspark.plans.sql import META, NOTES
+
+_IMAGES = r"""i AS (SELECT DISTINCT doc_id, regexp_replace(l, '^.*/', '') AS name FROM (SELECT doc_id, replace(unnest(regexp_extract_all(text, '!\[[^\]]*\]\(([^)]+)\)', 1)), '\', '/') AS l FROM documents)
+    WHERE NOT regexp_matches(l, '^https?://') AND (contains(l, 'Vault/IMAGE') OR contains(l, '/images/') OR starts_with(l, 'images/')))"""
+_O = r"^[\s\p{Z}\x{200b}\x{feff}]+|[\s\p{Z}\x{200b}\x{feff}]+$"
+_S = lambda x: f"regexp_replace({x}, '{_O}', '', 'g')"
+
+
+def _page(c: str) -> str:
+    inner = _S(rf"regexp_extract({c}, '\[\[([^|#\]]*)', 1)")
+    leaf = _S(f"regexp_replace({inner}, '^.*/', '')")
+    return f"CASE WHEN contains({c}, '[[') THEN {_S(f'regexp_replace({leaf}, {chr(39)}\\.md${chr(39)}, {chr(39)}{chr(39)})')} END"
+
+
+_LINKS = f"""l AS (SELECT note_id, 'paper-translate' AS field, "paper-translate" AS v FROM m UNION ALL SELECT note_id, 'paper-analyze', "paper-analyze" FROM m UNION ALL SELECT note_id, 'figure-extractor', "figure-extractor" FROM m),
+p AS (SELECT note_id, field, {_page('v')} AS page FROM l),
+ex AS (SELECT stem AS page, arg_min(note_id, path_parts) AS exact_id FROM n GROUP BY 1),
+lo AS (SELECT translate(stem, '–—', '--') AS loose, arg_min(note_id, path_parts) AS loose_id FROM n GROUP BY 1),
+links AS (SELECT p.note_id, field, p.page, coalesce(exact_id, loose_id) AS target_id, CASE WHEN exact_id IS NOT NULL THEN 'exact' WHEN loose_id IS NOT NULL THEN 'dashes' ELSE 'none' END AS how
+  FROM p LEFT JOIN ex USING (page) LEFT JOIN lo ON lo.loose = translate(p.page, '–—', '--') WHERE p.page IS NOT NULL)"""
+_NAME = """substr_name AS (SELECT note_id, trim(regexp_replace(translate(replace(translate(title, '“”‘’–—', '""' || chr(39) || chr(39) || '--'), '…', '...'), '<>:"/\\|?*', ''), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{3000}\\x{85}]+', ' ', 'g'), ' ') AS s FROM m WHERE title IS NOT NULL)"""
+
+SQL = {
+    "image_gc": f"WITH {_IMAGES} SELECT 'doc-' || doc_id || '.jpg' AS name, 'TRASH/doc-' || doc_id || '.jpg' AS \"to\" FROM documents WHERE text IS NOT NULL AND 'doc-' || doc_id || '.jpg' NOT IN (SELECT name FROM i)",
+    "image_use": f"WITH {_IMAGES} SELECT name, count(DISTINCT doc_id) AS n_documents FROM i GROUP BY 1",
+    "note_links": f"WITH {NOTES}, {META}, {_LINKS} SELECT * FROM links",
+    "archive_plan": f"""WITH {NOTES}, {META}, {_LINKS}, a AS (SELECT note_id, 'note' AS item, note_id AS target_id FROM n WHERE path_parts[1] = 'Clippings'
+            UNION ALL SELECT note_id, field, target_id FROM links WHERE note_id IN (SELECT note_id FROM n WHERE path_parts[1] = 'Clippings'))
+        SELECT a.note_id, item, CASE WHEN t.path IS NULL THEN 'not found' WHEN t.trashed_at IS NOT NULL THEN 'in trash' ELSE 'copied' END AS status,
+               CASE WHEN t.path IS NOT NULL AND t.trashed_at IS NULL THEN 'Archive/' || t.path END AS path FROM a LEFT JOIN n t ON t.note_id = a.target_id""",
+    "trash_plan": f"WITH {NOTES} SELECT path_parts[1] AS folder, count(*) AS n_notes, 'trash/20240630/' || path_parts[1] AS \"to\" FROM n WHERE len(path_parts) > 1 AND path_parts[1] NOT IN ('.obsidian', 'TRASH', 'trash') GROUP BY path_parts[1]",
+    "done_filter": f"""WITH {NOTES} SELECT array_to_string(path_parts[1:len(path_parts) - 1], '/') AS dir, stem || '.pdf' AS name, CASE WHEN trashed_at IS NOT NULL THEN 'trash' ELSE 'process' END AS action FROM n WHERE NOT contains(stem, '完成')""",
+    "batches": f"""WITH {NOTES}, s AS (SELECT path, (row_number() OVER (ORDER BY path, note_id) - 1) // 45 AS batch, CASE WHEN trashed_at IS NOT NULL THEN 'failed' WHEN body IS NULL THEN 'waiting' ELSE 'done' END AS state FROM n)
+        SELECT batch, count(*) AS n, count(*) FILTER (WHERE state = 'done') AS n_done, count(*) FILTER (WHERE state = 'failed') AS n_failed, min(path) AS first_path, count(*) FILTER (WHERE state IN ('done', 'failed')) >= count(*) AS over
+        FROM s GROUP BY 1""",
+    "rename_plan": f"""WITH {NOTES}, {META}, {_NAME}, c AS (SELECT note_id, CASE WHEN length(s) <= 250 THEN s WHEN length(regexp_extract(substr(s, 1, 251), '^(.*) [^ ]*$', 1)) > 100 THEN regexp_extract(substr(s, 1, 251), '^(.*) [^ ]*$', 1) ELSE substr(s, 1, 250) END AS name FROM substr_name),
+        k AS (SELECT note_id, path_parts[1] AS dir, name, row_number() OVER (PARTITION BY path_parts[1], name ORDER BY path, note_id) - 1 AS k FROM c JOIN n USING (note_id) WHERE name <> '')
+        SELECT note_id, dir, CASE WHEN k = 0 THEN name || '.pdf' ELSE name || ' (' || k || ').pdf' END AS new_name FROM k""",
+    "path_resolve": f"""WITH {NOTES}, {META}, a AS (SELECT note_id, {_page('"paper-analyze"')} AS page FROM m), b AS (SELECT note_id, page || CASE WHEN note_id % 3 = 0 THEN '...' WHEN note_id % 3 = 1 THEN '.md' ELSE '' END AS page FROM a WHERE page IS NOT NULL AND page <> ''),
+        t AS (SELECT note_id, 0 AS priority, page AS stem FROM b UNION ALL SELECT note_id, 1, regexp_replace(page, '\\.md$', '') FROM b UNION ALL SELECT note_id, 2, rtrim(page, '.') FROM b),
+        j AS (SELECT t.note_id, priority, n.note_id AS found_id FROM t JOIN n USING (stem))
+        SELECT note_id, arg_min(found_id, priority) AS found_id, min(priority) AS priority FROM j GROUP BY 1""",
+    "newest_notes": f"WITH {NOTES} SELECT path_parts[1] AS folder, arg_max(note_id, mtime) AS note_id, max(mtime) AS mtime FROM n GROUP BY 1",
+}
