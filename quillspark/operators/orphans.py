@@ -26,14 +26,14 @@ MAX_BITS = 1 << 26
 
 
 def bloom_filter(keys: DataFrame, key: str, n: int, bits_per_key: int = 10, max_bits: int = MAX_BITS) -> DataFrame:
-    """Bloom filter of the non-null ``keys``, as one row ``bits`` (binary). Built from one filter per partition."""
-    n = max(1, n)
-    hashed = keys.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
-    made = hashed._jdf.stat().bloomFilter("h", n, max(1024, min(max_bits, n * bits_per_key)))
+    """Bloom filter of the non-null ``keys`` (``n`` of them), as one row ``bits`` (binary). Built from one filter per partition."""
     spark = keys.sparkSession
-    out = spark._jvm.java.io.ByteArrayOutputStream()
-    if made is None:  # no key at all
+    hashed = keys.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    if n:
+        made = hashed._jdf.stat().bloomFilter("h", n, max(64, min(max_bits, n * bits_per_key)))
+    else:  # Spark builds none of nothing
         made = spark._jvm.org.apache.spark.util.sketch.BloomFilter.create(1, 64)
+    out = spark._jvm.java.io.ByteArrayOutputStream()
     made.writeTo(out)
     return spark.createDataFrame([(bytearray(out.toByteArray()),)], "bits binary")
 
