@@ -30,8 +30,9 @@ SALTS = 64
 
 def canonical_words(text: Column) -> Column:
     """The folded words of ``text``, sorted, each as often as it occurs."""
-    # upper and then lower case folds ß, final sigma and the like to one form
-    return F.array_sort(F.regexp_extract_all(F.lower(F.upper(text)), F.lit(f"({WORD})"), F.lit(1)))
+    # letters whose capital is that of another one, or two letters (the optimizer drops upper() within lower())
+    folded = F.replace(F.translate(F.lower(text), "ςſıẞ", "σsiß"), F.lit("ß"), F.lit("ss"))
+    return F.array_sort(F.regexp_extract_all(folded, F.lit(f"({WORD})"), F.lit(1)))
 
 
 def canonical_key(text: Column, *within: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillspark.llm import abuse, duplicates, encoding, lookalikes, mojibake, packing, scans, setjoin
 
-_KEY = r"array_to_string(list_sort(regexp_extract_all(lower(upper(raw)), '[\p{L}\p{M}\p{N}]+')), ' ')"
+_KEY = r"array_to_string(list_sort(regexp_extract_all(replace(translate(lower(raw), 'ςſıẞ', 'σsiß'), 'ß', 'ss'), '[\p{L}\p{M}\p{N}]+')), ' ')"
 _ENTRIES = f"SELECT DISTINCT note_id, field, ref_id, {_KEY} AS k FROM refs WHERE raw IS NOT NULL"
 _DOI = r"rtrim(regexp_extract(translate(lower(x), '￥', '/'), '10\.\d{4,9}/[-a-z0-9._;()/:]+'), '.;:/()')"
 _SETS = rf"""
