@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.language import Language, counted
+from quillspark.llm.language import WORD, Language, counted
 from quillspark.tables import table
 
 #: (true, wrong) encodings. UTF-8 read in a single-byte encoding leaves sequences that no language writes; the others need
@@ -135,6 +135,13 @@ def peeled(s: str, wrong: str) -> str:
     return SEQUENCES[wrong].sub(undo, s)
 
 
+def _covered(s: str, wrong: str) -> set[int]:
+    """Places within what is, or touches, another layer of the same damage."""
+    if wrong not in SEQUENCES:
+        return set()
+    return {i for m in SEQUENCES[wrong].finditer(s) for i in range(m.start() - 1, m.end() + 1)}
+
+
 def strongly_damaged(s: str) -> bool:
     return not s.isascii() and (LOST.search(s) is not None or any(p.search(s) for p in SEQUENCES.values()))
 
@@ -221,11 +228,17 @@ class Decoder:
     def best(self, s: str, odd: set[int]) -> str:
         """The best path through the lattice of one layer."""
         lm = self.lm
-        out = edges(s, STRONG)
+        strong = edges(s, STRONG)
+        # readings that the corpus knows must explain most of what is odd, else they are accidents of another channel
+        explained = {k for i, e in strong.items() for j, t in e if all(c in self.alphabet for c in t) for k in range(i, j)}
+        known = bool(explained) and 2 * len(explained & odd) >= len(odd)
+        out = defaultdict(list, strong if known else {})
         # the unlikely places, and those beside them, are open to every reading
         starts = [i for i in sorted({i + d for i in odd for d in (-1, 0, 1)}) if 0 <= i < len(s) and not s[i].isascii() and s[i] != "�"]
-        for i, e in edges(s, WIDE if out else WIDE + WEAK, starts, self.alphabet).items():
+        for i, e in edges(s, WIDE if known else WIDE + WEAK, starts, self.alphabet).items():
             out[i] += [(j, t) for j, t in e if _fits(s, i, j, t)]
+        if not out:
+            out = defaultdict(list, strong)
         self.lost(s, out)
         self.stripped(s, out)
         out = {i: list(dict.fromkeys(e)) for i, e in out.items() if e}
@@ -290,15 +303,25 @@ class Decoder:
             # A reading of the whole text that leaves nothing unlikely, or only another layer of damage, is the one path.
             for wrong in [*SEQUENCES, "gb18030"]:
                 t = peeled(s, wrong)
-                if t != s and (not self.odd(t) or wrong != "gb18030" and SEQUENCES[wrong].search(t)):
+                if t != s and not self.odd(t) - _covered(t, wrong):
                     break
             else:
                 t = self.best(s, odd)
+                if not strongly_damaged(s) and not self.credible(s, t):
+                    t = s
             if t == s:
                 break
             s = t
         return s
 
+    def credible(self, s: str, t: str) -> bool:
+        """A reading by single-byte encodings alone only counts if it makes words that the corpus has: any letter could be
+        another one. Han characters in other words, and words in another script, speak for themselves."""
+        old = set(WORD.findall(s))
+        if any("一" <= c <= "鿿" for c in s) or not old:
+            return True
+        return all(self.lm.word(w) or any(c >= "\u0400" for c in w) for w in set(WORD.findall(t)) - old)
+
     def damaged(self, s: str) -> bool:
         return LOST.search(s) is not None or self.restore(s) != s
 
