@@ -41,6 +41,8 @@ LOST = re.compile("[\x80-\x9f�]|ï¿½|锟斤拷|锟斤|斤拷")
 #: Log cost of beginning a damaged span, of going on in it, and of reading a lost byte.
 BEGIN, GO_ON, READ_LOST = 6.0, 0.1, 0.5
 BEAM = 48
+#: Characters less likely than this (log) in their place are odd: their neighbours have not been seen beside them.
+ODD = -13.0
 
 
 def _byte_of(ch: str, wrong: str) -> bytes | None:
@@ -217,11 +219,11 @@ class Decoder:
                             out[i].append((i + 1, x))
 
     def odd(self, s: str) -> set[int]:
-        """Places outside ASCII that the corpus makes unlikely."""
+        """Places outside ASCII that the corpus makes unlikely, or that look like UTF-8 read wrongly."""
         around, lm = "  " + s + " ", self.lm
-        out = set()
+        out = {i for p in SEQUENCES.values() for m in p.finditer(s) for i in range(*m.span())}
         for i, c in enumerate(s):
-            if not c.isascii() and (c not in self.alphabet or lm.char(around[i + 1], c, around[i + 3]) < -5 or lm.char(around[i], around[i + 1], c) < -5):
+            if not c.isascii() and (c not in self.alphabet or lm.char(around[i + 1], c, around[i + 3]) < ODD or lm.char(around[i], around[i + 1], c) < ODD):
                 out.add(i)
         return out
 
