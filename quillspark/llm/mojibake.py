@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.language import WORD, Language, counted
+from quillspark.llm.language import WORD, Language, bucket, counted
 from quillspark.tables import table
 
 #: (true, wrong) encodings. UTF-8 read in a single-byte encoding leaves sequences that no language writes; the others need
@@ -41,8 +41,8 @@ LOST = re.compile("[\x80-\x9f�]|ï¿½|锟斤拷|锟斤|斤拷")
 #: Log cost of beginning a damaged span, of going on in it, and of reading a lost byte.
 BEGIN, GO_ON, READ_LOST = 6.0, 0.1, 0.5
 BEAM = 48
-#: Characters less likely than this (log) in their place are odd: their neighbours have not been seen beside them.
-ODD = -13.0
+#: Characters are odd beside each other if they make up at most this share of all pairs.
+SELDOM = 1e-7
 
 
 def _byte_of(ch: str, wrong: str) -> bytes | None:
@@ -176,6 +176,7 @@ class Decoder:
     def __init__(self, lm: Language):
         self.lm = lm
         alphabet = [c for c, n in lm.chars.items() if n >= 2 and not c.isascii() and c.isprintable()]
+        self.seen: dict[str, bool] = {}
         self.alphabet = {c for c, n in lm.chars.items() if n >= 2}
         self.by_prefix: dict[bytes, list[str]] = defaultdict(list)
         for c in alphabet:
@@ -220,20 +221,32 @@ class Decoder:
 
     def odd(self, s: str) -> set[int]:
         """Places outside ASCII that the corpus makes unlikely, or that look like UTF-8 read wrongly."""
-        around, lm = "  " + s + " ", self.lm
         out = {i for p in SEQUENCES.values() for m in p.finditer(s) for i in range(*m.span())}
+        if s.isascii():
+            return out
+        around = f" {s} "
         for i, c in enumerate(s):
-            if not c.isascii() and (c not in self.alphabet or lm.char(around[i + 1], c, around[i + 3]) < ODD or lm.char(around[i], around[i + 1], c) < ODD):
+            if not c.isascii() and (c not in self.alphabet or self.unseen(around[i], c) or self.unseen(c, around[i + 2])):
                 out.add(i)
         return out
 
+    def unseen(self, a: str, b: str) -> bool:
+        """Whether two characters hardly ever stand beside each other in the corpus."""
+        key = a + b
+        got = self.seen.get(key)
+        if got is None:
+            got = self.seen[key] = int(self.lm.tables[2][bucket(2, key)]) <= SELDOM * self.lm.n_chars
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+        return got
+
     def best(self, s: str, odd: set[int]) -> str:
         """The best path through the lattice of one layer."""
         lm = self.lm
         strong = edges(s, STRONG)
-        # readings that the corpus knows must explain most of what is odd, else they are accidents of another channel
+        # readings that the corpus knows must explain a good part of what is odd, else they are accidents of another channel
         explained = {k for i, e in strong.items() for j, t in e if all(c in self.alphabet for c in t) for k in range(i, j)}
-        known = bool(explained) and 2 * len(explained & odd) >= len(odd)
+        known = bool(explained) and 3 * len(explained & odd) >= len(odd)
         out = defaultdict(list, strong if known else {})
         # the unlikely places, and those beside them, are open to every reading
         starts = [i for i in sorted({i + d for i in odd for d in (-1, 0, 1)}) if 0 <= i < len(s) and not s[i].isascii() and s[i] != "�"]
