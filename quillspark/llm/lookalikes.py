@@ -47,6 +47,10 @@ _CJK = re.compile("[㐀-鿿ぁ-ヿ]")
 _FORMS = re.compile("[ﬀ-ﬆ！-～\U0001d400-\U0001d7ff⼀-⿟⺀-⻳豈-﫿ℊ-ℓℛ-ℝℯ-ℴ]")
 _FULL_STOPS = re.compile("[！-／：-＠［-｀｛-～]")
 
+#: Most titles: letters of Latin, Han and small Greek ones, ASCII, typographic signs; and what may make a Greek one a case.
+_ORDINARY = re.compile("[\\x20-\\x7e¡-¬®-ɏ‐-―‘-”…€™《》「」、。αβγδεζηθικλμξπρστυφχψω一-鿿]*")
+_GREEK_WITHIN = re.compile("[a-zß-ɏ][" + "".join(GREEK_SYMBOLS) + "][a-zß-ɏ]")
+
 _scripts: dict[str, str] = {}
 
 
@@ -138,7 +142,7 @@ def consistent(word: str, others: Counter) -> str:
 
 def title_form(s: str) -> str:
     """The one consistent form of a title."""
-    if s.isascii() and not any(c < " " for c in s):
+    if _ORDINARY.fullmatch(s) and not _GREEK_WITHIN.search(s):
         return s
     cjk = _CJK.search(s) is not None
     out = []
@@ -179,15 +183,19 @@ def title_is_case(s: str) -> bool:
     return title_form(s) != s
 
 
-FIELDS = {"doi": (doi_is_case, doi_form), "title": (title_is_case, title_form)}
+FIELDS = ("doi", "title")
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for ident, field, value in zip(batch["ident"], batch["field"], batch["value"]):
-            is_case, form = FIELDS[field]
-            rows.append((ident, field, value, form(value), is_case(value)))
+            if field == "title":
+                form = title_form(value)
+                case = form != value
+            else:
+                form, case = doi_form(value), doi_is_case(value)
+            rows.append((ident, field, value, form, case))
         yield pd.DataFrame(rows, columns=["ident", "field", "value", "form", "is_case"])
 
 
