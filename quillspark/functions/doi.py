@@ -86,6 +86,11 @@ def repair_unfinished(text: Column, rounds: int = 6) -> Column:
     return _closed(done) != done
 
 
+def bound(value: Column, make) -> Column:
+    """``make(value)`` with the value worked out once, however often ``make`` uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -95,13 +100,16 @@ def canonical(raw: Column) -> Column:
     s = F.regexp_replace(strip_blanks(raw), r"(?s)https?://.*$", "")
     s = F.regexp_replace(F.regexp_replace(s, IDENTIFIER_TAIL, ""), YEAR_OR_DOTS_TAIL, "")
     s = F.rtrim(strip_blanks(s), F.lit(TRAILING))
-    s = F.when(s.rlike("[（(]"), s).otherwise(F.regexp_replace(s, r"(?d)[)）].*", ""))
-    safe = F.translate(F.replace(s, F.lit("/"), F.lit(SLASH_STAND_IN)), UNSAFE, "")
+    s = bound(s, lambda x: F.when(x.rlike("[（(]"), x).otherwise(F.regexp_replace(x, r"(?d)[)）].*", "")))
+    return bound(s, lambda x: F.struct(x.alias("doi"), _safe_name(x).alias("safe")))
+
+
+def _safe_name(doi: Column) -> Column:
+    safe = F.translate(F.replace(doi, F.lit("/"), F.lit(SLASH_STAND_IN)), UNSAFE, "")
     safe = F.regexp_replace(safe, rf"(?U)[{SLASH_STAND_IN}_\s]+", SLASH_STAND_IN)
     safe = F.substring(F.btrim(safe, F.lit(f"{SLASH_STAND_IN}-_ ")), 1, 200)
     # an empty safe form gets a name that is the same in every run
-    safe = F.when(safe == "", F.concat(F.lit("doi-"), F.lower(F.hex(F.crc32(s.cast("binary")))))).otherwise(safe)
-    return F.struct(s.alias("doi"), safe.alias("safe"))
+    return F.when(safe == "", F.concat(F.lit("doi-"), F.lower(F.hex(F.crc32(doi.cast("binary")))))).otherwise(safe)
 
 
 def key_of_entry(raw: Column) -> Column:

@@ -23,12 +23,12 @@ def dash_key(name: Column) -> Column:
 
 def split(link: Column) -> Column:
     """``struct(name, display)`` split at the first pipe; null unless both brackets and a pipe are there."""
-    s = strip(link)
-    inner = F.regexp_extract(s, r"(?s)^\[\[(.*)\]\]$", 1)
-    whole = s.rlike(r"(?s)^\[\[.*\|.*\]\]$")
-    name = F.substring_index(inner, "|", 1)
-    display = F.regexp_replace(inner, r"(?s)^[^|]*\|", "")
-    return F.when(whole, F.struct(strip(name).alias("name"), strip(display).alias("display")))
+    def parts(s: Column) -> Column:
+        inner = F.regexp_extract(s, r"(?s)^\[\[(.*)\]\]$", 1)
+        name, display = F.substring_index(inner, "|", 1), F.regexp_replace(inner, r"(?s)^[^|]*\|", "")
+        return F.when(s.rlike(r"(?s)^\[\[.*\|.*\]\]$"), F.struct(strip(name).alias("name"), strip(display).alias("display")))
+
+    return D.bound(strip(link), parts)
 
 
 def page(link: Column) -> Column:

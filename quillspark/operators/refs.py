@@ -26,10 +26,10 @@ def deduped(items: Column) -> Column:
         text = F.when(is_link, F.concat(F.lit("[["), F.replace(link["name"], F.lit("/"), F.lit(D.SLASH_STAND_IN)), F.lit("|"), link["display"], F.lit("]]"))).otherwise(x)
         return F.struct(F.when(is_link, F.lower(link["display"])).otherwise(x).alias("key"), text.alias("text"))
 
-    rows = F.transform(kept, parsed)
-    keys = F.transform(rows, lambda r: r["key"])
-    first = F.filter(rows, lambda r, i: F.array_position(keys, r["key"]) == i + 1)
-    return F.transform(first, lambda r: r["text"])
+    def first(rows: Column, keys: Column) -> Column:
+        return F.transform(F.filter(rows, lambda r, i: F.array_position(keys, r["key"]) == i + 1), lambda r: r["text"])
+
+    return D.bound(F.transform(kept, parsed), lambda rows: D.bound(F.transform(rows, lambda r: r["key"]), lambda keys: first(rows, keys)))
 
 
 def pinned(items: Column, doi: Column) -> Column:
