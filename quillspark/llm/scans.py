@@ -12,8 +12,8 @@ the character model has a fixed size.
 
 Defined results
     null content, tables and images: no case, left out of the text; an empty block: no case; null kinds are read as text;
-    blocks delivered twice count once; blocks of one page with equal order: by identifier; very long blocks are
-    processed whole; extra columns are ignored.
+    blocks delivered twice count once; blocks of one page with equal order: by identifier; blocks without a page: after the
+    note's pages; very long blocks are processed whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -315,15 +315,17 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     return noisy(table(spark, sf_dir, "content_list_v2")).select("block_id").distinct()
 
 
-#: Pages that are put together in one task.
+#: Pages that are sorted together in one task.
 SPAN = 32
 
 
 def paragraphs(content: DataFrame) -> DataFrame:
     """(note_id, page, ord, block_id, paragraph): the repaired text of each note, in order, one row per paragraph.
 
-    A paragraph that goes on in the next block is one row, at its first block. Notes are worked in spans of pages, each of
-    which also sees the first pages of the next one, so that no task gets a whole note of unbounded length.
+    A paragraph that goes on in the next block is one row, at its first block, over however many pages it goes. Blocks are
+    told apart and numbered within spans of pages, so that no task sorts a whole note; what a span begins with and ends in is
+    one row per span, from which its numbers are shifted and open ends carried on. Blocks without a page stand after the
+    note's pages, by their order, as on a page of their own that goes on from none.
     """
     blocks = _blocks(content)
     shared = _scanner(blocks)
@@ -334,15 +336,23 @@ def paragraphs(content: DataFrame) -> DataFrame:
             batch["text"] = [scanner.repaired(t, k, set()) for t, k in zip(batch["content"], batch["kind"])]
             yield batch[["block_id", "note_id", "page", "ord", "kind", "text"]]
 
-    mended = blocks.select("block_id", "note_id", "page", "ord", "kind", "content").mapInPandas(run, "block_id long, note_id long, page int, ord int, kind string, text string").filter(F.col("text") != "")
-    span = F.floor(F.col("page") / SPAN)
-    guest = (F.col("page") % SPAN < 2) & (F.col("page") >= SPAN)
-    rows = mended.select("*", F.explode(F.when(guest, F.array(span, span - 1)).otherwise(F.array(span))).alias("span"))
-    w = Window.partitionBy("note_id", "span").orderBy("page", "ord", "block_id")
-    open_end = (F.coalesce("kind", F.lit("text")) != "title") & ~F.col("text").rlike(r"[.!?。！？…:：;；\"”»)）\]]\s*$")
-    goes_on = F.lag(open_end, 1, False).over(w) & (F.coalesce("kind", F.lit("text")) != "title")
-    marked = rows.withColumn("start", (~goes_on).cast("int")).withColumn("part", F.sum("start").over(w))
-    parts = marked.groupBy("note_id", "span", "part").agg(F.array_sort(F.collect_list(F.struct("page", "ord", "block_id", "text"))).alias("b"))
+    # read twice below: written once
+    mended = cut(blocks.select("block_id", "note_id", "page", "ord", "kind", "content").mapInPandas(run, "block_id long, note_id long, page int, ord int, kind string, text string").filter(F.col("text") != ""))
+    no_page = F.col("page").isNull()
+    rows = mended.withColumn("span", F.struct(no_page.alias("no_page"), F.coalesce(F.floor(F.col("page") / SPAN), F.lit(0)).alias("k")))
+    rows = rows.withColumn("place", F.struct(no_page.alias("no_page"), "page", "ord", "block_id"))
+    w = Window.partitionBy("note_id", "span").orderBy("place")
+    runs_on = F.coalesce("kind", F.lit("text")) != "title"
+    open_end = runs_on & ~F.col("text").rlike(r"[.!?。！？…:：;；\"”»)）\]]\s*$")
+    # a span's first block is judged below
+    local = rows.withColumn("runs_on", runs_on).withColumn("open_end", open_end).withColumn("start", (~(F.lag("open_end", 1, True).over(w) & (F.col("runs_on") | (F.row_number().over(w) == 1)))).cast("long"))
+    spans = local.groupBy("note_id", "span").agg(F.sum("start").alias("inner"), F.min_by("runs_on", "place").alias("runs_on"), F.max_by("open_end", "place").alias("open_end"))
+    by_span = Window.partitionBy("note_id").orderBy("span")
+    carried = F.lag("open_end", 1, False).over(by_span) & F.col("runs_on") & ~F.col("span.no_page")
+    shift = F.sum(F.col("inner") + F.col("first")).over(by_span) - F.col("inner")
+    spans = spans.withColumn("first", (~carried).cast("long")).select(F.col("note_id").alias("s_note"), F.col("span").alias("s_span"), shift.alias("shift"))
+    numbered = local.withColumn("local", F.sum("start").over(w)).join(spans, F.col("note_id").eqNullSafe(F.col("s_note")) & (F.col("span") == F.col("s_span")))
+    parts = numbered.withColumn("part", F.col("local") + F.col("shift")).groupBy("note_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("b"))
     joined = F.aggregate(
         F.transform("b", lambda x: x["text"]), F.lit(""),
         lambda a, x: F.when(a == "", x)
@@ -350,12 +360,8 @@ def paragraphs(content: DataFrame) -> DataFrame:
         .when(a.rlike(r"[⺀-鿿，、]$"), F.concat(a, x))
         .otherwise(F.concat(a, F.lit(" "), x)),
     )
-    first = F.get("b", F.lit(0))
-    out = parts.select("note_id", "span", first["page"].alias("page"), first["ord"].alias("ord"), first["block_id"].alias("block_id"), joined.alias("paragraph"))
-    # what begins on a span's own pages, less what goes on from the span before, which has it already
-    own = out.filter(F.floor(F.col("page") / SPAN) == F.col("span"))
-    taken = parts.filter(F.size("b") > 1).select(F.explode(F.slice("b", 2, 1 << 30)).alias("x"), "span").filter(F.floor(F.col("x.page") / SPAN) > F.col("span")).select(F.col("x.block_id").alias("block_id")).distinct()
-    return own.join(taken, "block_id", "left_anti").drop("span")
+    first = F.get("b", F.lit(0))["place"]
+    return parts.select("note_id", first["page"].alias("page"), first["ord"].alias("ord"), first["block_id"].alias("block_id"), joined.alias("paragraph"))
 
 
 def p5_paragraphs(spark, sf_dir: str) -> DataFrame:

@@ -77,3 +77,17 @@ def test_paragraphs_across_spans(spark):
     df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
     got = {r.block_id: r.paragraph for r in scans.paragraphs(df).collect()}
     assert got == {1: "The growth of the hydrogel was slow.", 3: "Each of these findings supports the model."}
+
+
+def test_paragraphs_over_several_spans(spark):
+    """Text that stays open over many spans is one paragraph with all its pages; blocks without a page come last."""
+    n = 3 * scans.SPAN + 5
+    rows = [(i, 6, i, 0, "text", f"part{i} of") for i in range(n)] + [(n, 6, n, 0, "text", "the growth."), (n + 1, 6, n, 1, "text", "The growth")]
+    rows += [(n + 2, 6, None, 1, "text", "was slow."), (n + 3, 6, None, 0, "text", "The hydrogel"), (n + 4, 6, 2 * n, 0, "title", "Results"), (n + 5, 6, 2 * n, 1, "text", "Each of these.")]
+    rows += [(1000 + i, None, i * scans.SPAN, 0, "text", f"The model {x}") for i, x in enumerate(("was", "slow."))]
+    df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
+    got = {r.block_id: r.paragraph for r in scans.paragraphs(df).collect()}
+    assert got == {
+        0: " ".join(f"part{i} of" for i in range(n)) + " the growth.", n + 1: "The growth", n + 3: "The hydrogel was slow.", n + 4: "Results", n + 5: "Each of these.",
+        1000: "The model was The model slow.",
+    }
