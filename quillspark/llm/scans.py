@@ -193,19 +193,21 @@ class Scanner:
         # a part of a compound stands alone: "pre- and post-"
         return not self.known(f"{left}-")
 
-    def units(self, text: str, title: bool) -> list[tuple[str, str | None]]:
-        """The block's lines, each with its kind of page furniture."""
+    def units(self, text: str, title: bool, headers: frozenset[str] | set[str] = frozenset()) -> list[tuple[str, str | None]]:
+        """The block's lines, each with its kind of page furniture; ``headers`` are keys of lines known as running headers,
+        which count at the block's edges only."""
         lines = text.split("\n")
         kinds: list[str | None] = [None] * len(lines)
         if title:
             return list(zip(lines, kinds))
         lo, hi = 0, len(lines)
-        while lo < hi and (k := page_furniture(lines[lo], True, hi - lo == 1)):
+        known = lambda i: "header" if headers and line_key(lines[i]) in headers else None
+        while lo < hi and (k := page_furniture(lines[lo], True, hi - lo == 1) or known(lo)):
             kinds[lo] = k
             lo += 1
         # at the end, what the line before does not lead up to
         ended = lambda i: i == lo or lines[i - 1].rstrip().endswith((*STOPS, "-", "¬"))
-        while hi > lo and (k := page_furniture(lines[hi - 1], ended(hi - 1), hi - lo == 1)):
+        while hi > lo and (k := page_furniture(lines[hi - 1], ended(hi - 1), hi - lo == 1) or known(hi - 1)):
             kinds[hi - 1] = k
             hi -= 1
         return list(zip(lines, kinds))
@@ -247,7 +249,7 @@ class Scanner:
 
     def repaired(self, text: str, kind: str | None, headers: set[str]) -> str:
         """The block's text as one paragraph, without page furniture, words mended."""
-        units = [u for u, k in self.units(text, kind == "title") if not k and line_key(u) not in headers]
+        units = [u for u, k in self.units(text, kind == "title", headers) if not k]
         if kind != "title" and len(units) == 1 and self.looks_like_header(units[0]):
             return ""
         body = BROKEN.sub(
@@ -283,6 +285,13 @@ def _scanner(blocks: DataFrame):
     return spark.sparkContext.broadcast((counted(blocks.select("content")), counts, headings))
 
 
+def _repeated(edges: DataFrame) -> DataFrame:
+    """Of ``edges(block_id, note_id, page, line)`` those whose line is a running header: it stands on three pages of the note
+    or more."""
+    repeated = edges.groupBy("note_id", "line").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") > 2).select("note_id", "line")
+    return edges.join(repeated, ["note_id", "line"], "left_semi")
+
+
 def noisy(content: DataFrame) -> DataFrame:
     """(block_id, noise): blocks with traces of page layout and misreading, and the kinds of noise."""
     blocks = _blocks(content)
@@ -304,10 +313,7 @@ def noisy(content: DataFrame) -> DataFrame:
 
     # read twice below: written once, a few columns of few rows
     found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(run, "block_id long, note_id long, page int, noise string, line string"))
-    edges = found.filter(F.col("line").isNotNull())
-    # a line on three pages of the note or more is a running header
-    repeated = edges.groupBy("note_id", "line").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") > 2).select("note_id", "line")
-    headers = edges.join(repeated, ["note_id", "line"], "left_semi").select("block_id", F.lit("header").alias("noise"))
+    headers = _repeated(found.filter(F.col("line").isNotNull())).select("block_id", F.lit("header").alias("noise"))
     return found.filter(F.col("noise").isNotNull()).select("block_id", "noise").unionByName(headers).dropDuplicates(["block_id", "noise"])
 
 
@@ -330,14 +336,25 @@ def paragraphs(content: DataFrame) -> DataFrame:
     blocks = _blocks(content)
     shared = _scanner(blocks)
 
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(*shared.value)
+        for batch in batches:
+            rows = [(b, n, p, key) for b, n, p, t, k in zip(batch["block_id"], batch["note_id"], batch["page"], batch["content"], batch["kind"]) for line in scanner.edge_lines(t, k) if (key := line_key(line)) and not scanner.is_heading(line)]
+            yield pd.DataFrame(rows, columns=["block_id", "note_id", "page", "line"])
+
+    # read twice to tell what is repeated: written once
+    found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(edges, "block_id long, note_id long, page int, line string"))
+    headers = _repeated(found).groupBy("block_id").agg(F.collect_set("line").alias("headers"))
+    blocks = blocks.join(headers, "block_id", "left")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(*shared.value)
         for batch in batches:
-            batch["text"] = [scanner.repaired(t, k, set()) for t, k in zip(batch["content"], batch["kind"])]
+            batch["text"] = [scanner.repaired(t, k, set() if h is None else set(h)) for t, k, h in zip(batch["content"], batch["kind"], batch["headers"])]
             yield batch[["block_id", "note_id", "page", "ord", "kind", "text"]]
 
     # read twice below: written once
-    mended = cut(blocks.select("block_id", "note_id", "page", "ord", "kind", "content").mapInPandas(run, "block_id long, note_id long, page int, ord int, kind string, text string").filter(F.col("text") != ""))
+    mended = cut(blocks.select("block_id", "note_id", "page", "ord", "kind", "content", "headers").mapInPandas(run, "block_id long, note_id long, page int, ord int, kind string, text string").filter(F.col("text") != ""))
     no_page = F.col("page").isNull()
     rows = mended.withColumn("span", F.struct(no_page.alias("no_page"), F.coalesce(F.floor(F.col("page") / SPAN), F.lit(0)).alias("k")))
     rows = rows.withColumn("place", F.struct(no_page.alias("no_page"), "page", "ord", "block_id"))

@@ -82,12 +82,22 @@ def test_paragraphs_across_spans(spark):
 def test_paragraphs_over_several_spans(spark):
     """Text that stays open over many spans is one paragraph with all its pages; blocks without a page come last."""
     n = 3 * scans.SPAN + 5
-    rows = [(i, 6, i, 0, "text", f"part{i} of") for i in range(n)] + [(n, 6, n, 0, "text", "the growth."), (n + 1, 6, n, 1, "text", "The growth")]
+    piece = lambda i: f"part q{chr(97 + i // 26)}{chr(97 + i % 26)} of"
+    rows = [(i, 6, i, 0, "text", piece(i)) for i in range(n)] + [(n, 6, n, 0, "text", "the growth."), (n + 1, 6, n, 1, "text", "The growth")]
     rows += [(n + 2, 6, None, 1, "text", "was slow."), (n + 3, 6, None, 0, "text", "The hydrogel"), (n + 4, 6, 2 * n, 0, "title", "Results"), (n + 5, 6, 2 * n, 1, "text", "Each of these.")]
     rows += [(1000 + i, None, i * scans.SPAN, 0, "text", f"The model {x}") for i, x in enumerate(("was", "slow."))]
     df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
     got = {r.block_id: r.paragraph for r in scans.paragraphs(df).collect()}
     assert got == {
-        0: " ".join(f"part{i} of" for i in range(n)) + " the growth.", n + 1: "The growth", n + 3: "The hydrogel was slow.", n + 4: "Results", n + 5: "Each of these.",
+        0: " ".join(map(piece, range(n))) + " the growth.", n + 1: "The growth", n + 3: "The hydrogel was slow.", n + 4: "Results", n + 5: "Each of these.",
         1000: "The model was The model slow.",
     }
+
+
+def test_repeated_heads_leave_paragraphs(spark):
+    """A head told by repetition goes where it stands at a block's edge with other lines, and stays inside of one."""
+    rows = [(i, 8, i, 0, "text", "Running words of pages\nThe growth was slow.") for i in range(3)] + [(3, 8, 3, 0, "text", "The model of\nRunning words of pages\nwas slow.")]
+    rows += [(10 + i, 8, 4 + i, 0, "text", "The hydrogel was slow.\nRunning words of pages") for i in range(2)] + [(20, 9, 0, 0, "text", "Running words of pages\nthe baseline was high.")]
+    df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
+    got = {r.block_id: r.paragraph for r in scans.paragraphs(df.repartition(2)).collect()}
+    assert got == {i: "The growth was slow." for i in range(3)} | {3: "The model of Running words of pages was slow."} | {10 + i: "The hydrogel was slow." for i in range(2)} | {20: "Running words of pages the baseline was high."}
