@@ -50,6 +50,8 @@ HAN_RARE = 0.15
 WORDS = r"[\p{L}\p{N}@$]+(?:-[\p{L}\p{N}]+)*-?"
 WORD = re.compile(r"[^\W_]+(?:[@$|!]+[^\W_]+)*[@$]?")
 LEAST_SHARE = 1 << 20
+#: Characters by which wrapped lines differ in length.
+RAGGED = 12
 
 _ALIKE: dict[str, set[str]] = {}
 for _group in HAN_ALIKE:
@@ -85,6 +87,22 @@ def page_furniture(line: str, edge: bool, alone: bool) -> str | None:
     return None
 
 
+def set_apart(lines: list[str], top: bool) -> bool:
+    """Whether the first (else the last) line was not made by wrapping text: what comes next had room beside it."""
+    if len(lines) < 2:
+        return False
+    line, near = (lines[0], lines[1]) if top else (lines[-1], lines[-2])
+    width = max(len(x.rstrip()) for x in (lines[1:] if top else lines[:-1]))
+    upper, lower = (line.rstrip(), near.strip()) if top else (near.rstrip(), line.strip())
+    if not upper or not lower:
+        return False
+    # Han text wraps after any character
+    word = 2 if _CJK.match(lower) else 1 + len(lower.split()[0])
+    room = len(upper) + word <= width
+    # text wraps at a ragged edge, and a line that it breaks off in at a block's end is full, like those above it
+    return (room or not top and upper.endswith(STOPS)) and len(upper if top else lower) + RAGGED <= width
+
+
 def line_key(line: str) -> str:
     """A line without its numbers, to tell repeated ones."""
     return re.sub(r"[\d\W_]+", " ", line).strip().lower()
@@ -201,22 +219,27 @@ class Scanner:
         if title:
             return list(zip(lines, kinds))
         lo, hi = 0, len(lines)
-        known = lambda i: "header" if headers and line_key(lines[i]) in headers else None
-        while lo < hi and (k := page_furniture(lines[lo], True, hi - lo == 1) or known(lo)):
+        known = lambda i: "header" if headers and self.head_key(lines[i]) in headers else None
+        formed = lambda i, top: "header" if set_apart(lines[lo:hi], top) and self.looks_like_header(lines[i]) else None
+        while lo < hi and (k := page_furniture(lines[lo], True, hi - lo == 1) or known(lo) or formed(lo, True)):
             kinds[lo] = k
             lo += 1
         # at the end, what the line before does not lead up to
         ended = lambda i: i == lo or lines[i - 1].rstrip().endswith((*STOPS, "-", "¬"))
-        while hi > lo and (k := page_furniture(lines[hi - 1], ended(hi - 1), hi - lo == 1) or known(hi - 1)):
+        while hi > lo and (k := page_furniture(lines[hi - 1], ended(hi - 1), hi - lo == 1) or known(hi - 1) or formed(hi - 1, False)):
             kinds[hi - 1] = k
             hi -= 1
         return list(zip(lines, kinds))
 
+    def head_key(self, line: str) -> str:
+        """The key of a line as it was meant: a misread head is the same head."""
+        return line_key(WORD.sub(lambda m: self.correct(m.group()) or m.group(), line))
+
     def is_heading(self, line: str) -> bool:
         return line_key(line) in self.headings
 
     def looks_like_header(self, line: str) -> bool:
-        """A short line, alone in its block, that is neither a sentence nor a heading."""
+        """A short line, alone in its block or set apart from it, that is neither a sentence nor a heading."""
         s = line.strip()
         short = bool(s) and len(s) <= 70 and len(s.split()) <= 8 and not s.endswith((*STOPS, "-", "¬", "，", ",", "、"))
         return short and not s[0].islower() and any(c.isalpha() for c in s) and not SENTENCE_WORD.search(s) and not _CJK.search(s) and not self.is_heading(s)
@@ -238,14 +261,21 @@ class Scanner:
             found.add("misread")
         return found
 
-    def edge_lines(self, text: str, kind: str | None) -> list[str]:
-        """Lines that are a header if they stand on other pages, too."""
+    def edge_lines(self, text: str, kind: str | None) -> list[tuple[str, str, bool, bool]]:
+        """(key, side, apart, prose): lines at the block's edges that may be a header if they stand on other pages, too.
+
+        ``side`` is t(op), b(ottom) or, of a block of one line, o(nly); ``prose`` tells words of a sentence.
+        """
         if kind == "title":
             return []
-        lines = [u for u, k in self.units(text, False) if not k]
-        edges = {lines[0], lines[-1]} if lines else set()
-        # a line of a paragraph may come again by chance, too
-        return [x for x in edges if 3 < len(x.strip()) <= 70 and not x.rstrip().endswith((*STOPS, "-", "¬")) and not SENTENCE_WORD.search(x) and not _CJK_SENTENCE.search(x)]
+        # a head told by its form counts as one of the pages it stands on
+        lines = [u for u, k in self.units(text, False) if k != "page number"]
+        out = []
+        for i, side in [(0, "o")] if len(lines) == 1 else [(0, "t"), (-1, "b")] if lines else []:
+            x = lines[i]
+            if 3 < len(x.strip()) <= 70 and not x.rstrip().endswith((*STOPS, "-", "¬")) and not self.is_heading(x) and (key := self.head_key(x)):
+                out.append((key, side, side == "o" or set_apart(lines, side == "t"), bool(SENTENCE_WORD.search(x) or _CJK_SENTENCE.search(x))))
+        return out
 
     def repaired(self, text: str, kind: str | None, headers: set[str]) -> str:
         """The block's text as one paragraph, without page furniture, words mended."""
@@ -285,11 +315,21 @@ def _scanner(blocks: DataFrame):
     return spark.sparkContext.broadcast((counted(blocks.select("content")), counts, headings))
 
 
-def _repeated(edges: DataFrame) -> DataFrame:
-    """Of ``edges(block_id, note_id, page, line)`` those whose line is a running header: it stands on three pages of the note
-    or more."""
-    repeated = edges.groupBy("note_id", "line").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") > 2).select("note_id", "line")
-    return edges.join(repeated, ["note_id", "line"], "left_semi")
+#: (block_id, note_id, page, line, side, apart, prose): a line at the edge of a block, see ``Scanner.edge_lines``.
+EDGES = "block_id long, note_id long, page int, line string, side string, apart boolean, prose boolean"
+
+
+def _repeated(edges: DataFrame, content: DataFrame) -> DataFrame:
+    """Of ``edges`` those whose line is a running header: it stands on three pages of the note or more, or on two and is set
+    apart from its block. Lines with words of a sentence count where they are set apart at the edge of a page."""
+    shown = content.filter(F.col("block_id").isNotNull() & F.col("content").rlike(r"\S") & ~((F.length("content") <= 12) & F.col("content").rlike(r"\d")))
+    place = F.struct("ord", "block_id")
+    ends = shown.groupBy("note_id", "page").agg(F.min(place).alias("t"), F.max(place).alias("b")).select(F.explode(F.array(F.struct(F.col("t.block_id").alias("block_id"), F.lit("t").alias("side")), F.struct(F.col("b.block_id").alias("block_id"), F.lit("b").alias("side")))).alias("e")).select("e.*")
+    ends = ends.unionByName(ends.select("block_id", F.lit("o").alias("side"))).distinct()
+    plain, prose = edges.filter(~F.col("prose")), edges.filter(F.col("prose") & F.col("apart")).join(ends, ["block_id", "side"], "left_semi")
+    both = plain.unionByName(prose.select(*plain.columns))
+    repeated = both.groupBy("note_id", "line").agg(F.countDistinct("page").alias("pages"), F.countDistinct(F.when(F.col("apart"), F.col("page"))).alias("apart_on")).filter((F.col("pages") > 2) | (F.col("apart_on") > 1)).select("note_id", "line")
+    return both.join(repeated, ["note_id", "line"], "left_semi")
 
 
 def noisy(content: DataFrame) -> DataFrame:
@@ -304,16 +344,13 @@ def noisy(content: DataFrame) -> DataFrame:
             for block, note, page, kind, text in zip(batch["block_id"], batch["note_id"], batch["page"], batch["kind"], batch["content"]):
                 noise = scanner.noise(text, kind)
                 for n in noise:
-                    rows.append((block, note, page, n, None))
-                if "header" not in noise:
-                    for line in scanner.edge_lines(text, kind):
-                        if (k := line_key(line)) and not scanner.is_heading(line):
-                            rows.append((block, note, page, None, k))
-            yield pd.DataFrame(rows, columns=["block_id", "note_id", "page", "noise", "line"])
+                    rows.append((block, note, page, None, None, None, None, n))
+                rows += [(block, note, page, *edge, None) for edge in scanner.edge_lines(text, kind)]
+            yield pd.DataFrame(rows, columns=["block_id", "note_id", "page", "line", "side", "apart", "prose", "noise"])
 
     # read twice below: written once, a few columns of few rows
-    found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(run, "block_id long, note_id long, page int, noise string, line string"))
-    headers = _repeated(found.filter(F.col("line").isNotNull())).select("block_id", F.lit("header").alias("noise"))
+    found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(run, f"{EDGES}, noise string"))
+    headers = _repeated(found.filter(F.col("line").isNotNull()), content).select("block_id", F.lit("header").alias("noise"))
     return found.filter(F.col("noise").isNotNull()).select("block_id", "noise").unionByName(headers).dropDuplicates(["block_id", "noise"])
 
 
@@ -339,12 +376,12 @@ def paragraphs(content: DataFrame) -> DataFrame:
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(*shared.value)
         for batch in batches:
-            rows = [(b, n, p, key) for b, n, p, t, k in zip(batch["block_id"], batch["note_id"], batch["page"], batch["content"], batch["kind"]) for line in scanner.edge_lines(t, k) if (key := line_key(line)) and not scanner.is_heading(line)]
-            yield pd.DataFrame(rows, columns=["block_id", "note_id", "page", "line"])
+            rows = [(b, n, p, *edge) for b, n, p, t, k in zip(batch["block_id"], batch["note_id"], batch["page"], batch["content"], batch["kind"]) for edge in scanner.edge_lines(t, k)]
+            yield pd.DataFrame(rows, columns=["block_id", "note_id", "page", "line", "side", "apart", "prose"])
 
     # read twice to tell what is repeated: written once
-    found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(edges, "block_id long, note_id long, page int, line string"))
-    headers = _repeated(found).groupBy("block_id").agg(F.collect_set("line").alias("headers"))
+    found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(edges, EDGES))
+    headers = _repeated(found, content).groupBy("block_id").agg(F.collect_set("line").alias("headers"))
     blocks = blocks.join(headers, "block_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -101,3 +101,28 @@ def test_repeated_heads_leave_paragraphs(spark):
     df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
     got = {r.block_id: r.paragraph for r in scans.paragraphs(df.repartition(2)).collect()}
     assert got == {i: "The growth was slow." for i in range(3)} | {3: "The model of Running words of pages was slow."} | {10 + i: "The hydrogel was slow." for i in range(2)} | {20: "Running words of pages the baseline was high."}
+
+
+@pytest.mark.parametrize(
+    "text, noise, clean",
+    [
+        ("Alloy vascular canopy\nThe growth of the hydrogel was slow in the same samples.", {"header"}, "The growth of the hydrogel was slow in the same samples."),
+        ("The growth of the hydrogel was slow in the same\nsamples.\nAlloy vascular canopy\n- 12 -", {"header", "page number"}, "The growth of the hydrogel was slow in the same samples."),
+        ("Study design\nThe growth of the hydrogel was slow in the same samples.", set(), "Study design The growth of the hydrogel was slow in the same samples."),
+        ("Earlier work by Calderson and Velström agreed\nwith the baseline of the first graph, which was high.", set(), "Earlier work by Calderson and Velström agreed with the baseline of the first graph, which was high."),
+    ],
+)
+def test_heads_set_apart(scanner, text, noise, clean):
+    assert scanner.noise(text, "text") == noise and scanner.repaired(text, "text", set()) == clean
+
+
+def test_heads_on_two_pages(spark):
+    """Two pages are enough for what is set apart, also with a misread letter or words of a sentence; body text is none."""
+    body = "The growth of the hydrogel was slow in the same samples."
+    rows = [(i, 1 + i // 50, i % 50, 0, "text", SENTENCES[i % len(SENTENCES)] + " The running membrane of the model.") for i in range(300)]
+    rows += [(900 + i, 90, i, 0, "text", f"{h}\n{body}") for i, h in enumerate(("running membrane", "running mernbrane"))] + [(910 + i, 91, i, 0, "text", f"The running model\n{body}") for i in range(2)]
+    rows += [(920 + i, 92, 0, i, "text", f"The running model\n{body}") for i in range(3)] + [(930 + i, 93, i, 0, "text", "The growth of the hydrogel was slow\nin the same samples.") for i in range(2)]
+    df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
+    got = {r.block_id for r in scans.noisy(df).filter("noise = 'header'").collect()}
+    assert got == {900, 901, 910, 911}
+    assert {r.paragraph for r in scans.paragraphs(df).filter("note_id in (90, 91)").collect()} == {body}
