@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,7 +41,9 @@ LOST = re.compile("[\x80-\x9f�]|ï¿½|锟斤拷|锟斤|斤拷")
 #: Log cost of beginning a damaged span, of going on in it, and of reading a lost byte.
 BEGIN, GO_ON, READ_LOST = 6.0, 0.1, 0.5
 BEAM = 48
-#: Characters are odd beside each other if they make up at most this share of all pairs.
+#: Characters less likely than this in their place are odd.
+ODD = math.exp(-5)
+#: A reading of a whole text is taken at once if its pairs make up more than this share of all pairs.
 SELDOM = 1e-7
 
 
@@ -177,6 +179,7 @@ class Decoder:
         self.lm = lm
         alphabet = [c for c, n in lm.chars.items() if n >= 2 and not c.isascii() and c.isprintable()]
         self.seen: dict[str, bool] = {}
+        self.counts: dict[str, tuple[int, ...]] = {}
         self.alphabet = {c for c, n in lm.chars.items() if n >= 2}
         self.by_prefix: dict[bytes, list[str]] = defaultdict(list)
         for c in alphabet:
@@ -219,11 +222,42 @@ class Decoder:
                         if not "⺀" <= x <= "鿿":
                             out[i].append((i + 1, x))
 
-    def odd(self, s: str) -> set[int]:
-        """Places outside ASCII that the corpus makes unlikely, or that look like UTF-8 read wrongly."""
-        out = {i for p in SEQUENCES.values() for m in p.finditer(s) for i in range(*m.span())}
+    def odd(self, s: str, own: bool = False) -> set[int]:
+        """Places outside ASCII that the corpus makes unlikely, or that look like UTF-8 read wrongly. ``own``: the text is one
+        of the corpus; what it has counted itself is left out."""
+        out = self.strange(s)
         if s.isascii():
             return out
+        around, n = "  " + s + " ", {}
+        if own and clean(s):
+            t = around[1:]
+            n = Counter(t)
+            n.update(map("".join, zip(t, t[1:])))
+            n.update(map("".join, zip(t, t[1:], t[2:])))
+        for i, c in enumerate(s):
+            if not c.isascii() and i not in out and (self.unlikely(around[i + 1 : i + 4], n) or self.unlikely(around[i : i + 3], n)):
+                out.add(i)
+        return out
+
+    def unlikely(self, g: str, own: dict[str, int]) -> bool:
+        """Whether the last of three characters is odd after the others, without a text's ``own`` counts."""
+        got = self.counts.get(g)
+        if got is None:
+            t, lm = self.lm.tables, self.lm
+            got = self.counts[g] = (lm.chars.get(g[2], 0), lm.chars.get(g[1], 0), int(t[2][bucket(2, g[1:])]), int(t[2][bucket(2, g[:2])]), int(t[3][bucket(3, g)]))
+            if len(self.counts) > 400_000:
+                self.counts.clear()
+        c, b, bc, ab, abc = got
+        if own:
+            less = own.get
+            c, b, bc, ab, abc = max(0, c - less(g[2], 0)), max(0, b - less(g[1], 0)), max(0, bc - less(g[1:], 0)), max(0, ab - less(g[:2], 0)), max(0, abc - less(g, 0))
+        # as in Language.char
+        p = (bc + 2 * (c + 1e-3) / (self.lm.n_chars + 1200)) / (b + 2)
+        return (abc + p) / (ab + 1) < ODD
+
+    def strange(self, s: str) -> set[int]:
+        """Places that the corpus has nothing like, or that look like UTF-8 read wrongly."""
+        out = {i for p in SEQUENCES.values() for m in p.finditer(s) for i in range(*m.span())}
         around = f" {s} "
         for i, c in enumerate(s):
             if not c.isascii() and (c not in self.alphabet or self.unseen(around[i], c) or self.unseen(c, around[i + 2])):
@@ -246,12 +280,14 @@ class Decoder:
         strong = edges(s, STRONG)
         # readings that the corpus knows must explain a good part of what is odd, else they are accidents of another channel
         explained = {k for i, e in strong.items() for j, t in e if all(c in self.alphabet for c in t) for k in range(i, j)}
-        known = bool(explained) and 3 * len(explained & odd) >= len(odd)
+        strange = self.strange(s)
+        known = bool(explained) and 3 * len(explained & strange) >= len(strange)
         out = defaultdict(list, strong if known else {})
         # the unlikely places, and those beside them, are open to every reading
         starts = [i for i in sorted({i + d for i in odd for d in (-1, 0, 1)}) if 0 <= i < len(s) and not s[i].isascii() and s[i] != "�"]
-        for i, e in edges(s, WIDE if known else WIDE + WEAK, starts, self.alphabet).items():
-            out[i] += [(j, t) for j, t in e if _fits(s, i, j, t)]
+        for channels, places in ((WIDE, starts), (WEAK, [i for i in starts if not known or i not in explained])):
+            for i, e in edges(s, channels, places, self.alphabet).items():
+                out[i] += [(j, t) for j, t in e if _fits(s, i, j, t)]
         if not out:
             out = defaultdict(list, strong)
         self.lost(s, out)
@@ -311,14 +347,14 @@ class Decoder:
         return score
 
     def restore(self, s: str, layers: int = 4) -> str:
-        for _ in range(layers):
-            odd = self.odd(s)
+        for layer in range(layers):
+            odd = self.odd(s, own=layer == 0)
             if not odd:
                 break
             # A reading of the whole text that leaves nothing unlikely, or only another layer of damage, is the one path.
             for wrong in [*SEQUENCES, "gb18030"]:
                 t = peeled(s, wrong)
-                if t != s and not self.odd(t) - _covered(t, wrong):
+                if t != s and not self.strange(t) - _covered(t, wrong):
                     break
             else:
                 t = self.best(s, odd)

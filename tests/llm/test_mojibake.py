@@ -72,3 +72,14 @@ def test_operator(spark):
     got = {r.note_id: r.restored for r in mojibake.restored(df, "note_id", "title").collect()}
     assert set(got) == {900, 903} and got[900] == CORPUS[0]
     assert mojibake.restored(df.limit(0), "note_id", "title").count() == 0
+
+
+def test_damage_that_counts_itself(spark):
+    """Titles damaged by a single-byte channel are part of the corpus their oddness is told by."""
+    meant = ["Die Membran für das Gewebe", "Wege zur grünen Membran"]
+    bad = [read_wrong(t, "cp1252", "mac_roman") for t in meant]
+    assert all(map(mojibake.clean, bad)) and not set(bad) & set(meant)
+    good = ["Die Membran für das Gewebe und der Knochen", "Das Gewebe für die grünen Zellen", "The membrane of the mice", "Wege zur Membran für alle"] * 30
+    rows = [(i, t) for i, t in enumerate(good)] + [(900 + i, t) for i, t in enumerate(bad)]
+    got = {r.note_id: r.restored for r in mojibake.restored(spark.createDataFrame(rows, "note_id long, title string"), "note_id", "title").collect()}
+    assert got == {900 + i: t for i, t in enumerate(meant)}
