@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import markdown as M
 from quillspark.functions import title as T
+from quillspark.functions import udfs
 from quillspark.functions import wikilink as W
 from quillspark.tables import frontmatter, notes, ranked, table
 
@@ -19,6 +20,8 @@ TERMINAL = ("done", "failed")
 SPARED = (".obsidian", "TRASH", "trash")
 #: Dashes read as a hyphen when names are compared.
 NAME_DASHES = "–—"
+#: A stem that begins with a name must resemble it by this much.
+RESEMBLES = 0.7
 
 
 def unreferenced(inventory: DataFrame, texts: DataFrame) -> DataFrame:
@@ -114,17 +117,48 @@ def rename_plan(spark, sf_dir: str) -> DataFrame:
     return rows.withColumn("k", k).select("note_id", "dir", F.when(F.col("k") == 0, F.concat("name", F.lit(".pdf"))).otherwise(F.concat("name", F.lit(" ("), F.col("k").cast("string"), F.lit(").pdf"))).alias("new_name"))
 
 
-def path_resolve(spark, sf_dir: str) -> DataFrame:
-    """Notes that given names lead to: as it stands, with ``.md``, without dots at the end, else any note that begins so,
-    the newest; the first of these that exists."""
+def _asked(spark, sf_dir: str) -> DataFrame:
+    """(note_id, page): pages that are asked for, some with dots or ``.md`` at the end."""
     asked = frontmatter(spark, sf_dir).select("note_id", W.page(F.col("`paper-analyze`")).alias("page")).filter("page IS NOT NULL AND page <> ''")
-    asked = asked.withColumn("page", F.concat("page", F.when(F.col("note_id") % 3 == 0, "...").when(F.col("note_id") % 3 == 1, ".md").otherwise("")))
-    stems = notes(spark, sf_dir).groupBy("stem").agg(F.max_by("note_id", F.struct("mtime", "note_id")).alias("found_id"))
+    return asked.withColumn("page", F.concat("page", F.when(F.col("note_id") % 3 == 0, "...").when(F.col("note_id") % 3 == 1, ".md").otherwise("")))
+
+
+def exact_paths(asked: DataFrame, notes: DataFrame) -> DataFrame:
+    """(note_id, found_id, priority): the page as it stands, with ``.md``, without dots at the end; the first that exists."""
+    stems = notes.groupBy("stem").agg(F.max_by("note_id", F.struct("mtime", "note_id")).alias("found_id"))
     forms = F.array(*(F.struct(F.lit(i).alias("priority"), x.alias("stem")) for i, x in enumerate((F.col("page"), F.regexp_replace("page", r"\.md$", ""), F.rtrim(F.col("page"), F.lit("."))))))
     tried = asked.select("note_id", F.explode(forms).alias("f")).select("note_id", "f.priority", "f.stem")
     return tried.join(stems, "stem").groupBy("note_id").agg(F.min_by("found_id", "priority").alias("found_id"), F.min("priority").alias("priority"))
 
 
+def begun_paths(asked: DataFrame, notes: DataFrame) -> DataFrame:
+    """(note_id, found_id, priority): of the notes whose stem begins with the page (without ``.md``, dots and blanks around it)
+    and resembles it by at least ``RESEMBLES``, the newest.
+
+    A stem resembles its own beginning by 2 n / (n + length) at most, so only beginnings that are long enough are tried; they
+    meet the pages by equality, so stems that begin alike make no large group.
+    """
+    pages = asked.select("note_id", F.regexp_replace(F.regexp_replace("page", r"\.md$", ""), r"^[. \t]+|[. \t]+$", "").alias("page")).filter("page <> ''")
+    n = F.length("stem")
+    least = F.greatest(F.lit(1), F.floor(n * (RESEMBLES / (2 - RESEMBLES))).cast("int"))
+    begun = notes.filter(n > 0).select(F.col("note_id").alias("found_id"), "stem", "mtime", F.explode(F.sequence(least, n)).alias("k")).withColumn("page", F.expr("substring(stem, 1, k)"))
+    near = pages.join(begun, "page").filter(udfs.similarity("page", "stem") >= RESEMBLES)
+    return near.groupBy("note_id").agg(F.max_by("found_id", F.struct("mtime", "found_id")).alias("found_id")).withColumn("priority", F.lit(3))
+
+
+def path_resolve(spark, sf_dir: str) -> DataFrame:
+    """Notes that given names lead to: as it stands, with ``.md``, without dots at the end; the first of these that exists.
+    Names that only begin a stem are left to :func:`path_resolve_begun`."""
+    return exact_paths(_asked(spark, sf_dir), notes(spark, sf_dir))
+
+
+def path_resolve_begun(spark, sf_dir: str) -> DataFrame:
+    """As :func:`path_resolve`, else any note whose stem begins so and resembles the name, the newest."""
+    asked, found = _asked(spark, sf_dir), notes(spark, sf_dir)
+    exact = exact_paths(asked, found)
+    return exact.unionByName(begun_paths(asked.join(exact, "note_id", "left_anti"), found))
+
+
 def newest_notes(spark, sf_dir: str) -> DataFrame:
     """The note saved last in each folder."""
     return notes(spark, sf_dir).groupBy(F.get("path_parts", F.lit(0)).alias("folder")).agg(F.max_by("note_id", F.struct("mtime", "note_id")).alias("note_id"), F.max("mtime").alias("mtime"))
@@ -151,4 +185,4 @@ def claimed(candidates: DataFrame, most: int = 10) -> DataFrame:
     return candidates.groupBy("folder").applyInPandas(run, "folder string, note_id long, place int, doi string")
 
 
-QUERIES = {f.__name__: f for f in (image_gc, image_use, note_links, archive_plan, trash_plan, done_filter, batches, rename_plan, path_resolve, newest_notes)}
+QUERIES = {f.__name__: f for f in (image_gc, image_use, note_links, archive_plan, trash_plan, done_filter, batches, rename_plan, path_resolve, path_resolve_begun, newest_notes)}

@@ -151,3 +151,12 @@ def test_first_deliveries(spark, tmp_path):
     spark.createDataFrame(rows, "note_id long, received_at timestamp").coalesce(1).write.parquet(path)
     stream = spark.readStream.schema("note_id long, received_at timestamp").parquet(path)
     assert sorted(r.note_id for r in inbox.run_to_end(inbox.first_deliveries(stream), "append").collect()) == [1, 2]
+
+
+def test_begun_paths(spark):
+    """A name that only begins a stem leads to the newest such note that resembles it."""
+    saved = [(1, "Alder_2002_Plasma", 1), (2, "Alder_2002_Plasma_a", 2), (3, "Alder_2002_Plasma_b", 3), (4, "Alder_2002_Plasma_of_very_many_other_words", 9), (5, "Birch", 1), (6, "alder_2002_Plasm", 9)]
+    notes = spark.createDataFrame(saved, "note_id long, stem string, mtime int")
+    asked = spark.createDataFrame([(10, "Alder_2002_Plasma_"), (11, "Alder_2002_Pl.md"), (12, "Bi"), (13, "Birc..."), (14, ".md"), (15, "irch"), (16, "Birch")], "note_id long, page string")
+    got = {r.note_id: (r.found_id, r.priority) for r in vault.begun_paths(asked, notes).collect()}
+    assert got == {10: (3, 3), 11: (3, 3), 13: (5, 3), 16: (5, 3)}
