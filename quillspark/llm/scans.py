@@ -2,7 +2,9 @@
 
 Noisy-channel correction: a word as it stands is weighed against the words that the scanner's usual confusions would make
 of it, by the corpus' word frequencies and, for words the corpus hardly knows, by the likelihood of their spelling
-(character trigrams of the corpus). Within a line the best sequence is decoded by Viterbi search over these candidates.
+(character trigrams of the corpus). Each word is judged by itself: there is no context of words and no Viterbi search, so a
+word misread as another common one (had for bad), words of one letter, and lower-case words whose true form occurs fewer
+than 20 times are missed.
 Broken words are told from hyphenated ones by what stands unbroken elsewhere in the corpus. Page numbers and running
 headers are lines at the edge of a page that are no sentence: numbers in their usual dress, an author line, a journal line,
 capitals, or what is repeated on other pages of the note.
