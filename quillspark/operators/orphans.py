@@ -14,38 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.classic.column import Column as ClassicColumn
 
 from quillspark.functions import doi as D
 from quillspark.functions import wikilink as W
-from quillspark.tables import hot_keys, table
-
-#: The filter never has more bits (8 MB); beyond about 6 million targets it only lets more pointers through to the exact
-#: join, so what is broadcast is bounded at every scale.
-MAX_BITS = 1 << 26
-
-
-def bloom_filter(keys: DataFrame, key: str, n: int, bits_per_key: int = 10, max_bits: int = MAX_BITS) -> DataFrame:
-    """Bloom filter of the non-null ``keys`` (``n`` of them), as one row ``bits`` (binary). Built from one filter per partition."""
-    spark = keys.sparkSession
-    hashed = keys.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
-    if n:
-        made = hashed._jdf.stat().bloomFilter("h", n, max(64, min(max_bits, n * bits_per_key)))
-    else:  # Spark builds none of nothing
-        made = spark._jvm.org.apache.spark.util.sketch.BloomFilter.create(1, 64)
-    out = spark._jvm.java.io.ByteArrayOutputStream()
-    made.writeTo(out)
-    return spark.createDataFrame([(bytearray(out.toByteArray()),)], "bits binary")
-
-
-def might_contain(bits: DataFrame, key: Column) -> Column:
-    """False only if ``key`` is certainly not in the filter. Spark's own membership test, inside generated code; the
-    filter is a scalar subquery, sent once to each executor."""
-    jvm = bits.sparkSession._jvm
-    e = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
-    return ClassicColumn(e.column(test(e.expression(bits.scalar()._jc), e.expression(F.xxhash64(key)._jc))))
-
+from quillspark.bloom import bloom_filter, might_contain
+from quillspark.tables import cut, lookup, table
 
 def find_orphans(pointers: DataFrame, parents: DataFrame, carriers: DataFrame, ident: list[str]) -> DataFrame:
     """Orphans among ``pointers(ident..., carrier, key)``.
@@ -53,7 +26,8 @@ def find_orphans(pointers: DataFrame, parents: DataFrame, carriers: DataFrame, i
     ``parents(key, since)`` are the living targets, ``carriers(carrier, as_of)`` the times of the pointing records.
     Returns ``ident...`` and ``reason`` (``absent`` or ``late``), one row per identity.
     """
-    pointers = pointers.select(*ident, "carrier", "key").filter(F.col("key").isNotNull())
+    # read several times below; working out the keys is what costs: written once
+    pointers = cut(pointers.select(*ident, "carrier", "key").filter(F.col("key").isNotNull()))
     parents = parents.filter(F.col("key").isNotNull()).select("key", "since")
     n = parents.count()
     maybe = might_contain(bloom_filter(parents, "key", n), F.col("key"))
@@ -62,14 +36,8 @@ def find_orphans(pointers: DataFrame, parents: DataFrame, carriers: DataFrame, i
 
     # one living target per key: the earliest; a target without a time was always there
     targets = parents.groupBy("key").agg(F.min(F.coalesce("since", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))).alias("since"))
-    hot = hot_keys(rest, "key", pointers.count())
-    # Pointers to one of the few hot targets meet them by broadcast (at most 64 rows); in the shuffle they carry a
-    # key of their own instead, so that no task gets a hot key's rows.
-    hot_all = F.broadcast(hot.join(targets, "key", "left").select("key", F.col("since").alias("hot_since"), F.lit(True).alias("is_hot")))
-    spread = rest.join(hot_all, "key", "left").withColumn(
-        "key", F.when(F.col("is_hot"), F.concat(F.lit("\x00"), F.hex(F.xxhash64(*ident)))).otherwise(F.col("key"))
-    )
-    met = spread.join(targets, "key", "left").select(*ident, "carrier", F.coalesce("hot_since", "since").alias("since"))
+    # pointers to a hot target are spread over salts, so that no task gets them all
+    met = lookup(rest.select(*ident, "carrier", "key"), "key", targets).select(*ident, "carrier", "since")
     times = carriers.filter(F.col("as_of").isNotNull()).groupBy("carrier").agg(F.max("as_of").alias("as_of"))
     # a target older than every pointing record cannot be late, so only the others have to meet their record's time
     doubtful = met.filter(F.col("since").isNull() | (F.col("since") > times.agg(F.min("as_of")).scalar()))

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.bloom import bloom_filter, might_contain
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir`` (a file or a folder of parts)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/quillspark-checkpoints") -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), a local one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``. Only a session within this machine (tests) may do
+    without: it gets a folder of its own, which is removed with the process; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,31 +38,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(rows: DataFrame, key: str, total: int, most: int = 64, least: int = 50_000) -> DataFrame:
-    """Keys that hold more than ``total / most`` rows (and more than ``least``), counted exactly.
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row per ``key``, with only the repeated ones shuffled: keys alone are counted first, and a filter of bounded size
+    tells the rows that may be repeated from the many that are not. Rows without a key are all kept."""
+    repeated = cut(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col(key).isNotNull() & (F.col("n") > 1)).select(key))
+    maybe = F.col(key).isNotNull() & might_contain(bloom_filter(repeated, key, repeated.count()), F.col(key))
+    return rows.filter(~maybe).unionByName(rows.filter(maybe).dropDuplicates([key]))
+
+
+#: A key with more rows than this is spread over ``SALTS`` tasks: an absolute limit, whatever the number of rows in all.
+HOT_ROWS, SALTS = 100_000, 64
+
+
+class Hot:
+    """Which keys of ``rows`` are hot. They are counted exactly, combined before the shuffle, and kept as a Bloom filter of
+    bounded size; a key that it takes for a hot one is spread without need, which changes no result."""
+
+    def __init__(self, rows: DataFrame, key: str, limit: int | None = None):
+        counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+        keys = cut(counts.filter(F.col("n") > (HOT_ROWS if limit is None else limit)).select(key))
+        self.n = keys.count()
+        self.bits = bloom_filter(keys, key, self.n) if self.n else None
+
+    def test(self, key: Column) -> Column:
+        return F.lit(False) if self.bits is None else key.isNotNull() & might_contain(self.bits, key)
 
-    The counts are combined before the shuffle, so one key with a third of all rows costs one partial row per
-    task. At most ``most`` keys can pass, whatever the size of the input: the result may always be broadcast.
-    """
-    limit = max(least, total // most)
-    return rows.groupBy(key).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > limit).select(key)
+    def salt(self, key: Column, *by: Column) -> Column:
+        """Salt of a row: 0, or by the hash of other columns for a hot key."""
+        return F.when(self.test(key), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
 
+    def salts(self, key: Column) -> Column:
+        """All salts that rows with ``key`` may have."""
+        return F.explode(F.when(self.test(key), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
 
-def lookup(rows: DataFrame, key: str, dim: DataFrame, most: int = 64) -> DataFrame:
-    """Left join of ``rows`` with ``dim`` (one row per ``key``), safe against keys that hold a large share of ``rows``.
 
-    The few hot keys meet their dimension row by broadcast (at most ``most`` rows); in the shuffle their rows, like those
-    with a null key, carry a key of their own, so that no task gets them all.
-    """
+def lookup(rows: DataFrame, key: str, dim: DataFrame, limit: int | None = None) -> DataFrame:
+    """Left join of ``rows`` with ``dim`` (one row per ``key``), safe against keys that hold any share of ``rows``: the rows of
+    a hot key are salted, its row of ``dim`` stands once for each salt. Rows with a null key are spread as well."""
     extra = [c for c in dim.columns if c != key]
-    hot = hot_keys(rows.filter(F.col(key).isNotNull()), key, rows.count(), most)
-    hot_dim = hot.join(dim, key, "left").select(F.col(key).alias("__key"), F.struct(*extra).alias("__hot"), F.lit(True).alias("__is_hot"))
-    marked = rows.join(F.broadcast(hot_dim), F.col(key) == F.col("__key"), "left")
-    spread = F.when(F.col("__is_hot") | F.col(key).isNull(), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key))
-    cold_dim = dim.select(F.col(key).alias("__join"), F.struct(*extra).alias("__cold"))
-    met = marked.withColumn("__join", spread).join(cold_dim, "__join", "left")
-    value = F.when(F.col("__is_hot"), F.col("__hot")).otherwise(F.col("__cold"))
-    return met.select(*rows.columns, *(value[c].alias(c) for c in extra))
+    hot = Hot(rows, key, limit)
+    spread = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 30)).cast("int")).otherwise(hot.salt(F.col(key), *(F.col(c) for c in rows.columns)))
+    left = rows.withColumn("__salt", spread)
+    right = dim.withColumn("__salt", hot.salts(F.col(key))).select(F.col(key).alias("__key"), F.col("__salt").alias("__salt2"), F.struct(*extra).alias("__dim"))
+    met = left.join(right, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__salt2")), "left")
+    return met.select(*rows.columns, *(F.col("__dim")[c].alias(c) for c in extra))
 
 
 def ranked(rows: DataFrame, *order: str) -> DataFrame:

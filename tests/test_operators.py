@@ -11,7 +11,8 @@ from quillspark.operators import linkage, orphans, refs, vault
 from quillspark.sinks import vault as sinks
 from quillspark.sources import vault as sources
 from quillspark.streaming import inbox
-from quillspark.tables import hot_keys, lookup, ranked
+from quillspark import bloom, tables
+from quillspark.tables import lookup, once, ranked
 
 T0 = dt.datetime(2024, 1, 1)
 POINTERS = "id long, carrier long, key string, extra string"
@@ -41,19 +42,44 @@ def test_orphans_of_empty_tables(spark):
 
 def test_orphans_do_not_depend_on_the_filter(spark, monkeypatch):
     """A filter that is far too small only sends more pointers to the exact join."""
-    monkeypatch.setattr(orphans.bloom_filter, "__defaults__", (10, 64))
+    monkeypatch.setattr(bloom.bloom_filter, "__defaults__", (10, 64))
     pointers = [(i, 1, f"k{i}", "") for i in range(300)]
     parents = [(f"k{i}", T0, "") for i in range(0, 300, 2)]
     assert found(spark, pointers, parents, [(1, T0, "")]) == {(i, "absent") for i in range(1, 300, 2)}
 
 
-def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
-    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.col("id").cast("string")).alias("key"))
-    dim = spark.createDataFrame([("hot", 1), ("4", 2)], "key string, v int")
-    assert [r.key for r in hot_keys(rows, "key", 3000, least=100).collect()] == ["hot"]
-    monkeypatch.setattr("quillspark.tables.hot_keys", lambda r, k, n, most=64: hot_keys(r, k, n, most, 100))
-    got = lookup(rows, "key", dim)
-    assert got.count() == 3000 and got.filter("v = 1").count() == 1000 and got.filter("v = 2").count() == 1 and got.columns == ["id", "key", "v"]
+def test_hot_keys_are_spread(spark):
+    """Keys above an absolute limit meet their row in many tasks; the result is that of a plain join."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, "warm").when(F.col("id") % 50 == 1, None).otherwise(F.col("id").cast("string")).alias("key"))
+    dim = spark.createDataFrame([("hot", 1), ("4", 2), ("warm", 3)], "key string, v int")
+    want = sorted(map(repr, rows.join(dim, "key", "left").select("id", "key", "v").collect()))
+    for limit in (100, 500, 5000):
+        got = lookup(rows, "key", dim, limit)
+        assert got.columns == ["id", "key", "v"] and sorted(map(repr, got.collect())) == want
+    hot = tables.Hot(rows, "key", 500)
+    salted = rows.withColumn("salt", hot.salt(F.col("key"), F.col("id"))).groupBy("key", "salt").count()
+    assert hot.n == 1 and salted.filter("key = 'hot'").agg(F.max("count")).first()[0] < 100 and salted.filter("key = 'hot'").count() == tables.SALTS
+
+
+def test_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "d"), (3, "e"), (3, "e")], "id long, x string")
+    assert sorted(map(repr, once(rows, "id").collect())) == sorted(map(repr, rows.distinct().collect()))
+    assert once(rows.limit(0), "id").count() == 0
+
+
+def test_no_silent_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = spark.conf.__class__.__new__(spark.conf.__class__)
+
+    session = Session()
+    session.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})()
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.ensure_checkpoint_dir(session)
 
 
 def test_ranked(spark):
