@@ -1,16 +1,13 @@
 """Noise in text from scanned pages.
 
-Noisy-channel correction: a word as it stands is weighed against the words that the scanner's usual confusions would make
-of it, by the corpus' word frequencies and, for words the corpus hardly knows, by the likelihood of their spelling
-(character trigrams of the corpus). Each word is judged by itself: there is no context of words and no Viterbi search, so a
-word misread as another common one (had for bad), words of one letter, and lower-case words whose true form occurs fewer
-than 20 times are missed.
+Noisy-channel correction: what the words of a line were before the scanner misread them is decoded by Viterbi search over
+candidate words, with probabilities of confusions that are learned from the corpus and the corpus' word bigrams (see
+``channel``); Han characters are decoded alike over their look-alikes, under the corpus' characters.
 Broken words are told from hyphenated ones by what stands unbroken elsewhere in the corpus. Page numbers and running
 headers are lines at the edge of a page that are no sentence: numbers in their usual dress, an author line, a journal line,
 capitals, or what is repeated on other pages of the note.
 
-What is broadcast is bounded: words are kept if they make up more than one in 2^20 of all words (so at most 2^20 words),
-the character model has a fixed size.
+Words of one letter are never read otherwise, and a word in small letters is only ever read as one that the corpus has.
 
 Defined results
     null content, tables and images: no case, left out of the text; an empty block: no case; null kinds are read as text;
@@ -20,7 +17,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -28,38 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.language import Language, counted
-from quillspark.tables import cut, table
-
-# --- fixed values: what scanners make of characters (read as: meant) --------------------------------------------------
-CONFUSIONS = {
-    "0": "o", "1": "li", "5": "s", "6": "b", "8": "B", "9": "g", "@": "a", "$": "s", "I": "l", "l": "I", "c": "e", "e": "c", "f": "t", "t": "f", "b": "h", "h": "b", "u": "n", "n": "u",
-    "O": "0", "|": "l", "!": "l",
-}
-MERGED = {"rn": "m", "cl": "d", "vv": "w", "ii": "u", "h": "li", "m": "in", "in": "m", "li": "h", "ri": "n", "nn": "m", "m ": "m", "d": "cl", "w": "vv"}
-#: Han characters that are taken for one another.
-HAN_ALIKE = [
-    "大太犬", "天夭", "子孑孓", "未末", "日曰", "成戍戌", "己已巳", "人入", "土士", "千干于", "白自", "由田甲申", "间问", "元无", "力刀", "木本术", "体休", "侧测", "析折拆", "抑仰", "治冶", "今令",
-    "免兔", "住往佳", "夫失", "牛午", "贝见", "名各", "广厂", "乌鸟", "母毋", "微徽", "侯候", "经径", "清请情", "壮状", "末朱", "旦且", "目日", "鸣呜", "辩辨", "撤撒", "傅传", "竟竞", "代伐", "季李", "特持", "组祖",
-    "观现", "胞跑", "受爱", "织识", "因困", "血皿", "市巿", "王玉主", "为办", "有冇", "生主", "关美", "化比", "科料", "仅汉", "示未", "小少", "相柏", "研硏", "用甩", "同回", "表衰",
-]
-# ----------------------------------------------------------------------------------------------------------------------
-#: A reading of one confusion, and the weight of an unknown spelling.
-P_CONFUSED, SPELLED = 0.01, 1e-4
-#: A spelling must gain this much (log) for a word that the corpus does not know otherwise.
-GAIN = 7.0
-HAN_RARE = 0.15
-WORDS = r"[\p{L}\p{N}@$]+(?:-[\p{L}\p{N}]+)*-?"
-WORD = re.compile(r"[^\W_]+(?:[@$|!]+[^\W_]+)*[@$]?")
-LEAST_SHARE = 1 << 20
+from quillspark.llm import channel
+from quillspark.llm.channel import WORD, Candidate, Model
+from quillspark.tables import cut, once, table
+
 #: Characters by which wrapped lines differ in length.
 RAGGED = 12
-
-_ALIKE: dict[str, set[str]] = {}
-for _group in HAN_ALIKE:
-    for _c in _group:
-        _ALIKE.setdefault(_c, set()).update(set(_group) - {_c})
-_HAN = re.compile("[" + "".join(_ALIKE) + "]")
 _ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 PAGE_NUMBER = re.compile(rf"(?ix)^\s* (?: [-–—\[(<|·~]* \s* (?:(?:p|pp|page|pag|seite|стр|s)\.?\s*)? (?:\d{{1,5}}|{_ROMAN}) \s*(?:(?:/|of|von|de)\s*\d{{1,5}})? \s* [-–—\])>|·~]* | 第\s*\d+\s*页(?:\s*[,，/]?\s*共\s*\d+\s*页)? ) \s*$")
 AUTHORS = re.compile(r"^\s*(?:\d{1,5}\s+)?\S+(?: (?:and|&|und|et) \S+)? et al[.,]?(?:\s+\S{1,5})?\s*$")
@@ -68,7 +38,8 @@ JOURNAL = re.compile(r"^\s*(?:\d{1,5}\s+)?[^\W\d][^.;:!?]{2,60}? \d\w{0,3} \([\d
 SENTENCE_WORD = re.compile(r"(?i)\b(?:the|a|an|was|were|is|are|be|been|that|which|this|these|we|our|it|its|der|die|das|wurde|wurden|le|la|les|el|los|una|fue)\b")
 _CJK = re.compile("[⺀-鿿]")
 _CJK_SENTENCE = re.compile("[⺀-鿿]{12}|[，。；、]")
-BROKEN = re.compile(r"([^\W\d_]+)([-‐‑¬­])(\n|$)[ \t]*([^\W\d_]*)")
+HYPHEN_AT_END = re.compile(r"[-‐‑¬­](?:\n|$)")
+BROKEN = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([-‐‑¬­])(\n|$)[ \t]*([^\W\d_]*)")
 STOPS = tuple(".!?。！？…:：;；\"”»)）]")
 
 
@@ -111,107 +82,39 @@ def line_key(line: str) -> str:
 
 
 class Scanner:
-    """Finds and repairs noise with the corpus' words (``words``: word to count) and characters."""
-
-    def __init__(self, lm: Language, words: dict[str, int], headings: set[str]):
-        self.lm, self.words, self.headings = lm, words, headings
-        self.total = sum(words.values()) or 1
-        self.memo: dict[str, str | None] = {}
-
-    def count(self, w: str) -> int:
-        return self.words.get(w, 0)
-
-    def known(self, w: str) -> int:
-        """Occurrences in any of the usual cases."""
-        return max(self.count(w), self.count(w.lower()), self.count(w.capitalize()))
-
-    def spelling(self, w: str) -> float:
-        s = f" {w} "
-        return sum(self.lm.char(a, b, c) for a, b, c in zip(" " + s, s, s[1:]))
-
-    def readings(self, w: str) -> set[str]:
-        """What the scanner may have read as ``w``, by one confusion."""
-        out = set()
-        for i, c in enumerate(w):
-            for x in CONFUSIONS.get(c, ""):
-                out.add(w[:i] + x + w[i + 1 :])
-            for k in (1, 2):
-                x = MERGED.get(w[i : i + k])
-                if x and len(w[i : i + k]) == k:
-                    out.add(w[:i] + x + w[i + k :])
-        return out
+    """Finds and repairs noise with what is known of the corpus."""
 
-    def correct(self, w: str) -> str | None:
-        """The word meant if ``w`` is misread, else None."""
-        if w in self.memo:
-            return self.memo[w]
-        if len(self.memo) > 500_000:
-            self.memo.clear()
-        got = self.memo[w] = self._correct(w)
-        return got
-
-    def _correct(self, w: str) -> str | None:
-        if len(w) < 2 or not any(c.isalpha() for c in w) or w.isupper() and len(w) < 4:
-            return None
-        n = self.known(w)
-        one = self.readings(w) - {w}
-        best = max(one, key=self.known, default=w)
-        # n(w) misreadings are to be expected of a word with n(best) occurrences: then w is not a word of its own
-        if self.known(best) >= 20 and n <= max(2 * P_CONFUSED * self.known(best), 3 if self.known(best) >= 60 else 0):
-            return best
-        if n > 200:
-            return None
-        two = {y for x in one for y in self.readings(x) if self.known(y) >= 20} - {w} if len(w) > 4 and n < 20 else ()
-        best = max(two, key=self.known, default=w)
-        if self.known(best) >= 20 and n <= P_CONFUSED * self.known(best):
-            return best
-        if len(w) < 4 or n >= 20 or w.islower():
-            return None
-        # a name, or a word with signs in it, that the corpus hardly knows: by its spelling
-        here = self.spelling(w)
-        best = max(one, key=self.spelling, default=w)
-        if self.spelling(best) - here > GAIN + 2 * math.log(1 + n) and not best.isdigit():
-            return best
-        return None
+    def __init__(self, model: Model):
+        self.model = model
+        self.memo: dict[str, list[tuple[int, int, str]]] = {}
 
-    def misread_han(self, s: str) -> list[tuple[int, str]]:
-        """Positions of Han characters taken for another, and what was meant."""
-        out = []
-        flat, at = [], []
-        for i, c in enumerate(s):
-            if not c.isspace():
-                flat.append(c)
-                at.append(i)
-        text = "".join(flat)
-        t = f"  {text}  "
-        for m in _HAN.finditer(text):
-            i = m.start()
-            c = m.group()
-
-            def fit(x: str) -> float:
-                v = t[i : i + 2] + x + t[i + 3 : i + 5]
-                return sum(self.lm.char(v[k], v[k + 1], v[k + 2]) for k in range(3))
-
-            best = max(_ALIKE[c], key=fit)
-            # a character that is rare beside its look-alike owes its occurrences to it unless its place says otherwise
-            rare = self.lm.chars.get(c, 0) <= HAN_RARE * self.lm.chars.get(best, 0)
-            if fit(best) - fit(c) > (-1.0 if rare else 4.0):
-                out.append((at[i], best))
-        return out
+    def misread(self, line: str, more: dict[str, list[Candidate]] | None = None) -> list[tuple[int, int, str]]:
+        """(start, end, what was meant) of the words of a line that were misread."""
+        suspects = self.model.suspects
+        words = WORD.findall(line)
+        if suspects.keys().isdisjoint(words) and (not more or more.keys().isdisjoint(words)):
+            return []
+        found = self.model.decode(words, more)
+        if not found:
+            return []
+        return [(*m.span(), found[i]) for i, m in enumerate(WORD.finditer(line)) if i in found]
+
+    def mended(self, line: str, more: dict[str, list[Candidate]] | None = None) -> str:
+        for start, end, meant in reversed(self.misread(line, more)):
+            line = line[:start] + meant + line[end:]
+        return line
 
     def is_broken(self, left: str, hyphen: str, right: str) -> bool:
         """A word broken in two, rather than one that holds or ends in a hyphen."""
         if hyphen in "¬­":
             return True
-        if right and self.known(f"{left}-{right}"):
+        known = self.model.known
+        if right and known(f"{left}-{right}"):
             return False
-        if any(self.known(f"{left}-{r}") for r in (right.lower(),) if r):
-            return False
-        whole = left + right
-        if right and self.known(whole):
+        if right and known(left + right):
             return True
         # a part of a compound stands alone: "pre- and post-"
-        return not self.known(f"{left}-")
+        return not known(f"{left}-")
 
     def units(self, text: str, title: bool, headers: frozenset[str] | set[str] = frozenset()) -> list[tuple[str, str | None]]:
         """The block's lines, each with its kind of page furniture; ``headers`` are keys of lines known as running headers,
@@ -222,7 +125,7 @@ class Scanner:
             return list(zip(lines, kinds))
         lo, hi = 0, len(lines)
         known = lambda i: "header" if headers and self.head_key(lines[i]) in headers else None
-        formed = lambda i, top: "header" if set_apart(lines[lo:hi], top) and self.looks_like_header(lines[i]) else None
+        formed = lambda i, top: "header" if self.looks_like_header(lines[i]) and set_apart(lines[lo:hi], top) else None
         while lo < hi and (k := page_furniture(lines[lo], True, hi - lo == 1) or known(lo) or formed(lo, True)):
             kinds[lo] = k
             lo += 1
@@ -235,10 +138,10 @@ class Scanner:
 
     def head_key(self, line: str) -> str:
         """The key of a line as it was meant: a misread head is the same head."""
-        return line_key(WORD.sub(lambda m: self.correct(m.group()) or m.group(), line))
+        return line_key(self.mended(line))
 
     def is_heading(self, line: str) -> bool:
-        return line_key(line) in self.headings
+        return line_key(line) in self.model.headings
 
     def looks_like_header(self, line: str) -> bool:
         """A short line, alone in its block or set apart from it, that is neither a sentence nor a heading."""
@@ -246,24 +149,28 @@ class Scanner:
         short = bool(s) and len(s) <= 70 and len(s.split()) <= 8 and not s.endswith((*STOPS, "-", "¬", "，", ",", "、"))
         return short and not s[0].islower() and any(c.isalpha() for c in s) and not SENTENCE_WORD.search(s) and not _CJK.search(s) and not self.is_heading(s)
 
-    def noise(self, text: str, kind: str | None) -> set[str]:
+    def joined(self, body: str) -> str:
+        """Lines with the words that are broken between them in one piece."""
+        return body if not HYPHEN_AT_END.search(body) else BROKEN.sub(lambda m: m.group(1) + m.group(4) if self.is_broken(m.group(1), m.group(2), m.group(4)) else m.group(1) + "-" + m.group(4), body)
+
+    def noise(self, text: str, kind: str | None, more: dict[str, list[Candidate]] | None = None, units: list[tuple[str, str | None]] | None = None) -> set[str]:
         """Kinds of noise in a block."""
-        found = set()
         title = kind == "title"
-        units = self.units(text, title)
-        found |= {k for _, k in units if k}
+        units = units or self.units(text, title)
+        found = {k for _, k in units if k}
         body = "\n".join(u for u, k in units if not k)
         if not title and not found and len(units) == 1 and self.looks_like_header(text):
             found.add("header")
-        for m in BROKEN.finditer(body):
+        for m in BROKEN.finditer(body) if HYPHEN_AT_END.search(body) else ():
             if self.is_broken(m.group(1), m.group(2), m.group(4)) and (m.group(3) or m.end() == len(body)):
                 found.add("broken word")
-        whole = BROKEN.sub(lambda m: m.group(1) + m.group(4) if self.is_broken(m.group(1), m.group(2), m.group(4)) else m.group(1) + "-" + m.group(4), "\n".join(u for u, k in units if k != "page number"))
-        if any(self.correct(w) for w in WORD.findall(whole)) or self.misread_han(whole):
+                break
+        whole = "\n".join(u for u, k in units if k != "page number") if "page number" in found else text
+        if self.misread(self.joined(whole), more) or self.model.misread_han(whole):
             found.add("misread")
         return found
 
-    def edge_lines(self, text: str, kind: str | None) -> list[tuple[str, str, bool, bool]]:
+    def edge_lines(self, text: str, kind: str | None, units: list[tuple[str, str | None]] | None = None) -> list[tuple[str, str, bool, bool]]:
         """(key, side, apart, prose): lines at the block's edges that may be a header if they stand on other pages, too.
 
         ``side`` is t(op), b(ottom) or, of a block of one line, o(nly); ``prose`` tells words of a sentence.
@@ -271,7 +178,7 @@ class Scanner:
         if kind == "title":
             return []
         # a head told by its form counts as one of the pages it stands on
-        lines = [u for u, k in self.units(text, False) if k != "page number"]
+        lines = [u for u, k in units or self.units(text, False) if k != "page number"]
         out = []
         for i, side in [(0, "o")] if len(lines) == 1 else [(0, "t"), (-1, "b")] if lines else []:
             x = lines[i]
@@ -279,42 +186,57 @@ class Scanner:
                 out.append((key, side, side == "o" or set_apart(lines, side == "t"), bool(SENTENCE_WORD.search(x) or _CJK_SENTENCE.search(x))))
         return out
 
-    def repaired(self, text: str, kind: str | None, headers: set[str]) -> str:
+    def repaired(self, text: str, kind: str | None, headers: set[str], more: dict[str, list[Candidate]] | None = None) -> str:
         """The block's text as one paragraph, without page furniture, words mended."""
         units = [u for u, k in self.units(text, kind == "title", headers) if not k]
         if kind != "title" and len(units) == 1 and self.looks_like_header(units[0]):
             return ""
+        known = self.model.known
         body = BROKEN.sub(
-            lambda m: (m.group(1) + m.group(4) if m.group(3) else m.group(0)) if self.is_broken(m.group(1), m.group(2), m.group(4)) else m.group(1) + m.group(2) + (" " if m.group(4) and not self.known(f"{m.group(1)}-{m.group(4)}") else "") + m.group(4),
+            lambda m: (m.group(1) + m.group(4) if m.group(3) else m.group(0)) if self.is_broken(m.group(1), m.group(2), m.group(4)) else m.group(1) + m.group(2) + (" " if m.group(4) and not known(f"{m.group(1)}-{m.group(4)}") else "") + m.group(4),
             "\n".join(units),
         )
         chars = list(body)
-        for i, c in self.misread_han(body):
+        for i, c in self.model.misread_han(body):
             chars[i] = c
         body = "".join(chars)
         body = re.sub(r"(?<=[⺀-鿿，。；：、（）])\n(?=[⺀-鿿，。；：、（）])", "", body)
-        body = re.sub(r"\s*\n\s*", " ", body).strip()
-        return WORD.sub(lambda m: self.correct(m.group()) or m.group(), body)
+        return self.mended(re.sub(r"\s*\n\s*", " ", body).strip(), more)
 
 
 def _blocks(content: DataFrame) -> DataFrame:
     rows = content.filter(F.col("block_id").isNotNull() & F.col("content").isNotNull() & (F.coalesce("kind", F.lit("text")).isin("text", "title")))
-    return rows.select("block_id", "note_id", "page", "ord", "kind", "content").dropDuplicates(["block_id"])
+    return once(rows.select("block_id", "note_id", "page", "ord", "kind", "content"), "block_id")
+
+
+def _heading_key(text: str) -> str:
+    return line_key(text)
+
+
+def _learned(blocks: DataFrame):
+    return channel.learned(blocks.select("content", F.coalesce(F.col("kind") == "title", F.lit(False)).alias("is_title")), _heading_key)
+
+
+def _with_rare(blocks: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``blocks`` with ``rare``: of the words with candidates that are too rare to be sent out, those that stand in each."""
+    if rest is None:
+        return blocks.withColumn("rare", F.lit(None).cast("array<struct<w: string, own: double, c: array<struct<r: string, n_r: double, log_p: double>>>>"))
+    bits = channel.marked(rest)
+    shared = blocks.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(b, w) for b, t in zip(batch["block_id"], batch["content"]) for w in channel.words_of(t) if channel.is_marked(shared.value, w)]
+            yield pd.DataFrame(rows, columns=["block_id", "w"])
+
+    stand = blocks.select("block_id", "content").mapInPandas(run, "block_id long, w string")
+    # rare words have no hot key; a block has no more of them than words
+    rare = stand.join(rest, "w").groupBy("block_id").agg(F.collect_list(F.struct("w", "own", "c")).alias("rare"))
+    return blocks.join(rare, "block_id", "left")
 
 
-def _scanner(blocks: DataFrame):
-    """The corpus' words, characters and headings, broadcast."""
-    spark = blocks.sparkSession
-    # words that stand whole in a line; what touches a line's end may be half a word
-    inner = F.regexp_replace("content", r"[^\s]*[-‐‑¬­]\s*(\n|$)\s*[^\s]*", " ")
-    words = blocks.select(F.explode(F.regexp_extract_all(inner, F.lit(f"({WORDS})"), F.lit(1))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.filter(F.col("n") > max(1, total // LEAST_SHARE)).toArrow()
-    counts = dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist()))
-    headed = blocks.filter(F.col("kind") == "title").groupBy(F.lower(F.trim(F.regexp_replace("content", r"[^\p{L}]+", " "))).alias("k")).agg(F.count("*").alias("n"))
-    titles = headed.agg(F.sum("n")).first()[0] or 0
-    headings = {r.k for r in headed.filter(F.col("n") > max(1, titles // 4096)).collect()}  # fewer than 4096
-    return spark.sparkContext.broadcast((counted(blocks.select("content")), counts, headings))
+def _more(rare) -> dict[str, list[Candidate]] | None:
+    return None if rare is None else {r["w"]: channel.candidates(r["w"], r["own"], [(x["r"], x["n_r"], x["log_p"]) for x in r["c"]]) for r in rare}
 
 
 #: (block_id, note_id, page, line, side, apart, prose): a line at the edge of a block, see ``Scanner.edge_lines``.
@@ -337,21 +259,21 @@ def _repeated(edges: DataFrame, content: DataFrame) -> DataFrame:
 def noisy(content: DataFrame) -> DataFrame:
     """(block_id, noise): blocks with traces of page layout and misreading, and the kinds of noise."""
     blocks = _blocks(content)
-    shared = _scanner(blocks)
+    shared, rest = _learned(blocks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(*shared.value)
+        scanner = Scanner(shared.value)
         for batch in batches:
             rows = []
-            for block, note, page, kind, text in zip(batch["block_id"], batch["note_id"], batch["page"], batch["kind"], batch["content"]):
-                noise = scanner.noise(text, kind)
-                for n in noise:
+            for block, note, page, kind, text, rare in zip(batch["block_id"], batch["note_id"], batch["page"], batch["kind"], batch["content"], batch["rare"]):
+                units = scanner.units(text, kind == "title")
+                for n in scanner.noise(text, kind, _more(rare), units):
                     rows.append((block, note, page, None, None, None, None, n))
-                rows += [(block, note, page, *edge, None) for edge in scanner.edge_lines(text, kind)]
+                rows += [(block, note, page, *edge, None) for edge in scanner.edge_lines(text, kind, units)]
             yield pd.DataFrame(rows, columns=["block_id", "note_id", "page", "line", "side", "apart", "prose", "noise"])
 
     # read twice below: written once, a few columns of few rows
-    found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(run, f"{EDGES}, noise string"))
+    found = cut(_with_rare(blocks, rest).select("block_id", "note_id", "page", "kind", "content", "rare").mapInPandas(run, f"{EDGES}, noise string"))
     headers = _repeated(found.filter(F.col("line").isNotNull()), content).select("block_id", F.lit("header").alias("noise"))
     return found.filter(F.col("noise").isNotNull()).select("block_id", "noise").unionByName(headers).dropDuplicates(["block_id", "noise"])
 
@@ -373,10 +295,10 @@ def paragraphs(content: DataFrame) -> DataFrame:
     note's pages, by their order, as on a page of their own that goes on from none.
     """
     blocks = _blocks(content)
-    shared = _scanner(blocks)
+    shared, rest = _learned(blocks)
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(*shared.value)
+        scanner = Scanner(shared.value)
         for batch in batches:
             rows = [(b, n, p, *edge) for b, n, p, t, k in zip(batch["block_id"], batch["note_id"], batch["page"], batch["content"], batch["kind"]) for edge in scanner.edge_lines(t, k)]
             yield pd.DataFrame(rows, columns=["block_id", "note_id", "page", "line", "side", "apart", "prose"])
@@ -384,16 +306,16 @@ def paragraphs(content: DataFrame) -> DataFrame:
     # read twice to tell what is repeated: written once
     found = cut(blocks.select("block_id", "note_id", "page", "kind", "content").mapInPandas(edges, EDGES))
     headers = _repeated(found, content).groupBy("block_id").agg(F.collect_set("line").alias("headers"))
-    blocks = blocks.join(headers, "block_id", "left")
+    marked = _with_rare(blocks, rest).join(headers, "block_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(*shared.value)
+        scanner = Scanner(shared.value)
         for batch in batches:
-            batch["text"] = [scanner.repaired(t, k, set() if h is None else set(h)) for t, k, h in zip(batch["content"], batch["kind"], batch["headers"])]
+            batch["text"] = [scanner.repaired(t, k, set() if h is None else set(h), _more(x)) for t, k, h, x in zip(batch["content"], batch["kind"], batch["headers"], batch["rare"])]
             yield batch[["block_id", "note_id", "page", "ord", "kind", "text"]]
 
     # read twice below: written once
-    mended = cut(blocks.select("block_id", "note_id", "page", "ord", "kind", "content", "headers").mapInPandas(run, "block_id long, note_id long, page int, ord int, kind string, text string").filter(F.col("text") != ""))
+    mended = cut(marked.select("block_id", "note_id", "page", "ord", "kind", "content", "headers", "rare").mapInPandas(run, "block_id long, note_id long, page int, ord int, kind string, text string").filter(F.col("text") != ""))
     no_page = F.col("page").isNull()
     rows = mended.withColumn("span", F.struct(no_page.alias("no_page"), F.coalesce(F.floor(F.col("page") / SPAN), F.lit(0)).alias("k")))
     rows = rows.withColumn("place", F.struct(no_page.alias("no_page"), "page", "ord", "block_id"))

@@ -3,9 +3,7 @@
 import pytest
 
 from quillspark.llm import mojibake
-from quillspark.llm.language import Language, SIZES, bucket, count_texts
-
-import numpy as np
+from quillspark.llm.language import Language
 
 CORPUS = [
     "Dose–response of the acute membrane in mice", "Effects of β-catenin on growth below 4 °C", "Étude de la protéine sévère chez 12 participants", "Größere Schwelle nach Müller (2010)",
@@ -16,12 +14,7 @@ CORPUS = [
 
 @pytest.fixture(scope="module")
 def decoder():
-    chars, grams = count_texts(CORPUS * 40)
-    tables = {k: np.zeros(n, np.int32) for k, n in SIZES.items()}
-    for g, n in grams.items():
-        k = 4 if isinstance(g, str) else len(g)
-        tables[k][bucket(k, g if k == 4 else "".join(g))] += n
-    return mojibake.Decoder(Language(dict(chars), tables))
+    return mojibake.Decoder(Language.of(CORPUS * 40))
 
 
 def read_wrong(text, true, wrong):

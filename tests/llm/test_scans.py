@@ -2,10 +2,7 @@
 
 import pytest
 
-from quillspark.llm import scans
-from quillspark.llm.language import Language, SIZES, bucket, count_texts
-
-import numpy as np
+from quillspark.llm import channel, scans
 
 SENTENCES = [
     "The membrane was measured in the same organoids.", "We compared the first samples with the baseline.", "Pre- and post-treatment counts were high.", "A well-known, state-of-the-art graph was used.", "The growth of the hydrogel was slow.",
@@ -13,21 +10,24 @@ SENTENCES = [
 ]
 
 
+def frame(spark, texts):
+    return spark.createDataFrame([(t, False) for t in texts] + [(t, True) for t in ("Results", "Study design")], "content string, is_title boolean")
+
+
+def learn(spark, texts, **kwargs):
+    shared, rest = channel.learned(frame(spark, texts), scans.line_key, **kwargs)
+    return shared.value, rest
+
+
+#: What the scanner made of some of the words, so that there is something to learn.
+MISREAD = ["The menibrane", "The mernbrane was rneasured", "the fir5t s@mples", "The growfh was slow.", "The rnodel of the 0rganoids"]
+
+
 @pytest.fixture(scope="module")
-def scanner():
-    text = SENTENCES * 60
-    chars, grams = count_texts(text)
-    tables = {k: np.zeros(n, np.int32) for k, n in SIZES.items()}
-    for g, n in grams.items():
-        k = 4 if isinstance(g, str) else len(g)
-        tables[k][bucket(k, g if k == 4 else "".join(g))] += n
-    import re
-
-    words = {}
-    for t in text:
-        for w in re.findall(r"[^\W_]+(?:-[^\W_]+)*-?", t):
-            words[w] = words.get(w, 0) + 1
-    return scans.Scanner(Language(dict(chars), tables), words, {"results", "study design"})
+def scanner(spark):
+    model, _ = learn(spark, SENTENCES * 60 + MISREAD)
+    model.headings |= {"results", "study design"}
+    return scans.Scanner(model)
 
 
 @pytest.mark.parametrize(
@@ -126,3 +126,53 @@ def test_heads_on_two_pages(spark):
     got = {r.block_id for r in scans.noisy(df).filter("noise = 'header'").collect()}
     assert got == {900, 901, 910, 911}
     assert {r.paragraph for r in scans.paragraphs(df).filter("note_id in (90, 91)").collect()} == {body}
+
+
+CONTEXT = ["The patient had pain."] * 300 + ["The patient had fever."] * 200 + ["It was a bad outcome."] * 40 + ["A bad sample was lost."] * 30
+
+
+def test_context_decides(spark):
+    """Both words are common: only what stands around tells which one was meant."""
+    model, _ = learn(spark, [*CONTEXT, "The patient bad pain."])
+    scanner = scans.Scanner(model)
+    assert scanner.mended("The patient bad pain.") == "The patient had pain."
+    for right in ("It was a bad outcome.", "The patient had fever.", "A bad sample was lost."):
+        assert scanner.mended(right) == right
+
+
+def test_same_at_every_size(spark):
+    """A corpus told four times says the same."""
+    once = ["The membrane was slow."] * 50 + ["The mernbrane was slow."] + ["Calderson and Velstrom agreed."] * 20 + ["bat and hat"] * 20
+    one, four = (scans.Scanner(learn(spark, once * k)[0]) for k in (1, 4))
+    for line in ("The mernbrane was slow.", "bat and hat", "Calderson and Velstrom agreed."):
+        assert one.mended(line) == four.mended(line)
+
+
+def test_rare_words_joined(spark, monkeypatch):
+    """Words with candidates that are not sent out are found by a join, with the same result."""
+    rows = [(i, 1 + i // 100, i % 100, 0, "text", SENTENCES[i % len(SENTENCES)]) for i in range(400)] + [(1000 + i, 20 + i, 0, 0, "text", t) for i, t in enumerate([*MISREAD, "The mern-\nbrane was high."])]
+    df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
+    found = lambda: {tuple(r) for r in scans.noisy(df).collect()}
+    paragraphs = lambda: {(r.block_id, r.paragraph) for r in scans.paragraphs(df).collect()}
+    want, text = found(), paragraphs()
+    assert {b for b, n in want if n == "misread"} == set(range(1001, 1006)) and (1001, "The membrane was measured") in text
+    monkeypatch.setattr(channel.learned, "__defaults__", (0,))
+    monkeypatch.setattr(channel, "FREQUENT_SHARE", 20)
+    assert found() == want and paragraphs() == text
+
+
+def test_no_text_is_lost(spark):
+    """All characters that are no noise come out, per note, whatever the pages."""
+    rows = [(i, i % 3, None if i % 7 == 0 else i, i % 2, None if i % 5 == 0 else "text", SENTENCES[i % 6]) for i in range(300)]
+    df = spark.createDataFrame(rows, "block_id long, note_id long, page int, ord int, kind string, content string")
+    letters = lambda texts: sorted("".join("".join(c for c in t if c.isalnum()) for t in texts))
+    got = scans.paragraphs(df).collect()
+    for note in range(3):
+        assert letters(r.paragraph for r in got if r.note_id == note) == letters(r[5] for r in rows if r[1] == note)
+
+
+def test_confusions_are_learned(spark):
+    words = spark.createDataFrame([("first", 900), ("f1rst", 9), ("other", 500)], "key string, n long")
+    pairs = spark.createDataFrame([("f1rst", 9, "1>i", "first", 900)], "w string, n long, op string, r string, n_r long")
+    p = channel.learned_confusions(pairs, words)
+    assert p["1>i"] == pytest.approx((9 + 2) / (900 + 9 * 0 + 2000)) and p["5>s"] < p["1>i"]
