@@ -21,13 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import lookalikes
-from quillspark.tables import table
+from quillspark.tables import cut, table
 
 MOST_LABELS = 20_000
+#: The judged documents that are taken have at most so many characters together (a few hundred MB in the driver).
+MOST_CHARS = 48_000_000
+#: N-grams below which a sentence is short.
+SHORT = 8
 BUCKETS, DIM = 1 << 18, 16
 #: Lengths of the n-grams; pairs only for scripts written without gaps.
 NGRAMS = (3, 5, 7)
@@ -211,9 +215,9 @@ def _sums(codes: np.ndarray, sentence: np.ndarray, starts: np.ndarray, weights:
 
 
 def _probability(total: np.ndarray, sizes: np.ndarray, bias: float) -> np.ndarray:
-    """Per sentence; those of a few characters only are nothing."""
-    z = total / np.maximum(sizes, 1) + bias
-    return np.where(sizes > 7, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+    """Per sentence; the less there is of a short one, the nearer it stays to the bias. A sentence of no n-gram is nothing."""
+    z = total / np.maximum(sizes, SHORT) + bias
+    return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
 def worst_sentence(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -306,10 +310,14 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
 
 
-def fitted_model(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> tuple[np.ndarray, float, float]:
+def fitted_model(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELS, most_chars: int = MOST_CHARS) -> tuple[np.ndarray, float, float]:
     """The model of a bounded sample of the judged documents."""
     judged = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).filter("lo = hi").select("doc_id", F.col("lo").alias("toxic"))
     sample = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # at most so many rows, and of these as many as have so many characters: both bounds are parameters
+    sized = documents.filter(F.col("text").isNotNull()).select("doc_id", F.length("text").alias("n")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sample = cut(sized.withColumn("upto", upto).filter(F.col("upto") <= most_chars).select("doc_id", "toxic"))
     # the sample is bounded, so the documents need not be shuffled for it
     got = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
     return train(got.column("text").to_pylist(), np.array(got.column("toxic").to_pylist(), np.int64))

@@ -19,14 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.tables import table
+from quillspark.tables import SALTS, Hot, cut, table
 
 #: Words: runs of letters, marks and digits of any script.
 WORD = r"[\p{L}\p{M}\p{N}]+"
-#: A key is hot if it has more rows than this, and more than one in ``HOT_MOST`` of all rows: at most HOT_MOST keys are.
-HOT_LEAST, HOT_MOST = 20_000, 1024
-SALTS = 64
-
 
 def canonical_words(text: Column) -> Column:
     """The folded words of ``text``, sorted, each as often as it occurs."""
@@ -46,33 +42,30 @@ def keyed(records: DataFrame, ident: str, text: str, within: list[str]) -> DataF
     )
 
 
-def hot(rows: DataFrame) -> DataFrame:
-    """Hot keys, exactly: at most ``HOT_MOST``, whatever the input."""
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    total = rows.count()
-    return counts.filter(F.col("n") > max(HOT_LEAST, total // HOT_MOST)).select("key")
-
-
-def copies(records: DataFrame, ident: str, text: str, within: list[str]) -> DataFrame:
-    """(keep, id, n): each copy but the first of its group, the group's smallest identifier and its number of records."""
-    rows = keyed(records, ident, text, within)
-    hot_keys = F.broadcast(hot(rows).withColumn("is_hot", F.lit(True)))
-    marked = rows.join(hot_keys, "key", "left")
-    # Cold keys: one shuffle. A group holds at most HOT_LEAST identifiers (or one in HOT_MOST of all).
+def copies(records: DataFrame, ident: str, text: str, within: list[str], limit: int | None = None) -> DataFrame:
+    """(keep, id, n): each copy but the first of its group, the group's smallest identifier and its number of records.
+    Keys with more than ``limit`` records are hot, however many records there are in all."""
+    # 16 bytes and an identifier per record, read by each of the steps below: the keys are worked out once
+    rows = cut(keyed(records, ident, text, within))
+    hot = Hot(rows, "key", limit)
+    is_hot = hot.test(F.col("key"))
+    # Cold keys: one shuffle. A group holds no more identifiers than the limit.
     cold = (
-        marked.filter(F.col("is_hot").isNull())
+        rows.filter(~is_hot)
         .groupBy("key")
         .agg(F.collect_set("id").alias("ids"))
         .filter(F.size("ids") > 1)
         .select(F.array_min("ids").alias("keep"), F.size("ids").cast("long").alias("n"), F.explode("ids").alias("id"))
     )
-    # Hot keys: distinct members and their minimum per salt, then per key; the totals (at most HOT_MOST rows) go back by
-    # broadcast to the members, which never meet in one task.
-    members = marked.filter(F.col("is_hot")).select("key", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).distinct()
-    level1 = members.groupBy("key", "salt").agg(F.min("id").alias("keep"), F.count("*").alias("n"))
-    level2 = level1.groupBy("key").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
-    warm = members.join(F.broadcast(level2), "key").select("keep", "n", "id")
-    return cold.unionByName(warm).filter((F.col("n") > 1) & (F.col("id") != F.col("keep")))
+    if hot.n:
+        # Hot keys: distinct members and their minimum per salt, then per key; the totals go back to each salt's members,
+        # which never meet in one task. A cold key that the filter takes for a hot one fares the same.
+        members = rows.filter(is_hot).select("key", "id", hot.salt(F.col("key"), F.col("id")).alias("salt")).distinct()
+        level1 = members.groupBy("key", "salt").agg(F.min("id").alias("keep"), F.count("*").alias("n"))
+        level2 = level1.groupBy("key").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
+        warm = members.join(level2.withColumn("salt", hot.salts(F.col("key"))), ["key", "salt"]).select("keep", "n", "id")
+        cold = cold.unionByName(warm)
+    return cold.filter((F.col("n") > 1) & (F.col("id") != F.col("keep")))
 
 
 def collapsed(records: DataFrame, ident: str, text: str, within: list[str]) -> DataFrame:

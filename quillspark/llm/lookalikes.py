@@ -106,11 +106,12 @@ def _symbols(word: str) -> set[int]:
     return out
 
 
-def consistent(word: str, others: Counter) -> str:
-    """The word in one script. ``others`` counts the scripts of the words around it that have only one."""
+def consistent(word: str, others: Counter, symbols: bool = True) -> str:
+    """The word in one script. ``others`` counts the scripts of the words around it that have only one; ``symbols``: Greek
+    letters may stand for themselves."""
     letters = [(i, c) for i, c in enumerate(word) if script(c) != "COMMON"]
     own = {script(c) for _, c in letters}
-    if len(own) > 1 and own <= {"LATIN", "GREEK"}:
+    if symbols and len(own) > 1 and own <= {"LATIN", "GREEK"}:
         keep = _symbols(word)
         letters = [(i, c) for i, c in letters if i not in keep]
         own = {script(c) for _, c in letters}
@@ -125,7 +126,7 @@ def consistent(word: str, others: Counter) -> str:
         to = context[0][0]
         # all of it has look-alikes in the script that the rest is written in; capitals in a row are an abbreviation,
         # a single Greek letter a symbol
-        if to not in can or mine == "LATIN" and not word.islower() or mine == "GREEK" and len(letters) == 1:
+        if to not in can or mine == "LATIN" and not word.islower() or symbols and mine == "GREEK" and len(letters) == 1:
             return word
     else:
         known = [s for s, _ in others.most_common() if s in can]
@@ -163,13 +164,19 @@ def title_form(s: str) -> str:
     return WORD.sub(lambda m: consistent(m.group(), sure), s)
 
 
+#: DOIs are spelled in Latin letters.
+_LATIN = Counter({"LATIN": 1})
+
+
 def doi_form(s: str) -> str:
-    """The one form of a DOI: ASCII as far as its characters have look-alikes there, no blanks, small letters."""
+    """The one form of a DOI: words that can be spelled in Latin letters are (by the scripts that all their letters resolve
+    to), dashes, slashes and dots are ASCII, no blanks, small letters."""
     if not s.isascii():
         s = "".join(c for i, c in enumerate(s) if not invisible(s, i))
         s = "".join("-" if c in DASHES else "/" if c in SLASHES else "." if c in DOTS else c for c in s)
         s = unicodedata.normalize("NFKC", s)
-        s = "".join(LOOKS[c][1] if c in LOOKS else SINGLES.get(c, c) for c in s)
+        s = "".join(SINGLES.get(c, c) for c in s)
+        s = WORD.sub(lambda m: consistent(m.group(), _LATIN, symbols=False), s)
     return "".join(s.split()).lower()
 
 

@@ -121,6 +121,9 @@ def _sequences(wrong: str) -> re.Pattern:
 SEQUENCES = {wrong: _sequences(wrong) for _, wrong in STRONG}
 
 
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
 def peeled(s: str, wrong: str) -> str:
     """One layer of UTF-8 read in ``wrong`` undone wherever it can be."""
     if wrong == "gb18030":
@@ -139,6 +142,16 @@ def peeled(s: str, wrong: str) -> str:
     return SEQUENCES[wrong].sub(undo, s)
 
 
+def whole_edges(s: str, wrong: str) -> dict[int, list[tuple[int, str]]]:
+    """The readings that make up ``peeled``, as edges of the lattice."""
+    out: dict[int, list[tuple[int, str]]] = {}
+    for m in _NOT_ASCII.finditer(s) if wrong == "gb18030" else SEQUENCES[wrong].finditer(s):
+        t = peeled(m.group(), wrong)
+        if t != m.group():
+            out[m.start()] = [(m.end(), t)]
+    return out
+
+
 def _covered(s: str, wrong: str) -> set[int]:
     """Places within what is, or touches, another layer of the same damage."""
     if wrong not in SEQUENCES:
@@ -186,6 +199,7 @@ class Decoder:
             b = c.encode("utf-8")
             for k in range(1, len(b)):
                 self.by_prefix[b[:k]].append(c)
+        self.han = [c for c in alphabet if "一" <= c <= "鿿"]
         self.narrow = sorted((c for c in alphabet if not "⺀" <= c <= "鿿" and unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)), key=lambda c: -lm.chars[c])
 
     def lost(self, s: str, out: dict[int, list[tuple[int, str]]]) -> None:
@@ -193,7 +207,12 @@ class Decoder:
         for m in re.finditer("(?:�|ï¿½)+", s):
             i, j = m.span()
             unit = 3 if s[i] == "ï" else 1
-            for c in self.narrow:
+            # a Han character lost beside others: those that the corpus has beside them
+            left, right = s[i - 1] if i else " ", s[j] if j < len(s) else " "
+            beside = [c for c in self.han if self.beside(left, c) or self.beside(c, right)] if "一" <= left <= "鿿" or "一" <= right <= "鿿" else []
+            # beside Latin letters, letters of other scripts are none
+            latin = any(x.isalpha() and x < "\u02ff" for x in (left, right))
+            for c in (*(c for c in self.narrow if not (latin and c.isalpha() and c > "\u02ff")), *beside):
                 for end in range(i + unit, min(j, i + 3 * unit) + 1, unit):
                     out[i].append((end, c))
             for true, wrong in STRONG + WIDE:
@@ -212,6 +231,9 @@ class Decoder:
                         for c in self.by_prefix[raw[3:]]:
                             out[i - k].append((i + unit, first + c))
 
+    def beside(self, a: str, b: str) -> bool:
+        return ("一" <= a <= "鿿" or "一" <= b <= "鿿") and int(self.lm.tables[2][bucket(2, a + b)]) > 1
+
     def stripped(self, s: str, out: dict[int, list[tuple[int, str]]]) -> None:
         """Edges for the first byte of a character whose other bytes were dropped without a trace."""
         for i, c in enumerate(s):
@@ -274,9 +296,14 @@ class Decoder:
                 self.seen.clear()
         return got
 
-    def best(self, s: str, odd: set[int]) -> str:
-        """The best path through the lattice of one layer."""
-        lm = self.lm
+    def best(self, s: str, odd: set[int], readings: dict[int, list[tuple[int, str]]] | None = None) -> str:
+        """The best path through the lattice of one layer; with ``readings``, of these alone."""
+        if readings is None:
+            readings = self.readings(s, odd)
+        return self.decoded(s, {i: list(dict.fromkeys(e)) for i, e in readings.items() if e})
+
+    def readings(self, s: str, odd: set[int]) -> dict[int, list[tuple[int, str]]]:
+        """The lattice: what the runs of characters from each place on may mean."""
         strong = edges(s, STRONG)
         # readings that the corpus knows must explain a good part of what is odd, else they are accidents of another channel
         explained = {k for i, e in strong.items() for j, t in e if all(c in self.alphabet for c in t) for k in range(i, j)}
@@ -292,7 +319,11 @@ class Decoder:
             out = defaultdict(list, strong)
         self.lost(s, out)
         self.stripped(s, out)
-        out = {i: list(dict.fromkeys(e)) for i, e in out.items() if e}
+        return out
+
+    def decoded(self, s: str, out: dict[int, list[tuple[int, str]]]) -> str:
+        """Viterbi search."""
+        lm = self.lm
         if not out:
             return s
         # only the words with readings are searched; what stands before them is their context
@@ -346,15 +377,20 @@ class Decoder:
             return mark + max(known, spelled + math.log(0.5)) if known > spelled else score
         return score
 
-    def restore(self, s: str, layers: int = 4) -> str:
-        for layer in range(layers):
-            odd = self.odd(s, own=layer == 0)
+    def restore(self, s: str) -> str:
+        """Layer after layer, until nothing changes; no text is looked at twice."""
+        before: set[str] = set()
+        while s not in before:
+            odd = self.odd(s, own=not before)
+            before.add(s)
             if not odd:
                 break
-            # A reading of the whole text that leaves nothing unlikely, or only another layer of damage, is the one path.
+            # If a channel's reading of the whole text leaves nothing unlikely, the lattice needs no other channel.
             for wrong in [*SEQUENCES, "gb18030"]:
                 t = peeled(s, wrong)
                 if t != s and not self.strange(t) - _covered(t, wrong):
+                    # what is damaged within another layer cannot be judged before that is undone
+                    t = t if self.strange(t) else self.best(s, odd, whole_edges(s, wrong))
                     break
             else:
                 t = self.best(s, odd)

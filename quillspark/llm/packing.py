@@ -180,7 +180,11 @@ def packed(documents: DataFrame, packs: list[tuple[str, int]], ident: str = "doc
         own, n = places(plan(histogram[i], c))
         rows += [(i, *x) for x in own]
         containers.append(n)
-    at = spark.createDataFrame(rows, "i int, rest long, lo long, hi long, base long, each_holds long")
+    # one row per length, with the ranges of its ranks: bounded by the capacities
+    ranges: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
+    for i, rest, *x in rows:
+        ranges[i, rest].append(tuple(x))
+    at = spark.createDataFrame([(i, rest, sorted(x)) for (i, rest), x in ranges.items()], "i int, rest long, ranges array<struct<lo: long, hi: long, base: long, each_holds: long>>")
     w = Window.partitionBy("i", "rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = local.select("i", "part", "rest", F.coalesce(F.sum("items").over(w), F.lit(0)).alias("shift"))
     per_part = local.groupBy("i", "part").agg(F.sum("full").alias("full"))
@@ -191,9 +195,9 @@ def packed(documents: DataFrame, packs: list[tuple[str, int]], ident: str = "doc
         each.filter(F.col("rest") > 0)
         .join(shift, ["i", "part", "rest"])
         .withColumn("r", F.col("rank") + F.col("shift"))
-        # one row per kind of container and length: bounded by the capacities
         .join(F.broadcast(at), ["i", "rest"])
-        .filter((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+        .withColumn("in", F.get(F.filter("ranges", lambda x: (F.col("r") >= x["lo"]) & (F.col("r") < x["hi"])), F.lit(0)))
+        .select("*", "in.*")
         .select("pack", "capacity", (F.col("base") + F.expr("(r - lo) div each_holds")).alias("container"), "ident", F.col("full").cast("int").alias("piece"), F.col("rest").cast("int").alias("n_tokens"))
     )
     first = F.array(*(F.lit(int(n)) for n in containers))

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from quillspark import tables
 from quillspark.llm import duplicates
 
 SCHEMA = "id long, g string, text string, extra string"
@@ -49,9 +50,7 @@ def test_equals_brute_force(spark):
 def test_hot_keys_are_salted_with_the_same_result(spark, monkeypatch):
     rows = variants(random.Random(2), 200) + [(1000 + i, "g", "hot key" if i % 2 else "KEY; hot", "") for i in range(300)]
     plain, _ = run(spark, rows)
-    monkeypatch.setattr(duplicates, "HOT_LEAST", 20)
-    monkeypatch.setattr(duplicates, "HOT_MOST", 10)
-    assert duplicates.hot(duplicates.keyed(spark.createDataFrame(rows, SCHEMA), "id", "text", ["g"])).count() == 1
+    monkeypatch.setattr(tables, "HOT_ROWS", 20)
     salted, _ = run(spark, rows)
     assert plain == salted == brute(rows)
 

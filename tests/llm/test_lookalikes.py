@@ -53,3 +53,9 @@ def test_operator(spark):
     assert got[1, "doi"] == "10.1234/ab" and got[2, "title"] == "graph of all" and got[3, "title"] == ""
     assert set(got) == {(1, "doi"), (2, "title"), (3, "title"), (6, "title")}
     assert K.cases(df.limit(0)).count() == 0
+
+
+def test_doi_letters_by_script():
+    """A word is spelled in Latin letters if all of it can be; one with letters that have no look-alike is of its own script."""
+    assert K.doi_form("10.1234/АВС.оре") == "10.1234/abc.ope" and K.doi_is_case("10.1234/АВС")
+    assert not K.doi_is_case("10.1234/журнал")

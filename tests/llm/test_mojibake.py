@@ -76,3 +76,23 @@ def test_damage_that_counts_itself(spark):
     rows = [(i, t) for i, t in enumerate(good)] + [(900 + i, t) for i, t in enumerate(bad)]
     got = {r.note_id: r.restored for r in mojibake.restored(spark.createDataFrame(rows, "note_id long, title string"), "note_id", "title").collect()}
     assert got == {900 + i: t for i, t in enumerate(meant)}
+
+
+def test_lost_han_character_is_read_from_its_place(decoder):
+    assert decoder.restore("基于质谱分析的蛋�质综述") == "基于质谱分析的蛋白质综述"
+
+
+def test_layers_without_end(decoder):
+    """As many layers of wrong decoding as there are."""
+    bad = text = "Größere Schwelle nach Müller"
+    for _ in range(5):
+        bad = read_wrong(bad, "utf-8", "cp1252")
+    assert decoder.restore(bad) == text
+
+
+def test_a_reading_that_the_corpus_makes_worse_is_none(decoder):
+    assert decoder.best("Müller", {1}, {1: [(2, "ж")]}) == "Müller"
+
+
+def test_lost_letters_are_of_the_words_script(decoder):
+    assert decoder.restore("Gr��ere Schwelle nach M�ller (2010)") == "Größere Schwelle nach Müller (2010)"
