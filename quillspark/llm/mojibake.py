@@ -21,11 +21,12 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.language import WORD, Language, bucket, counted
+from quillspark.llm.language import _MIX, SIZES, WORD, Language, bucket, counted
 from quillspark.tables import table
 
 #: (true, wrong) encodings. UTF-8 read in a single-byte encoding leaves sequences that no language writes; the others need
@@ -41,6 +42,8 @@ LOST = re.compile("[\x80-\x9f�]|ï¿½|锟斤拷|锟斤|斤拷")
 #: Log cost of beginning a damaged span, of going on in it, and of reading a lost byte.
 BEGIN, GO_ON, READ_LOST = 6.0, 0.1, 0.5
 BEAM = 48
+#: Runs of more lost bytes are left as they are: whatever is read there would be invented.
+LONGEST_LOST = 4
 #: Characters less likely than this in their place are odd.
 ODD = math.exp(-5)
 #: A reading of a whole text is taken at once if its pairs make up more than this share of all pairs.
@@ -199,22 +202,17 @@ class Decoder:
             b = c.encode("utf-8")
             for k in range(1, len(b)):
                 self.by_prefix[b[:k]].append(c)
-        self.han = [c for c in alphabet if "一" <= c <= "鿿"]
-        self.narrow = sorted((c for c in alphabet if not "⺀" <= c <= "鿿" and unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)), key=lambda c: -lm.chars[c])
+        self.letters = np.array([ord(c) for c in alphabet if unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)], np.int64)
+        self.after: dict[str, list[str]] = {}
 
     def lost(self, s: str, out: dict[int, list[tuple[int, str]]]) -> None:
         """Edges for lost bytes: a whole character lost, or the end of a character whose beginning is there."""
         for m in re.finditer("(?:�|ï¿½)+", s):
             i, j = m.span()
             unit = 3 if s[i] == "ï" else 1
-            # a Han character lost beside others: those that the corpus has beside them
-            left, right = s[i - 1] if i else " ", s[j] if j < len(s) else " "
-            beside = [c for c in self.han if self.beside(left, c) or self.beside(c, right)] if "一" <= left <= "鿿" or "一" <= right <= "鿿" else []
-            # beside Latin letters, letters of other scripts are none
-            latin = any(x.isalpha() and x < "\u02ff" for x in (left, right))
-            for c in (*(c for c in self.narrow if not (latin and c.isalpha() and c > "\u02ff")), *beside):
-                for end in range(i + unit, min(j, i + 3 * unit) + 1, unit):
-                    out[i].append((end, c))
+            # any character of the corpus, for one byte or what is left of up to three; a longer run says nothing of what it was
+            for k in range(i, j if j - i <= LONGEST_LOST * unit else i, unit):
+                out[k] += [(end, None) for end in range(k + unit, min(j, k + 3 * unit) + 1, unit)]
             for true, wrong in STRONG + WIDE:
                 for k in (1, 2):
                     if i - k < 0:
@@ -231,8 +229,17 @@ class Decoder:
                         for c in self.by_prefix[raw[3:]]:
                             out[i - k].append((i + unit, first + c))
 
-    def beside(self, a: str, b: str) -> bool:
-        return ("一" <= a <= "鿿" or "一" <= b <= "鿿") and int(self.lm.tables[2][bucket(2, a + b)]) > 1
+    def followers(self, a: str) -> list[str]:
+        """Characters that the corpus has after ``a``: what a wildcard may stand for."""
+        got = self.after.get(a)
+        if got is None:
+            h = np.uint64(ord(a) * _MIX[0] & 0xFFFFFFFFFFFFFFFF) + self.letters.astype(np.uint64) * np.uint64(_MIX[1])
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX[1])
+            at = h >> np.uint64(65 - SIZES[2].bit_length())
+            got = self.after[a] = [chr(c) for c in self.letters[self.lm.tables[2][at.astype(np.int64)] > 1].tolist()]
+            if a.isalpha() and a < "\u02ff":  # within a word in Latin letters, letters of other scripts are none
+                got = self.after[a] = [c for c in got if c < "\u02ff" or not c.isalpha()]
+        return got
 
     def stripped(self, s: str, out: dict[int, list[tuple[int, str]]]) -> None:
         """Edges for the first byte of a character whose other bytes were dropped without a trace."""
@@ -340,10 +347,14 @@ class Decoder:
         layers: list[dict] = [{} for _ in range(len(s) + 1)]
         layers[0][(context[0], context[1], "", False)] = (0.0, 0.0, "")
         for i in range(len(s)):
-            states = sorted(layers[i].items(), key=lambda x: -x[1][0])[: BEAM if any(len(out.get(k, ())) > 8 for k in (i, i - 1)) else BEAM // 4]
+            wide = any(len(e) > 8 or any(t is None for _, t in e) for e in (out.get(i, ()), out.get(i - 1, ())))
+            states = sorted(layers[i].items(), key=lambda x: -x[1][0])[: BEAM if wide else BEAM // 4]
             layers[i] = {}
             for (a, b, word, inside), (score, mark, text) in states:
-                for j, meant in [(i + 1, s[i]), *out.get(i, ())]:
+                given = [(i + 1, s[i])]
+                for e in out.get(i, ()):
+                    given += [e] if e[1] is not None else [(e[0], c) for c in self.followers(b)]
+                for j, meant in given:
                     same = j == i + 1 and meant == s[i]
                     x, y, w, m = a, b, word, mark
                     v = score
