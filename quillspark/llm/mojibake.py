@@ -236,7 +236,7 @@ class Decoder:
             h = np.uint64(ord(a) * _MIX[0] & 0xFFFFFFFFFFFFFFFF) + self.letters.astype(np.uint64) * np.uint64(_MIX[1])
             h = (h ^ (h >> np.uint64(29))) * np.uint64(_MIX[1])
             at = h >> np.uint64(65 - SIZES[2].bit_length())
-            got = self.after[a] = [chr(c) for c in self.letters[self.lm.tables[2][at.astype(np.int64)] > 1].tolist()]
+            got = self.after[a] = [chr(c) for c in self.letters[self.lm.tables[2][at.astype(np.int64)] > 0].tolist()]
             if a.isalpha() and a < "\u02ff":  # within a word in Latin letters, letters of other scripts are none
                 got = self.after[a] = [c for c in got if c < "\u02ff" or not c.isalpha()]
         return got
