@@ -69,21 +69,23 @@ def _closed(text: Column) -> Column:
     return F.regexp_replace(text, GAP_BEFORE_DIGIT, "$1$2")
 
 
-def repair_text(text: Column, rounds: int = 6) -> Column:
-    """Rejoin DOIs that blanks or invisible characters have split.
+def repair_text(text: Column) -> Column:
+    """Rejoin DOIs that blanks or invisible characters have split, until nothing is left to close.
 
-    Each round closes a gap of every DOI; :func:`repair_unfinished` tells the texts that need more rounds.
+    A round closes a gap of every DOI, so there are at most as many rounds as blanks; once a round has changed nothing, the
+    others are not worked out. Text without a DOI takes no round at all.
     """
-    text = F.regexp_replace(F.translate(text, INVISIBLE, ""), SPLICE, "")
-    for _ in range(rounds):
-        text = _closed(text)
-    return text
+    start = F.regexp_replace(F.translate(text, INVISIBLE, ""), SPLICE, "")
 
+    def one(acc: Column, _: Column) -> Column:
+        again = F.struct(_closed(acc["text"]).alias("text"), (_closed(acc["text"]) == acc["text"]).alias("done"))
+        return F.when(acc["done"], acc).otherwise(again)
 
-def repair_unfinished(text: Column, rounds: int = 6) -> Column:
-    """True where a further round of :func:`repair_text` would still change the text."""
-    done = repair_text(text, rounds)
-    return _closed(done) != done
+    def run(s: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(s, F.lit(r"\s"))))
+        return F.aggregate(rounds, F.struct(s.alias("text"), F.lit(False).alias("done")), one)["text"]
+
+    return bound(start, lambda s: F.when(s.rlike(r"10\.\d{4,9}/\S*\s"), run(s)).otherwise(s))
 
 
 def bound(value: Column, make) -> Column:

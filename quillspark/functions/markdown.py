@@ -14,6 +14,12 @@ SECTION_HEADING = r"(?i)^(Abstract|Introduction|Methods?|Results?|Discussion|Con
 NO_TITLE = r"(?i)^(authors?|abstract|introduction|methods?|results?|discussions?|conclusions?|references?|background|keywords?|acknowledg?ments?|summary|materials?|supplementary|appendix)[\s:：]"
 REFERENCE_ENTRY = r"(?m)^\s*(?:\[\d+\]|\d+\.)\s+(.*)$"
 IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
+#: Images whose address does not begin so lose their text; an image within a link; tags that converters leave behind.
+KEPT_IMAGES = ["images/", "https://", "C:/"]
+CLICKABLE_IMAGE = r"(?i)\[\s*((?:!\[[^\]]*\]\([^)]+\)|!\([^)]+\))[^\]]*?)\]\s*\(([^)]+)\)"
+ARTIFACT_TAGS = r"(?i)</?(?:lcel|nl)>"
+#: An image of a vault that is copied with a note: what stands before its address, and its name.
+COPIED_IMAGE = r"(?i)(!\[[^\]]*\])\((?:[A-Z]:[\\/].*?images|\.\.[\\/]images)[\\/]([a-f0-9]+\.(?:jpg|png|jpeg|gif))\)"
 URL = r"https?://[^\s<>\"')\]]+"
 # ----------------------------------------------------------------------------------------------------------------
 
@@ -87,6 +93,28 @@ def local_images(text: Column) -> Column:
     return F.array_distinct(F.transform(own, lambda x: F.substring_index(x, "/", -1)))
 
 
+def fixed_images(text: Column) -> Column:
+    """Image links in their one form: addresses without blanks around and with a protocol; only some keep their text."""
+    s = F.regexp_replace(text, r"!\[([^\]]*)\]\(\s*([^)]*?)\s*\)", "![$1]($2)")
+    s = F.regexp_replace(s, r"!\[([^\]]*)\]\(//([^)]*)\)", "![$1](https://$2)")
+    kept = "|".join(KEPT_IMAGES)
+    return F.regexp_replace(s, rf"!\[[^\]]*\]\((?!{kept})([^)]*)\)", "!($1)")
+
+
+def without_artifacts(text: Column) -> Column:
+    """Without converters' tags, images in their one form, none within a link (what stands behind it in the link is kept)."""
+    return F.regexp_replace(fixed_images(F.regexp_replace(text, ARTIFACT_TAGS, "")), CLICKABLE_IMAGE, "$1($2)")
+
+
+def copied_images(text: Column) -> Column:
+    """Names of the images that are copied with a note."""
+    return F.regexp_extract_all(text, F.lit(COPIED_IMAGE), F.lit(2))
+
+
+def readdressed_images(text: Column, to: str) -> Column:
+    return F.regexp_replace(text, COPIED_IMAGE, f"$1({to}$2)")
+
+
 def moved_images(text: Column, to: str) -> Column:
     return F.replace(text, F.lit("](images/"), F.lit(f"]({to}"))
 

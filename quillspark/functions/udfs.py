@@ -6,7 +6,6 @@ from __future__ import annotations
 import difflib
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -17,7 +16,8 @@ from quillspark.functions.doi import DOI_PATTERN
 # --- fixed values -----------------------------------------------------------------------------------------------
 #: Links to logins, articles, journals and authors, and to places within the page, are no references.
 TRACKING = re.compile(r"(?:login|article|md5=|journal|author)", re.I)
-LINK = re.compile(r"(?<!!)(?<!\\)\[(?!!)([^\[\]]*)\]\(([^()]*)\)")
+LINK = re.compile(r"(\s*)(?<!!)\[(?!!)([^\]]*)\]\(([^)]+)\)(\s*)")
+BRACKETS = re.compile(r"\[\[([^\]]+)\]\]")
 # ----------------------------------------------------------------------------------------------------------------
 _DOI = re.compile(DOI_PATTERN, re.I)
 
@@ -62,19 +62,20 @@ def front_matter_json(block: pd.Series) -> pd.Series:
 
 
 def _unlinked(m: re.Match) -> str:
-    text, url = m.groups()
-    if TRACKING.search(url) or url.startswith("#"):
-        return f"({text})({url})"
-    if _DOI.search(text):
-        return f" {text} "
-    found = _DOI.search(url)
-    return f" {found.group()} " if found else f"({text})({url})"
+    before, text, url, after = m.groups()
+    escaped = m.string[: m.start(2) - 1].endswith("\\")
+    found = None if not escaped and (TRACKING.search(url) or url.startswith("#")) else _DOI.search(text) or _DOI.search(url)
+    if found is None:
+        # an empty text keeps its brackets
+        return f"{before}({text})({url}){after}" if text or not escaped and (TRACKING.search(url) or url.startswith("#")) else m.group()
+    # the blanks around go with the link
+    return f" {text if found.string is text else found.group()} "
 
 
 @F.pandas_udf(T.StringType())
 def plain_links(body: pd.Series) -> pd.Series:
-    """Links as text: a DOI in text or address stands alone, other links lose their brackets."""
-    return body.map(lambda s: None if s is None else re.sub(r"\[\[([^\[\]]+)\]\]", r"[\1]", LINK.sub(_unlinked, s)))
+    """Links as text: a DOI in text or address stands alone with one blank on either side, other links lose their brackets."""
+    return body.map(lambda s: None if s is None else BRACKETS.sub(r"[\1]", LINK.sub(_unlinked, s)))
 
 
 @F.pandas_udf(T.StringType())
@@ -89,21 +90,24 @@ def linked_urls(body: pd.Series, urls: pd.Series) -> pd.Series:
     return pd.Series([one(t, u) for t, u in zip(body, urls)])
 
 
-@F.udtf(returnType="leaf: string")
-class JsonLeaves:
-    """All strings in a JSON value, however deep; nothing for broken JSON."""
-
-    def eval(self, text: str) -> Iterator[tuple[str]]:
-        try:
-            value = json.loads(text) if text else None
-        except ValueError:
-            return
-        stack = [value]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                yield (x,)
-            elif isinstance(x, dict):
-                stack.extend(reversed(list(x.values())))
-            elif isinstance(x, list):
-                stack.extend(reversed(x))
+def string_leaves(text: str | None) -> list[str]:
+    """All strings in a JSON value, however deep, in order; none for broken JSON."""
+    try:
+        stack = [json.loads(text)] if text else []
+    except ValueError:
+        return []
+    out = []
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, dict):
+            stack.extend(reversed(list(x.values())))
+        elif isinstance(x, list):
+            stack.extend(reversed(x))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_leaves(text: pd.Series) -> pd.Series:
+    return text.map(string_leaves)

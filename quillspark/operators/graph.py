@@ -22,12 +22,18 @@ def entries(references: DataFrame) -> DataFrame:
     return rows.filter(F.col("raw") != "").withColumn("doi", doi).withColumn("key", F.lower(F.coalesce("doi", "raw")))
 
 
+def rebuilt_lists(references: DataFrame) -> DataFrame:
+    """The ``reference`` lists with each DOI of a link, and each entry that is no link, once per note (the first one counts;
+    such an entry's key is its text, whatever the letter case): note_id, pos, key, raw, doi, name, is_special. Implausible DOIs
+    are dropped; ``doi`` and ``name`` are null where there is no link."""
+    rows = entries(references.filter(F.col("field") == "reference")).filter(F.col("doi").isNull() | D.is_plausible(F.col("doi")))
+    first = rows.groupBy("note_id", "key").agg(F.min_by(F.struct("pos", "raw", "doi", "name"), "pos").alias("f"))
+    return first.select("note_id", "f.pos", "key", "f.raw", "f.doi", "f.name", (~D.is_safe_name(F.col("f.name"))).alias("is_special"))
+
+
 def reference_edges(references: DataFrame) -> DataFrame:
-    """Citations of the ``reference`` lists, each DOI once per note (the first one counts): note_id, pos, key, doi, name,
-    is_special. Implausible DOIs are dropped."""
-    rows = entries(references.filter(F.col("field") == "reference")).filter(F.col("doi").isNotNull() & D.is_plausible(F.col("doi")))
-    first = rows.groupBy("note_id", "key").agg(F.min_by(F.struct("pos", "doi", "name"), "pos").alias("f"))
-    return first.select("note_id", "f.pos", "key", "f.doi", "f.name", (~D.is_safe_name(F.col("f.name"))).alias("is_special"))
+    """Citations of the ``reference`` lists: note_id, pos, key, doi, name, is_special."""
+    return rebuilt_lists(references).filter("doi IS NOT NULL").drop("raw")
 
 
 def cited_by_edges(references: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def graph_edges(spark, sf_dir: str) -> DataFrame:
 
 def graph_polarity(spark, sf_dir: str) -> DataFrame:
     stems = notes(spark, sf_dir).select("note_id", "stem")
-    return polarity(reference_edges(refs(spark, sf_dir)), self_dois(frontmatter(spark, sf_dir), stems))
+    return polarity(cut(reference_edges(refs(spark, sf_dir)).select("note_id", "key", "is_special")), self_dois(frontmatter(spark, sf_dir), stems))
 
 
 def self_doi(spark, sf_dir: str) -> DataFrame:
@@ -103,11 +109,14 @@ def graph_names(spark, sf_dir: str) -> DataFrame:
 
 
 def graph_resolved_refs(spark, sf_dir: str) -> DataFrame:
-    """Every citation with the name that all notes share for its work."""
+    """The lists as they are written back: every citation with the name that all notes share for its work, entries that are no
+    links as they stand."""
     all_refs = refs(spark, sf_dir)
-    edges = cut(reference_edges(all_refs))
+    lists = cut(rebuilt_lists(all_refs))
+    edges = lists.filter("doi IS NOT NULL")
     names = work_names(edges, cited_by_edges(all_refs), _paths(spark, sf_dir))
-    return lookup(edges, "key", names).select("note_id", "pos", F.concat(F.lit("[["), shared_name(F.col("doi")), F.lit("|"), "doi", F.lit("]]")).alias("link"))
+    linked = lookup(edges, "key", names).select("note_id", "pos", F.concat(F.lit("[["), shared_name(F.col("doi")), F.lit("|"), "doi", F.lit("]]")).alias("link"))
+    return linked.unionByName(lists.filter("doi IS NULL").select("note_id", "pos", F.col("raw").alias("link")))
 
 
 def graph_cited_by(spark, sf_dir: str) -> DataFrame:
@@ -124,7 +133,7 @@ def graph_cited_by(spark, sf_dir: str) -> DataFrame:
 def graph_top_missing(spark, sf_dir: str) -> DataFrame:
     """The most cited works that nobody gave a name of its own: the notes still to be written. Ten, ties by DOI."""
     all_refs = refs(spark, sf_dir)
-    edges, cited = reference_edges(all_refs), cited_by_edges(all_refs)
+    edges, cited = cut(reference_edges(all_refs).select("key", "name", "is_special")), cited_by_edges(all_refs)
     named = edges.filter("is_special AND name <> ''").select("key").unionByName(cited.filter("is_special AND name <> ''").select("key")).distinct()
     counts = edges.groupBy("key").agg(F.count("*").alias("n_citing"))
     return counts.join(named, "key", "left_anti").orderBy(F.desc("n_citing"), "key").limit(10)

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import doi as D
 from quillspark.functions import wikilink as W
-from quillspark.tables import cut, frontmatter, notes
+from quillspark.tables import cut, frontmatter, notes, spread_join
 
 THRESHOLD = Fraction(85, 100)
-#: Pairs below this similarity are no near misses.
+#: Near misses are looked for down to this similarity (a parameter of the search: the prefixes that are joined grow as it falls).
 NEAR = Fraction(50, 100)
+#: A link and its display part; what a link leads to.
+LINK = r"\[\[([^|]+)\|([^\]]+)\]\]"
+LINK_TARGET = r"\[\[\s*([^|\]]+)"
+#: An item in more prefixes than this is spread over tasks.
+PREFIX_LIMIT = 1000
 
 
 def source_key(source: Column) -> Column:
@@ -27,8 +32,13 @@ def first_target(references: Column) -> Column:
 
 
 def doi_set(references: Column) -> Column:
-    """DOIs in the display part of the links, otherwise of the whole entry; case counts here."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(references, lambda x: D.doi_first(F.coalesce(W.split(x)["display"], x))), lambda d: d.isNotNull())))
+    """All DOIs in the display part of an entry's link, wherever it stands in the entry, otherwise of the whole entry; case
+    counts here."""
+    def found(x: Column) -> Column:
+        flat = F.replace(x, F.lit("\n"), F.lit(" "))
+        return D.doi_all(F.coalesce(F.nullif(F.regexp_extract(flat, LINK, 2), F.lit("")), flat))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(references, lambda x: x.isNotNull()), found))))
 
 
 def last_path(rows: DataFrame, key: str) -> DataFrame:
@@ -40,8 +50,8 @@ def similar(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataFrame
     """(left_id, right_id, score): pairs of (id, items) whose sets have a Jaccard similarity of at least ``threshold``.
 
     Two similar sets share one of the rarest items of each, so only these are joined (prefix filter, rarest first); an
-    item that is in a third of all sets is among them only in sets with nothing rarer. Sizes that cannot match are left
-    out, the rest is verified.
+    item that is in a third of all sets is among them only in sets with nothing rarer, and its pairs are made in many tasks.
+    Sizes that cannot match are left out, the rest is verified.
     """
     both = left.select(F.lit(0).alias("side"), "id", "items").unionByName(right.select(F.lit(1).alias("side"), "id", "items")).filter(F.size("items") > 0)
     rows = both.select("side", "id", F.size("items").alias("n"), F.explode("items").alias("item"))
@@ -49,10 +59,11 @@ def similar(left: DataFrame, right: DataFrame, threshold: Fraction) -> DataFrame
     by_set = rows.join(counts, "item").groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
     t = F.lit(float(threshold))
     length = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
-    prefix = by_set.select("side", "id", "n", F.explode(F.slice("r", F.lit(1), length)).alias("x")).select("side", "id", "n", "x.item")
+    # joined with itself and counted: written once
+    prefix = cut(by_set.select("side", "id", "n", F.explode(F.slice("r", F.lit(1), length)).alias("x")).select("side", "id", "n", "x.item"))
     a = prefix.filter("side = 0").select("item", F.col("id").alias("left_id"), F.col("n").alias("n_left"))
     b = prefix.filter("side = 1").select("item", F.col("id").alias("right_id"), F.col("n").alias("n_right"))
-    pairs = a.join(b, "item").filter(F.least("n_left", "n_right") * threshold.denominator >= F.greatest("n_left", "n_right") * threshold.numerator).select("left_id", "right_id").distinct()
+    pairs = spread_join(a, b, "item", PREFIX_LIMIT).filter(F.least("n_left", "n_right") * threshold.denominator >= F.greatest("n_left", "n_right") * threshold.numerator).select("left_id", "right_id").distinct()
     met = pairs.join(left.select(F.col("id").alias("left_id"), F.col("items").alias("a")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("items").alias("b")), "right_id")
     shared = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - F.col("shared")
@@ -119,14 +130,39 @@ def match_cascade(spark, sf_dir: str) -> DataFrame:
     return found.groupBy(status.alias("status"), F.coalesce("method", F.lit("none")).alias("method")).agg(F.count("*").alias("n"))
 
 
+def link_status(existing: Column, target_stem: Column, force: Column) -> Column:
+    """An existing link stays unless it is to be overwritten by another target; without a target there is no match."""
+    there = F.coalesce(existing, F.lit("")) != ""
+    same = F.coalesce(F.trim(F.regexp_extract(existing, LINK_TARGET, 1)) == target_stem, F.lit(False))
+    return F.when(there & (~force | target_stem.isNull() | same), "skipped").when(target_stem.isNull(), "failed").otherwise("matched")
+
+
+def match_status(spark, sf_dir: str) -> DataFrame:
+    """Counts of the clippings' link status per kind of link and method, without and with overwriting."""
+    rows = _rows(spark, sf_dir)
+    clips = _clips(rows).select("note_id", "stem", "`paper-translate`", "`paper-analyze`", "`figure-extractor`")
+    translated = _cascade(rows).select("note_id", F.col("target_id").alias("t1"), "method")
+    by_stem = match_stem(spark, sf_dir).select("note_id", F.col("analysis_id").alias("t2"), F.col("figures_id").alias("t3"))
+    found = clips.join(translated, "note_id", "left").join(by_stem, "note_id", "left")
+    kinds = F.array(
+        F.struct(F.lit("translation").alias("kind"), F.col("`paper-translate`").alias("link"), F.col("t1").alias("target_id"), F.coalesce("method", F.lit("none")).alias("method")),
+        *(F.struct(F.lit(k).alias("kind"), F.col(f"`{c}`").alias("link"), F.col(t).alias("target_id"), F.when(F.col(t).isNull(), "none").otherwise("stem").alias("method")) for k, c, t in (("analysis", "paper-analyze", "t2"), ("figures", "figure-extractor", "t3"))),
+    )
+    each = found.select(F.explode(kinds).alias("k")).select("k.*").withColumn("force", F.explode(F.array(F.lit(False), F.lit(True))))
+    stems = rows.select(F.col("note_id").alias("target_id"), "stem")
+    met = each.join(stems, "target_id", "left")
+    return met.groupBy("kind", "force", link_status(F.col("link"), F.col("stem"), F.col("force")).alias("status"), "method").agg(F.count("*").alias("n"))
+
+
 def match_near_miss(spark, sf_dir: str) -> DataFrame:
     """The three most similar translations (at least 0.5) of each clipping that no method links."""
     rows = _rows(spark, sf_dir)
     clips = _clips(rows).join(_cascade(rows).select("note_id"), "note_id", "left_anti")
     scored = _scores(rows, clips, NEAR)
-    # the three best per clipping, by an aggregate of bounded size
-    top = scored.groupBy("left_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "path_parts", "right_id"))), 1, 3).alias("t"))
-    return top.select(F.col("left_id").alias("note_id"), F.posexplode("t").alias("i", "x")).select("note_id", (F.col("i") + 1).alias("place"), F.col("x.right_id").alias("target_id"), (-F.col("x.s")).alias("score"))
+    # Spark keeps three rows per clipping and task before the shuffle
+    best = Window.partitionBy("left_id").orderBy(F.desc("score"), "path_parts", "right_id")
+    top = scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 3)
+    return top.select(F.col("left_id").alias("note_id"), "place", F.col("right_id").alias("target_id"), "score")
 
 
 def match_stem(spark, sf_dir: str) -> DataFrame:
@@ -140,4 +176,4 @@ def match_stem(spark, sf_dir: str) -> DataFrame:
     return keyed.join(analyses, "key", "left").join(drawn, "key", "left").filter("analysis_id IS NOT NULL OR figures_id IS NOT NULL").select("note_id", "analysis_id", "figures_id")
 
 
-QUERIES = {f.__name__: f for f in (match_source, match_first_ref, match_jaccard, match_cascade, match_near_miss, match_stem)}
+QUERIES = {f.__name__: f for f in (match_source, match_first_ref, match_jaccard, match_cascade, match_status, match_near_miss, match_stem)}

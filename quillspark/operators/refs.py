@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import doi as D
 from quillspark.functions import markdown as M
+from quillspark.functions import udfs
 from quillspark.functions import wikilink as W
-from quillspark.tables import frontmatter, lookup, notes, refs, table
+from quillspark.tables import cut, frontmatter, lookup, notes, refs, spread_join, table
 
 AS_OF = "2024-06-30"
 MOST_AGE = 15
@@ -38,6 +39,12 @@ def pinned(items: Column, doi: Column) -> Column:
     return F.when(doi.isNull(), items).otherwise(F.concat(F.array(link), F.filter(items, lambda x: F.coalesce(F.lower(W.split(x)["display"]) != F.lower(D.canonical(doi)["doi"]), F.lit(True)))))
 
 
+def pinned_alike(items: Column, doi: Column) -> Column:
+    """The note's own DOI first; entries that hold it anywhere, whatever the letter case, go."""
+    own = D.canonical(doi)["doi"]
+    return F.when(doi.isNull(), items).otherwise(F.concat(F.array(W.make_safe(doi)), F.filter(items, lambda x: ~F.contains(F.lower(F.coalesce(x, F.lit(""))), F.lower(own)))))
+
+
 def dedupe_refs(spark, sf_dir: str) -> DataFrame:
     rows = frontmatter(spark, sf_dir).filter("reference IS NOT NULL")
     return rows.select("note_id", F.array_join(deduped(F.col("reference")), "\n").alias("refs"), F.size(deduped(F.col("reference"))).cast("long").alias("n"))
@@ -48,6 +55,11 @@ def pin_main(spark, sf_dir: str) -> DataFrame:
     return rows.select("note_id", F.array_join(pinned(F.col("reference"), D.doi_first(F.col("doi"))), "\n").alias("refs"))
 
 
+def pin_alike(spark, sf_dir: str) -> DataFrame:
+    rows = frontmatter(spark, sf_dir).filter("reference IS NOT NULL")
+    return rows.select("note_id", F.array_join(pinned_alike(F.col("reference"), D.doi_first(F.col("doi"))), "\n").alias("refs"))
+
+
 def number_refs(spark, sf_dir: str) -> DataFrame:
     rows = frontmatter(spark, sf_dir).filter(F.size("reference") > 0)
     return rows.select("note_id", M.reference_list(F.col("reference")).alias("section"))
@@ -105,28 +117,134 @@ def lookup_misses(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("doi").agg(F.count("*").alias("n")).join(known, "doi", "left_anti")
 
 
+def largest(rows: DataFrame, by: list[str], order: list, most: int, salts: int = 32) -> DataFrame:
+    """The first ``most`` rows per group and their ``place``, in two levels: per salt, then per group, so that a group with a
+    third of all rows does not come into one task."""
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in by)), F.lit(salts)).alias("__salt")
+    per_salt = Window.partitionBy(*by, "__salt").orderBy(*order)
+    some = rows.select("*", salt).withColumn("__k", F.row_number().over(per_salt)).filter(F.col("__k") <= most).drop("__k", "__salt")
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= most)
+
+
+def new_citing(links: DataFrame, summaries: DataFrame, listed: DataFrame, as_of: str, most: int = TOP, years: int = 5) -> DataFrame:
+    """(doi, place, citing_doi, n_citing): the newest citing works of each DOI that its own list does not have yet.
+
+    ``links(doi, citing)`` tells which records cite a DOI, ``summaries(citing, ord, published, citing_doi)`` what is known of
+    them, ``listed(doi, key)`` the keys that a DOI's list has. Only works of the last ``years`` of 365 days count, those
+    without a date or a DOI do not; of one day by ``ord``. ``n_citing`` counts all links.
+    """
+    day = F.try_to_date("published", "yyyy/MM/dd")
+    recent = summaries.withColumn("day", day).filter((F.col("day") > F.date_sub(F.lit(as_of).cast("date"), years * 365)) & F.col("citing_doi").isNotNull())
+    met = links.join(recent.select("citing", "ord", "day", "citing_doi"), "citing").withColumn("key", F.lower("citing_doi"))
+    fresh = met.join(listed.select("doi", "key").distinct(), ["doi", "key"], "left_anti").select("doi", "day", "ord", "citing_doi")
+    counts = links.groupBy("doi").agg(F.count("*").alias("n_citing"))
+    return largest(fresh, ["doi"], [F.desc("day"), "ord"], most).select("doi", "place", "citing_doi").join(counts, "doi")
+
+
+def _citing(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links and summaries of the chain, from the notes: a note cites the DOIs of its references, was published when it was
+    made, and has the DOI of its front matter."""
+    links = refs(spark, sf_dir).filter("field = 'reference'").select(F.col("note_id").alias("citing"), D.key_of_entry(F.col("raw")).alias("doi")).filter("doi IS NOT NULL").distinct()
+    own = frontmatter(spark, sf_dir).select("note_id", D.canonical(D.doi_first(F.col("doi")))["doi"].alias("citing_doi"))
+    made = notes(spark, sf_dir).select("note_id", F.date_format("created_at", "yyyy/MM/dd").alias("published"))
+    return links, made.join(own, "note_id").select(F.col("note_id").alias("citing"), F.col("note_id").alias("ord"), "published", "citing_doi")
+
+
 def citedby_topn(spark, sf_dir: str) -> DataFrame:
-    """The ten newest notes that cite each work and are not in its own list yet, with the count of all; by the time they
-    were made, of equals the smaller note.
+    """The ten newest works of the last five years that cite each DOI and stand in no ``cited_by`` list of the notes on it."""
+    links, summaries = _citing(spark, sf_dir)
+    owners = frontmatter(spark, sf_dir).select("note_id", F.lower(D.canonical(D.doi_first(F.col("doi")))["doi"]).alias("doi")).filter("doi IS NOT NULL")
+    cited = refs(spark, sf_dir).filter("field = 'cited_by'").select("note_id", D.key_of_entry(F.col("raw")).alias("key")).filter("key IS NOT NULL")
+    return new_citing(links, summaries, cited.join(owners, "note_id").select("doi", "key"), AS_OF)
+
 
-    Top-N is taken in two levels, per salt and then per work, so that a work that a third of all notes cite does not bring
-    them into one task.
+def claims(candidates: DataFrame, most: int = TOP) -> DataFrame:
+    """(folder, note_id, place, doi): each note of a folder, in the order of ``ord``, claims its ``most`` newest citing DOIs that
+    no note before it has claimed. ``candidates`` is (folder, ord, note_id, age, doi).
+
+    No folder is gone through in order: all notes ask for their newest at once, each DOI goes to the first note that asks, and
+    those turned down ask for their next, until nobody is. As all DOIs prefer the notes in the same order, that ends where
+    going through them would, after as many rounds as claims depend on one another.
     """
-    rows = refs(spark, sf_dir).filter("field = 'reference'").select("note_id", D.key_of_entry(F.col("raw")).alias("doi")).filter("doi IS NOT NULL").distinct()
-    made = notes(spark, sf_dir).select("note_id", "created_at")
-    dated = rows.join(made, "note_id").select("doi", F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), "note_id").alias("x"), F.pmod(F.xxhash64("note_id"), F.lit(32)).alias("salt"))
-    from pyspark.sql import Window
+    alive = cut(candidates.select("folder", "ord", "note_id", "age", "doi").distinct())
+    while True:
+        asked = cut(largest(alive, ["folder", "ord", "note_id"], ["age", "doi"], most))
+        winner = asked.groupBy("folder", "doi").agg(F.min(F.struct("ord", "note_id")).alias("w"))
+        lost = cut(asked.join(winner, ["folder", "doi"]).filter(F.struct("ord", "note_id") != F.col("w")).select("folder", "ord", "note_id", "doi"))
+        if lost.isEmpty():
+            return asked.select("folder", "note_id", "place", "doi")
+        alive = cut(alive.join(lost, ["folder", "ord", "note_id", "doi"], "left_anti"))
+
 
-    some = dated.withColumn("k", F.row_number().over(Window.partitionBy("doi", "salt").orderBy("x"))).filter(F.col("k") <= TOP).drop("k")
-    best = some.withColumn("place", F.row_number().over(Window.partitionBy("doi").orderBy("x"))).filter(F.col("place") <= TOP)
-    counts = dated.groupBy("doi").agg(F.count("*").alias("n_citing"))
-    return best.select("doi", "place", F.col("x.note_id").alias("note_id")).join(counts, "doi")
+def citedby_claims(spark, sf_dir: str) -> DataFrame:
+    """What each note with a DOI of its own gets for its cited-by list, if the notes of a folder are served by their paths."""
+    links, summaries = _citing(spark, sf_dir)
+    owners = frontmatter(spark, sf_dir).select("note_id", F.lower(D.canonical(D.doi_first(F.col("doi")))["doi"]).alias("doi")).filter("doi IS NOT NULL")
+    placed = owners.join(notes(spark, sf_dir).select("note_id", F.get("path_parts", F.lit(0)).alias("folder"), F.col("path").alias("ord")), "note_id")
+    days = summaries.filter("citing_doi IS NOT NULL").select("citing", (-F.datediff(F.try_to_date("published", "yyyy/MM/dd"), F.lit("1970-01-01").cast("date"))).alias("age"), F.lower("citing_doi").alias("citing_doi"))
+    met = spread_join(links, placed, "doi", limit=1000).join(days, "citing")
+    return claims(met.groupBy("folder", "ord", "note_id", F.col("citing_doi").alias("doi")).agg(F.min("age").alias("age")))
+
+
+# --- citations as text ----------------------------------------------------------------------------------------------
+
+#: What stands before the DOI of a citation in running text.
+DOI_MARK = r"(?i)[\s,.;(]*(?:doi:?\s*)?10\.\d{4,9}/.*$"
+
+
+def citation_text(raw: Column) -> Column:
+    """A citation without its DOI, its case and the punctuation at its end; null for links and for what is too short."""
+    text = F.lower(F.regexp_replace(D.strip_blanks(F.regexp_replace(raw, DOI_MARK, "")), r"[\s.,;“”\"]+$|^[\s“”\"]+", ""))
+    return F.when(~F.contains(raw, F.lit("[[")) & (F.length(text) > 20), text)
+
+
+def citation_lookup(entries: DataFrame) -> DataFrame:
+    """(text, doi): the DOI that each citation was given wherever it stands with one; of several the smallest."""
+    return entries.select(citation_text(F.col("raw")).alias("text"), D.key_of_entry(F.col("raw")).alias("doi")).filter("text IS NOT NULL AND doi IS NOT NULL").groupBy("text").agg(F.min("doi").alias("doi"))
+
+
+def work_references(spark, sf_dir: str) -> DataFrame:
+    """The reference list of each note on a work: entries in order with their DOI, their own or, where there is none, the one
+    that the citation's text is known with; entries that get none are left out."""
+    entries = refs(spark, sf_dir).filter("field = 'reference'").select("note_id", "pos", "raw")
+    rows = entries.select("note_id", "pos", D.key_of_entry(F.col("raw")).alias("own"), citation_text(F.col("raw")).alias("text"))
+    found = lookup(rows.withColumn("text", F.when(F.col("own").isNull(), F.col("text"))), "text", citation_lookup(entries))
+    filled = found.select("note_id", "pos", F.coalesce("own", "doi").alias("doi"), F.when(F.col("own").isNotNull(), "own").otherwise("text").alias("found_by")).filter("doi IS NOT NULL")
+    return filled
+
+
+def citation_misses(spark, sf_dir: str) -> DataFrame:
+    """Citations without a DOI that nobody knows one for, and how often they are asked for."""
+    entries = refs(spark, sf_dir).filter("field = 'reference'").select("raw")
+    asked = entries.filter(D.key_of_entry(F.col("raw")).isNull()).select(citation_text(F.col("raw")).alias("text")).filter("text IS NOT NULL")
+    return asked.groupBy("text").agg(F.count("*").alias("n")).join(citation_lookup(entries), "text", "left_anti")
+
+
+def title_verified(spark, sf_dir: str) -> DataFrame:
+    """A note's DOI by its title, tried against the first heading of its documents: accepted at a similarity of 0.5, else the
+    DOI that the registry's own spelling of the title leads to, else the first one all the same.
+
+    The registry of titles are the notes that have both; a title is looked up without its case."""
+    known = frontmatter(spark, sf_dir).filter("title IS NOT NULL").select(F.lower("title").alias("key"), "title", F.lower(D.canonical(D.doi_first(F.col("doi")))["doi"]).alias("found")).filter("found IS NOT NULL")
+    registry = known.groupBy("key").agg(F.min("found").alias("found"), F.min_by("title", "found").alias("known_title"))
+    headed = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND note_id IS NOT NULL").select("doc_id", "note_id", M.first_title(F.col("text"), F.lit(None).cast("string")).alias("heading"))
+    asked = frontmatter(spark, sf_dir).filter("title IS NOT NULL").select("note_id", F.lower("title").alias("key")).join(headed, "note_id")
+    hit = lookup(asked, "key", registry).filter("found IS NOT NULL")
+    again = lookup(hit.withColumn("retry_key", F.lower("known_title")), "retry_key", registry.select(F.col("key").alias("retry_key"), F.col("found").alias("retry")))
+    alike = F.when(F.col("heading").isNull(), 1.0).otherwise(udfs.similarity("heading", "known_title"))
+    return again.select("doc_id", "note_id", F.when(alike >= 0.5, F.col("found")).otherwise(F.coalesce("retry", "found")).alias("doi"))
 
 
 def local_refs(spark, sf_dir: str) -> DataFrame:
     """Numbered entries of the documents' reference sections with the DOI they carry."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(M.reference_entries(F.col("text"))).alias("i", "entry"))
-    return rows.select("doc_id", (F.col("i") + 1).alias("number"), "entry", D.doi_first(D.repair_text(F.col("entry"), 2)).alias("doi"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("number"), "entry", D.doi_first(D.repair_text(F.col("entry"))).alias("doi"))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_refs, pin_main, number_refs, merge_dois, existing_dois, wikilinks, freshness_age, enrich_refs, lookup_misses, citedby_topn, local_refs)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        dedupe_refs, pin_main, pin_alike, number_refs, merge_dois, existing_dois, wikilinks, freshness_age, enrich_refs, lookup_misses, citedby_topn, citedby_claims, work_references, citation_misses, title_verified,
+        local_refs,
+    )
+}

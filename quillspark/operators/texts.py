@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quillspark.functions import doi as D
 from quillspark.functions import markdown as M
 from quillspark.functions import title as T
 from quillspark.functions import udfs
+from quillspark.operators.spans import first_page_titles
 from quillspark.tables import frontmatter, notes, table
 
 IMAGE_FOLDER = "C:/Vault/IMAGE/"
@@ -39,7 +42,7 @@ def doi_repair(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "works").filter("doi IS NOT NULL").select(F.col("doi")).distinct()
     forms = F.array(*(F.struct(F.lit(name).alias("damage"), F.concat(F.lit("see "), F.replace("doi", F.lit(old), F.lit(new)) if old != "{}" else F.concat("doi", F.lit("​" if name == "zero width" else "")), F.lit(", and")).alias("text")) for name, (old, new) in DAMAGE.items()))
     each = rows.select("doi", F.explode(forms).alias("f")).select("doi", "f.damage", "f.text")
-    return each.select("doi", "damage", D.doi_first(D.repair_text(F.col("text"), 4)).alias("found"), D.repair_unfinished(F.col("text"), 4).alias("unfinished"))
+    return each.select("doi", "damage", D.doi_first(D.repair_text(F.col("text"))).alias("found"))
 
 
 TAILS = ["", ".", "..", "(2020)", ".;", " (PMID: 123)", "https://x.org/a", "）note", "，", "/a:b__c"]
@@ -103,7 +106,7 @@ def pdf_markdown(spark, sf_dir: str) -> DataFrame:
 def title_clean(spark, sf_dir: str) -> DataFrame:
     """Titles judged, cleaned and made into file names; with a publication status and a degree put before and behind some."""
     rows = frontmatter(spark, sf_dir).filter("title IS NOT NULL").select("note_id", "title")
-    forms = F.array(F.col("title"), F.concat(F.lit("Article in Press "), "title", F.lit(" et al.")), F.concat("title", F.lit(" Jane Miller Ph.D.")), F.lit("Microsoft Word - x"), F.upper("title"))
+    forms = F.array(F.col("title"), F.concat(F.lit("Article in Press "), "title", F.lit(" et al.")), F.concat("title", F.lit(" Jane Miller Ph.D.")), F.lit("Microsoft Word - x"), F.translate("title", ascii_lowercase, ascii_uppercase))
     each = rows.select("note_id", F.posexplode(forms).alias("form", "raw"))
     return each.select("note_id", "form", T.is_junk(F.col("raw")).alias("junk"), T.clean(F.col("raw")).alias("cleaned"), T.from_metadata(F.col("raw")).alias("from_metadata"), T.file_name(F.col("raw")).alias("file_name"))
 
@@ -121,16 +124,50 @@ def title_from_blocks(spark, sf_dir: str) -> DataFrame:
 def body_images(spark, sf_dir: str) -> DataFrame:
     """Image links of the documents brought into their one form and moved to the vault's folder."""
     rows = _documents(spark, sf_dir).filter(F.contains("text", F.lit("![")))
-    fixed = F.regexp_replace("text", r"!\[([^\]]*)\]\(\s*//", "![$1](https://")
-    fixed = F.regexp_replace(fixed, r"!\[[^\]]*\]\((?!images/|https://|C:/)([^)]*)\)", "!($1)")
+    fixed = M.fixed_images(F.col("text"))
     return rows.select("doc_id", F.regexp_count("text", F.lit(r"!\[[^\]]*\]\([^)]*\)")).cast("long").alias("n_images"), F.md5(M.moved_images(fixed, IMAGE_FOLDER).cast("binary")).alias("digest"))
 
 
 def body_clean(spark, sf_dir: str) -> DataFrame:
-    """Bodies without artifact tags, clickable images and bracketed links."""
-    text = F.regexp_replace("text", r"(?i)</?(?:lcel|nl)>", "")
-    text = F.regexp_replace(text, r"\[\s*(!\[[^\]]*\]\([^)]+\)|!\([^)]+\))[^\]]*\]\s*\(([^)]+)\)", "$1($2)")
-    return _documents(spark, sf_dir).select("doc_id", udfs.plain_links(text).alias("body"))
+    """Bodies without artifact tags, with images in their one form, none of them clickable, and without bracketed links."""
+    return _documents(spark, sf_dir).select("doc_id", udfs.plain_links(M.without_artifacts(F.col("text"))).alias("body"))
+
+
+def first_processing(spark, sf_dir: str) -> DataFrame:
+    """Notes that were never worked on (neither aliases nor references): their document's DOIs, each once in its last spelling, as
+    the new reference list. ``n_special`` counts names that are not made of a DOI: none of these are."""
+    fresh = frontmatter(spark, sf_dir).filter("aliases IS NULL AND reference IS NULL").select("note_id")
+    rows = fresh.join(notes(spark, sf_dir).select("note_id", "body"), "note_id")
+    found = rows.select("note_id", F.posexplode(D.plausible_dois(D.repair_text(F.coalesce("body", F.lit("")))))).groupBy("note_id", F.lower("col").alias("key")).agg(F.min("pos").alias("pos"), F.max_by("col", "pos").alias("doi"))
+    made = D.canonical(F.col("doi"))
+    links = found.select("note_id", "pos", F.concat(F.lit("[["), made["safe"], F.lit("|"), made["doi"], F.lit("]]")).alias("link"))
+    lists = links.groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "link"))), lambda x: x["link"]), "\n").alias("links"), F.count("*").alias("n"))
+    return rows.select("note_id").join(lists, "note_id", "left").select("note_id", F.coalesce("links", F.lit("")).alias("links"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("n_special"))
+
+
+def content_dois(spark, sf_dir: str) -> DataFrame:
+    """DOIs and addresses in the blocks of converted PDFs, per note: what is drawn from content lists."""
+    text = D.normalize_dashes(F.col("content"))
+    rows = _content(spark, sf_dir).select("note_id", F.explode(F.concat(F.transform(D.plausible_dois(D.repair_text(text)), lambda x: F.struct(F.lit("doi").alias("kind"), x.alias("value"))), F.transform(M.urls(text), lambda x: F.struct(F.lit("url").alias("kind"), x.alias("value"))))).alias("v"))
+    return rows.select("note_id", "v.kind", "v.value").distinct()
+
+
+def doi_sources(spark, sf_dir: str) -> DataFrame:
+    """Distinct DOIs of each note out of its body, its documents and its converted PDF (letter case counts)."""
+    body = notes(spark, sf_dir).filter("body IS NOT NULL").select("note_id", F.col("body").alias("text"))
+    docs = _documents(spark, sf_dir).filter("note_id IS NOT NULL").select("note_id", "text")
+    text = body.unionByName(docs).select("note_id", F.explode(D.plausible_dois(D.repair_text(F.col("text")))).alias("doi"))
+    return text.unionByName(content_dois(spark, sf_dir).filter("kind = 'doi'").select("note_id", F.col("value").alias("doi"))).distinct()
+
+
+def span_titles(spark, sf_dir: str) -> DataFrame:
+    """Titles from the spans of first pages. The lines of a converted PDF's first blocks are its spans: as large as their kind
+    says, as far down as their order."""
+    first = _content(spark, sf_dir).filter("page = 0 AND ord < 12 AND (kind IS NULL OR kind IN ('text', 'title'))")
+    size = F.when(F.col("kind") == "title", 18.0).when(F.length("content") < 60, 14.0).otherwise(10.0)
+    rows = first.select(F.col("note_id").alias("pdf_id"), size.alias("size"), F.posexplode(F.split("content", "\n")).alias("i", "text"), (F.col("ord") * 60.0).alias("top"))
+    spans = rows.select("pdf_id", "size", "text", F.lit(50.0).alias("x"), (F.col("top") + F.least(F.col("i"), F.lit(3)) * 12.0).alias("y"), F.lit(800.0).alias("page_h"))
+    return first_page_titles(spans).withColumnRenamed("pdf_id", "note_id")
 
 
 def url_extract(spark, sf_dir: str) -> DataFrame:
@@ -148,9 +185,7 @@ def url_linkify(spark, sf_dir: str) -> DataFrame:
 def json_leaves(spark, sf_dir: str) -> DataFrame:
     """String leaves of nested JSON, counted. The leaves are walked in Python; only the column read is sent there."""
     rows = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_type", F.struct(F.col("props"), F.array("event_type").alias("kinds")).alias("nested"))).alias("payload"))
-    rows.createOrReplaceTempView("__json_payloads")
-    spark.udtf.register("json_leaves_of", udfs.JsonLeaves)
-    return spark.sql("SELECT leaf, count(*) AS n FROM __json_payloads, LATERAL json_leaves_of(payload) GROUP BY leaf")
+    return rows.select(F.explode(udfs.json_leaves("payload")).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
 
 
 def frontmatter_split(spark, sf_dir: str) -> DataFrame:
@@ -184,6 +219,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         doi_extract, doi_repair, doi_canonical, dash_quotes, main_doi_cascade, note_title, headings, paragraph_merge, table_md, pdf_markdown, title_clean, title_from_blocks, body_images, body_clean, url_extract,
-        url_linkify, json_leaves, frontmatter_split, first_time_branch, remove_doi, fuzzy_title,
+        url_linkify, json_leaves, frontmatter_split, first_time_branch, first_processing, content_dois, doi_sources, span_titles, remove_doi, fuzzy_title,
     )
 }

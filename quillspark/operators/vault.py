@@ -3,20 +3,18 @@ a DataFrame that a sink may carry out."""
 
 from __future__ import annotations
 
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import markdown as M
 from quillspark.functions import title as T
 from quillspark.functions import udfs
 from quillspark.functions import wikilink as W
-from quillspark.tables import frontmatter, notes, ranked, table
+from quillspark.tables import frontmatter, lookup, notes, ranked, table
 
 BATCH = 45
 DONE = "完成_"
-TERMINAL = ("done", "failed")
+ARCHIVED = "2022-01-01"
 SPARED = (".obsidian", "TRASH", "trash")
 #: Dashes read as a hyphen when names are compared.
 NAME_DASHES = "–—"
@@ -65,14 +63,15 @@ def note_links(spark, sf_dir: str) -> DataFrame:
 
 def archive_plan(spark, sf_dir: str) -> DataFrame:
     """Copies that archiving every clipping would make: the note itself and the notes it links to. What is not found is
-    reported, what is in the trash is not copied."""
-    n = notes(spark, sf_dir).select("note_id", "path", "trashed_at", F.get("path_parts", F.lit(0)).alias("top"))
+    reported, what is in the trash is not copied, and what lies at the destination already (an archive of the notes saved before
+    ``ARCHIVED``) stays."""
+    n = notes(spark, sf_dir).select("note_id", "path", "trashed_at", "mtime", F.get("path_parts", F.lit(0)).alias("top"))
     own = n.filter("top = 'Clippings'").select("note_id", F.lit("note").alias("item"), F.col("note_id").alias("target_id"))
     linked = note_links(spark, sf_dir).join(n.filter("top = 'Clippings'").select("note_id"), "note_id", "left_semi").select("note_id", F.col("field").alias("item"), "target_id")
-    targets = n.select(F.col("note_id").alias("target_id"), F.col("path").alias("source"), "trashed_at")
+    targets = n.select(F.col("note_id").alias("target_id"), F.col("path").alias("source"), "trashed_at", (F.col("mtime") < F.lit(ARCHIVED).cast("timestamp_ntz")).alias("archived"))
     plan = own.unionByName(linked).join(targets, "target_id", "left")
-    status = F.when(F.col("source").isNull(), "not found").when(F.col("trashed_at").isNotNull(), "in trash").otherwise("copied")
-    return plan.select("note_id", "item", status.alias("status"), F.when(status == "copied", F.concat(F.lit("Archive/"), "source")).alias("path"))
+    status = F.when(F.col("source").isNull(), "not found").when(F.col("trashed_at").isNotNull(), "in trash").when(F.col("archived"), "exists").otherwise("copied")
+    return plan.select("note_id", "item", status.alias("status"), F.when(status.isin("copied", "exists"), F.concat(F.lit("Archive/"), "source")).alias("path"))
 
 
 def trash_plan(spark, sf_dir: str, day: str = "20240630") -> DataFrame:
@@ -109,12 +108,101 @@ def batches(spark, sf_dir: str) -> DataFrame:
     ).withColumn("over", F.col("n_done") + F.col("n_failed") >= F.col("n"))
 
 
+def free_numbers(place: Column, taken: Column) -> Column:
+    """The ``place``-th number (from 0) that is not in ``taken``, a sorted array without repeats."""
+    return F.aggregate(taken, place.cast("long"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+
+
+def numbered_names(rows: DataFrame) -> DataFrame:
+    """``rows(note_id, dir, name, path)`` with ``k``: of equal names in a folder the first in order of paths has 0, the others the
+    next numbers that no name there bears already (as ``name (1)``). A usual name is no group of one task: rows are ranked in
+    ranges of the total order, and each name's first rank is taken off."""
+    order = ranked(rows, "dir", "name", "path", "note_id")
+    first = order.groupBy("dir", "name").agg(F.min("rank").alias("first"))
+    numbered = F.regexp_extract("name", r"^(.*) \((\d{1,9})\)$", 2)
+    taken = rows.filter(numbered != "").select("dir", F.regexp_extract("name", r"^(.*) \(\d{1,9}\)$", 1).alias("name"), numbered.cast("long").alias("t"))
+    # numbers that stand in names of one folder: as many as there are such files
+    info = first.join(taken.groupBy("dir", "name").agg(F.array_sort(F.collect_set("t")).alias("taken")), ["dir", "name"], "left").withColumn("both", F.concat_ws("\x00", "dir", "name")).drop("dir", "name")
+    met = lookup(order.withColumn("both", F.concat_ws("\x00", "dir", "name")), "both", info).drop("both")
+    place = F.col("rank") - F.col("first")
+    return met.withColumn("k", F.when(F.col("taken").isNull(), place).when(place == 0, 0).otherwise(free_numbers(place, F.filter("taken", lambda t: t > 0)))).drop("rank", "first", "taken")
+
+
 def rename_plan(spark, sf_dir: str) -> DataFrame:
-    """New file names from titles; of equal names in a folder the first keeps it, the others get a number."""
+    """New file names from titles; of equal names in a folder the first keeps it, the others get a number that is free."""
     n = notes(spark, sf_dir).select("note_id", "path", F.get("path_parts", F.lit(0)).alias("dir"))
     rows = frontmatter(spark, sf_dir).filter("title IS NOT NULL").select("note_id", T.file_name(F.col("title")).alias("name")).filter("name <> ''").join(n, "note_id")
-    k = F.row_number().over(Window.partitionBy("dir", "name").orderBy("path", "note_id")) - 1
-    return rows.withColumn("k", k).select("note_id", "dir", F.when(F.col("k") == 0, F.concat("name", F.lit(".pdf"))).otherwise(F.concat("name", F.lit(" ("), F.col("k").cast("string"), F.lit(").pdf"))).alias("new_name"))
+    return numbered_names(rows).select("note_id", "dir", F.when(F.col("k") == 0, F.concat("name", F.lit(".pdf"))).otherwise(F.concat("name", F.lit(" ("), F.col("k").cast("string"), F.lit(").pdf"))).alias("new_name"))
+
+
+def _illustrated(spark, sf_dir: str) -> DataFrame:
+    """(note_id, body): bodies of the notes, each with an image of its own, addressed in one of the usual ways."""
+    n = notes(spark, sf_dir).filter("body IS NOT NULL")
+    name = F.concat(F.md5(F.col("stem").cast("binary")), F.lit(".jpg"))
+    at = F.when(F.col("note_id") % 3 == 0, F.lit("../images/")).when(F.col("note_id") % 3 == 1, F.lit("C:\\Vault\\images\\")).otherwise(F.lit("D:/a/b/images/"))
+    return n.select("note_id", "stem", F.concat("body", F.lit("\n![fig]("), at, name, F.lit(")\n")).alias("body"))
+
+
+def archived_images(bodies: DataFrame, inventory: DataFrame, there: DataFrame) -> DataFrame:
+    """(note_id, name, source): images that archiving notes copies, from the first source of ``inventory(name, source, priority)``
+    that has them; ``there`` for those of ``there(name)``, which are at the destination, null where none has them."""
+    shown = bodies.select("note_id", F.explode(F.array_distinct(M.copied_images(F.col("body")))).alias("name"))
+    best = inventory.groupBy("name").agg(F.min_by("source", "priority").alias("source"))
+    met = shown.join(best, "name", "left").join(there.select("name", F.lit(True).alias("there")).distinct(), "name", "left")
+    return met.select("note_id", "name", F.when(F.col("there"), "there").otherwise(F.col("source")).alias("source"))
+
+
+def archive_images(spark, sf_dir: str) -> DataFrame:
+    """Images of the archived notes and where they are copied from: the vault's own folder has those of every second note, the
+    common one those of every third, the destination those of every fifth."""
+    bodies = _illustrated(spark, sf_dir)
+    named = bodies.select("note_id", F.concat(F.md5(F.col("stem").cast("binary")), F.lit(".jpg")).alias("name"))
+    inventory = named.filter("note_id % 2 = 0").select("name", F.lit("vault").alias("source"), F.lit(0).alias("priority")).unionByName(named.filter("note_id % 3 = 0").select("name", F.lit("common").alias("source"), F.lit(1).alias("priority")))
+    return archived_images(bodies, inventory, named.filter("note_id % 5 = 0"))
+
+
+def archive_bodies(spark, sf_dir: str) -> DataFrame:
+    """Bodies of archived notes with their images' new addresses, and how many were changed."""
+    rows = _illustrated(spark, sf_dir)
+    return rows.select("note_id", F.size(M.copied_images(F.col("body"))).cast("long").alias("n_changed"), F.md5(M.readdressed_images(F.col("body"), "/archive/images/").cast("binary")).alias("digest"))
+
+
+def archive_figures(spark, sf_dir: str) -> DataFrame:
+    """Figure notes that are archived with a clipping: those of the analysis it links to, whatever dashes its name has."""
+    n = notes(spark, sf_dir).select("note_id", "stem", F.get("path_parts", F.lit(0)).alias("top"))
+    pages = frontmatter(spark, sf_dir).select("note_id", W.page(F.col("`paper-analyze`")).alias("page")).filter("page IS NOT NULL AND page <> ''")
+    own = pages.join(n.filter("top = 'Clippings'").select("note_id"), "note_id", "left_semi")
+    figures = n.filter((F.col("top") == "Claude") & F.col("stem").endswith("_figures")).select(F.col("note_id").alias("figures_id"), _name_key(F.col("stem")).alias("key"))
+    return own.withColumn("key", F.concat(_name_key(F.col("page")), F.lit("_figures"))).join(figures, "key").select("note_id", "figures_id")
+
+
+def note_roots(spark, sf_dir: str) -> DataFrame:
+    """The nearest folder above each note that is called Clippings, and the folder above that: what archiving starts from."""
+    parents = F.slice("path_parts", F.lit(1), F.size("path_parts") - 1)
+    back = F.array_position(F.reverse(parents), "Clippings")
+    depth = (F.size(parents) - back + 1).cast("int")
+    found = notes(spark, sf_dir).filter(F.size("path_parts") > 1).withColumn("depth", F.when(back > 0, depth))
+    upto = lambda n: F.array_join(F.slice("path_parts", F.lit(1), n), "/")
+    return found.select("note_id", F.when(F.col("depth").isNotNull(), upto(F.col("depth"))).alias("clippings"), F.when(F.col("depth").isNotNull(), upto(F.col("depth") - 1)).alias("vault"))
+
+
+def parsed_uri(uri: Column) -> Column:
+    """``struct(vault, file)`` of an address of the note program, decoded (twice, as it is encoded within a query); null if one is
+    missing or it is no such address."""
+    part = lambda k: F.nullif(F.try_url_decode(F.try_url_decode(F.try_parse_url(uri, F.lit("QUERY"), F.lit(k)))), F.lit(""))
+    return F.when(uri.startswith("obsidian://") & part("vault").isNotNull() & part("file").isNotNull(), F.struct(part("vault").alias("vault"), F.regexp_replace(part("file"), r"[ \t\n]+$", "").alias("file")))
+
+
+def uri_resolve(spark, sf_dir: str) -> DataFrame:
+    """Every note by the address under which the note program opens it: vault, file, and the note found (with and without the
+    file's ending)."""
+    n = notes(spark, sf_dir).filter(F.size("path_parts") > 1)
+    top, rest = F.get("path_parts", F.lit(0)), F.array_join(F.slice("path_parts", F.lit(2), F.size("path_parts")), "/")
+    file = F.when(F.col("note_id") % 2 == 0, rest).otherwise(F.regexp_replace(rest, r"\.md$", ""))
+    uri = F.concat(F.lit("obsidian://open?vault="), F.url_encode(F.url_encode(top)), F.lit("&file="), F.url_encode(F.url_encode(file)))
+    asked = n.select("note_id", parsed_uri(uri).alias("u")).select("note_id", "u.vault", "u.file")
+    by_path = n.groupBy(F.regexp_replace("path", r"\.md$", "").alias("key")).agg(F.max_by("note_id", F.struct("mtime", "note_id")).alias("found_id"))
+    return asked.withColumn("key", F.concat("vault", F.lit("/"), F.regexp_replace("file", r"\.md$", ""))).join(by_path, "key", "left").select("note_id", "vault", "file", "found_id")
 
 
 def _asked(spark, sf_dir: str) -> DataFrame:
@@ -164,25 +252,10 @@ def newest_notes(spark, sf_dir: str) -> DataFrame:
     return notes(spark, sf_dir).groupBy(F.get("path_parts", F.lit(0)).alias("folder")).agg(F.max_by("note_id", F.struct("mtime", "note_id")).alias("note_id"), F.max("mtime").alias("mtime"))
 
 
-def claimed(candidates: DataFrame, most: int = 10) -> DataFrame:
-    """(folder, note_id, place, doi): each note of a folder, in order, claims its ``most`` newest citing DOIs that no note
-    before it has claimed.
-
-    ``candidates`` is (folder, ord, note_id, age, doi). What a note may claim depends on all notes before it in its folder,
-    so a folder is one group and its candidates must fit into one task; :func:`citedby_topn` is the form without claims,
-    for folders of any size.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        for (_, note), own in rows.sort_values(["ord", "note_id", "age", "doi"]).groupby(["ord", "note_id"], sort=True):
-            got = [d for d in dict.fromkeys(own["doi"]) if d not in taken][:most]
-            taken.update(got)
-            out += [(own["folder"].iloc[0], note, i + 1, d) for i, d in enumerate(got)]
-        return pd.DataFrame(out, columns=["folder", "note_id", "place", "doi"])
-
-    return candidates.groupBy("folder").applyInPandas(run, "folder string, note_id long, place int, doi string")
-
-
-QUERIES = {f.__name__: f for f in (image_gc, image_use, note_links, archive_plan, trash_plan, done_filter, batches, rename_plan, path_resolve, path_resolve_begun, newest_notes)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        image_gc, image_use, note_links, archive_plan, archive_images, archive_bodies, archive_figures, note_roots, trash_plan, done_filter, batches, rename_plan, path_resolve, path_resolve_begun, uri_resolve,
+        newest_notes,
+    )
+}

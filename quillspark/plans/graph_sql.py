@@ -12,7 +12,8 @@ SQL = {
     "self_doi": f"WITH {NOTES}, {META}, {SELF} SELECT note_id, self_doi FROM sd",
     "graph_names": f"WITH {NOTES}, {ENTRIES}, {_NAMES} SELECT * FROM names",
     "graph_resolved_refs": f"""WITH {NOTES}, {ENTRIES}, {_NAMES}
-        SELECT note_id, pos, '[[' || coalesce(spec_ref, spec_cb, {safe('doi')}) || '|' || doi || ']]' AS link FROM g LEFT JOIN names USING (key)""",
+        SELECT note_id, pos, '[[' || coalesce(spec_ref, spec_cb, {safe('doi')}) || '|' || doi || ']]' AS link FROM g LEFT JOIN names USING (key)
+        UNION ALL SELECT note_id, pos, raw FROM lists WHERE doi IS NULL""",
     "graph_cited_by": f"""WITH {NOTES}, {META}, {ENTRIES}, {SELF}
         SELECT key, note_id AS citing_id FROM g WHERE key IN (SELECT lower(self_doi) FROM sd)""",
     "graph_polarity": f"""WITH {NOTES}, {META}, {ENTRIES}, {SELF},

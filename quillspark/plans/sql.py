@@ -28,6 +28,21 @@ def safe(d: str) -> str:
     return s
 
 
+_C = "[-A-Za-z0-9._;()/:]"
+INVISIBLE = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD, 0x200E, 0x200F, 0x2028, 0x2029)))
+
+
+def repaired(source: str, key: str, text: str, rounds: int = 8) -> str:
+    """CTEs that end in ``fixed``: ``key`` and ``text`` of ``source`` with split DOIs closed, round by round."""
+    once = lambda x: rf"regexp_replace({x}, '([/\-._;():])\s({_C})', '\1\2', 'g')"
+    gap = lambda x: rf"regexp_replace({x}, '(?i)(10\.\d{{4,9}}/{_C}+)([./])\s+([-A-Za-z0-9]{{2,}}\.{_C}+)', '\1\2\3', 'g')"
+    digit = lambda x: rf"regexp_replace({x}, '(?i)(10\.\d{{4,9}}/{_C}*?)[ \t]+({_C}*\d{_C}*)', '\1\2', 'g')"
+    clean = f"translate({text}, '{INVISIBLE}', '')"
+    steps = [f"fix0 AS (SELECT {key}, {once(once(clean))} AS t FROM {source})"]
+    steps += [f"fix{i} AS (SELECT {key}, {digit(gap('t'))} AS t FROM fix{i - 1})" for i in range(1, rounds)]
+    return ", ".join([*steps, f"fixed AS (SELECT {key}, {digit(gap('t'))} AS t FROM fix{rounds - 1})"])
+
+
 def plausible(d: str) -> str:
     return f"NOT regexp_matches({d}, '^10\\.\\d{{4,9}}/[A-Za-z]+$')"
 
@@ -46,8 +61,9 @@ l AS (SELECT *, regexp_matches(s, '(?s)^\\[\\[.*\\|.*\\]\\]$') AS ok, regexp_ext
 l2 AS (SELECT note_id, field, pos, raw, CASE WHEN ok THEN regexp_replace(split_part(i, '|', 1), '{_OUT}', '', 'g') END AS name,
               CASE WHEN ok THEN regexp_replace(regexp_replace(i, '(?s)^[^|]*\\|', ''), '{_OUT}', '', 'g') END AS display FROM l),
 e AS (SELECT *, CASE WHEN display IS NOT NULL THEN {canonical('display')} END AS doi FROM l2),
-edges AS (SELECT note_id, lower(doi) AS key, min(pos) AS pos, arg_min(doi, pos) AS doi, arg_min(name, pos) AS name FROM e
-          WHERE field = 'reference' AND doi IS NOT NULL AND {plausible('doi')} GROUP BY 1, 2),
+lists AS (SELECT note_id, lower(coalesce(doi, raw)) AS key, pos, raw, doi, name FROM e WHERE field = 'reference' AND (display IS NULL OR {plausible('doi')})
+          QUALIFY row_number() OVER (PARTITION BY note_id, lower(coalesce(doi, raw)) ORDER BY pos) = 1),
+edges AS (SELECT note_id, key, pos, doi, name FROM lists WHERE doi IS NOT NULL),
 ce AS (SELECT note_id, pos, coalesce(name, '') AS name, {first_doi('coalesce(display, raw)')} AS f FROM e WHERE field = 'cited_by'),
 cited AS (SELECT note_id, lower(doi) AS key, min(pos) AS pos, arg_min(name, pos) AS name FROM (SELECT *, {canonical('f')} AS doi FROM ce WHERE f IS NOT NULL AND {plausible('f')}) GROUP BY 1, 2),
 g AS (SELECT *, NOT {is_safe('name')} AS is_special FROM edges),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.tables import table
+from quillspark.tables import shared_folder, table
 
 #: Records may come this much later than the newest one.
 LATENESS = "10 minutes"
@@ -24,19 +24,24 @@ def first_deliveries(notes: DataFrame) -> DataFrame:
     return notes.withWatermark("received_at", "30 days").dropDuplicatesWithinWatermark(["note_id"])
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and give back its result (an in-memory table: for tests and small results)."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over what is there into Parquet files under ``folder``; what a watermark has closed is written, state behind
+    it is dropped, and the driver sees none of it."""
+    out = f"{folder}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 def stream_activity(spark, sf_dir: str) -> DataFrame:
     """The events table read as a stream, counted per hour and type."""
     batch = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parque[t]")
-    done = run_to_end(windowed_activity(stream.withColumn("ts", F.col("ts").cast("timestamp"))))
+    # windows that the watermark has not closed when the input ends are those of the last hours: they are counted as a batch
+    closed = run_to_end(windowed_activity(stream.withColumn("ts", F.col("ts").cast("timestamp"))), shared_folder(spark))
+    last = closed.agg(F.max("w.end")).scalar()
+    rest = batch.withColumn("ts", F.col("ts").cast("timestamp")).filter(last.isNull() | (F.col("ts") >= last))
+    done = closed.unionByName(windowed_activity(rest))
     return done.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

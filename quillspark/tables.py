@@ -32,6 +32,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for what is written between steps."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written once to the shared checkpoint folder and read from there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -84,6 +90,14 @@ def lookup(rows: DataFrame, key: str, dim: DataFrame, limit: int | None = None)
     return met.select(*rows.columns, *(F.col("__dim")[c].alias(c) for c in extra))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Inner join on ``key`` where both sides may hold a key often: the left rows of a hot key are salted, its right rows stand
+    once for each salt, so that no task makes all pairs of a key. ``left`` is read twice."""
+    hot = Hot(left, key, limit)
+    salted = left.withColumn("__salt", hot.salt(F.col(key), *(F.col(c) for c in left.columns)))
+    return salted.join(right.withColumn("__salt", hot.salts(F.col(key))), [key, "__salt"]).drop("__salt")
+
+
 def ranked(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` with ``rank`` (from 0) in the total order of ``order``, without bringing them all into one task: rows are
     range-partitioned, numbered within their partition and shifted by the sizes of the partitions before."""

@@ -55,10 +55,12 @@ def test_repair(spark, text, found):
     assert one(spark, lambda a: D.doi_first(D.repair_text(a)), text) == found
 
 
-def test_repair_reports_what_is_left(spark):
+def test_repair_goes_on_to_the_end(spark):
     text = "10.1234/a" + " 1" * 5
-    assert one(spark, lambda a: D.repair_unfinished(a, 1), text)
-    assert not one(spark, lambda a: D.repair_unfinished(a, 8), text)
+    assert one(spark, lambda a: D.doi_first(D.repair_text(a)), text) == "10.1234/a11111"
+    assert one(spark, lambda a: D.doi_first(D.repair_text(a)), "10.1234/ab 1 c2 d3 e4 f5") == "10.1234/ab1c2d3e4f5"
+    long = "10.1234/a" + " 1" * 300 + " word"
+    assert one(spark, lambda a: D.doi_first(D.repair_text(a)), long) == "10.1234/a" + "1" * 300
 
 
 def test_plausible(spark):
@@ -151,9 +153,35 @@ def test_similarity(spark):
 
 def test_links(spark):
     text = "[t](http://x/login) [10.1234/a](http://y) [z](http://d.org/10.1234/b1) [[N|x]] ![i](j)"
-    assert one(spark, udfs.plain_links, text) == "(t)(http://x/login)  10.1234/a   10.1234/b1  [N|x] ![i](j)"
+    assert one(spark, udfs.plain_links, text) == "(t)(http://x/login)  10.1234/a  10.1234/b1 [N|x] ![i](j)"
 
 
 def test_linked_urls(spark):
     df = spark.createDataFrame([("http://a.b http://a.b/c ](http://a.b",)], "a string")
     assert df.select(udfs.linked_urls(F.col("a"), M.urls(F.col("a")))).first()[0] == "[http://a.b](http://a.b) [http://a.b/c](http://a.b/c) ](http://a.b"
+
+
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("![a]( //x.org/i.png )", "![a](https://x.org/i.png)"), ("![a](other/i.png)", "!(other/i.png)"), ("![a](images/i.png)", "![a](images/i.png)"), ("[ ![a](images/i.png) more](http://x)", "![a](images/i.png) more(http://x)"),
+        ("<nl>x</LCEL>", "x"),
+    ],
+)
+def test_without_artifacts(spark, text, clean):
+    assert one(spark, M.without_artifacts, text) == clean
+
+
+@pytest.mark.parametrize(
+    "text, plain",
+    [
+        ("see  [10.1234/a1](http://x)  now", "see 10.1234/a1 now"), ("see [t](http://x/10.1234/b2) now", "see 10.1234/b2 now"), ("a [t](http://x/login?10.1234/b2) b", "a (t)(http://x/login?10.1234/b2) b"),
+        ("a [t](#top) b", "a (t)(#top) b"), ("[[N|x]]", "[N|x]"), ("![i](j)", "![i](j)"), ("a [t](u) b", "a (t)(u) b"),
+    ],
+)
+def test_plain_links_and_blanks(spark, text, plain):
+    assert one(spark, udfs.plain_links, text) == plain
+
+
+def test_json_leaves():
+    assert udfs.string_leaves('{"a": ["x", {"b": "y"}], "c": 1, "d": "z"}') == ["x", "y", "z"] and udfs.string_leaves("{") == udfs.string_leaves(None) == []

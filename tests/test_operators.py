@@ -113,10 +113,82 @@ def test_deduped_and_pinned(spark):
 
 def test_claims(spark):
     rows = [("f", 1, 10, 0, "a"), ("f", 1, 10, 1, "b"), ("f", 2, 20, 0, "a"), ("f", 2, 20, 1, "c"), ("g", 1, 30, 0, "a"), ("f", 2, 20, 2, "b")]
-    got = vault.claimed(spark.createDataFrame(rows, "folder string, ord int, note_id long, age int, doi string"), 2).collect()
+    got = refs.claims(spark.createDataFrame(rows, "folder string, ord int, note_id long, age int, doi string"), 2).collect()
     assert {tuple(r) for r in got} == {("f", 10, 1, "a"), ("f", 10, 2, "b"), ("f", 20, 1, "c"), ("g", 30, 1, "a")}
 
 
+def test_claims_equal_going_through_in_order(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = sorted({(rng.choice("fg"), i, 100 + i, rng.randrange(5), f"d{rng.randrange(25)}") for i in range(12) for _ in range(8)})
+    rows = list({(f, o, n, d): (f, o, n, a, d) for f, o, n, a, d in rows}.values())
+    want = set()
+    for folder in "fg":
+        taken: set = set()
+        for note in sorted({r[2] for r in rows if r[0] == folder}):
+            got = [d for _, d in sorted((r[3], r[4]) for r in rows if r[0] == folder and r[2] == note) if d not in taken][:3]
+            taken.update(got)
+            want |= {(folder, note, i + 1, d) for i, d in enumerate(got)}
+    df = spark.createDataFrame(rows, "folder string, ord int, note_id long, age int, doi string")
+    assert {tuple(r) for r in refs.claims(df, 3).collect()} == want
+    assert refs.claims(df.limit(0), 3).count() == 0
+
+
+def test_new_citing(spark):
+    links = spark.createDataFrame([("x", i) for i in range(1, 7)] + [("y", 1)], "doi string, citing long")
+    seen = [(1, 1, "2024/01/02", "10.1/A"), (2, 2, "2024/01/02", "10.1/b"), (3, 3, "2012/01/02", "10.1/c"), (4, 4, "no date", "10.1/d"), (5, 5, "2024/05/05", None), (6, 6, "2023/01/01", "10.1/f")]
+    summaries = spark.createDataFrame(seen, "citing long, ord long, published string, citing_doi string")
+    listed = spark.createDataFrame([("x", "10.1/f"), ("z", "10.1/a")], "doi string, key string")
+    got = {tuple(r) for r in refs.new_citing(links, summaries, listed, "2024-06-30").select("doi", "place", "citing_doi", "n_citing").collect()}
+    assert got == {("x", 1, "10.1/A", 6), ("x", 2, "10.1/b", 6), ("y", 1, "10.1/A", 1)}
+
+
+def test_numbered_names(spark):
+    """Numbers that names of the folder bear already are left free; a name of a third of all rows is no group of its own."""
+    names = ["a"] * 4 + ["a (1)", "a (3)", "b"] + ["c"] * 300
+    rows = spark.createDataFrame([(i, "d", n, f"p{i:04d}") for i, n in enumerate(names)] + [(900, "e", "a", "q")], "note_id long, dir string, name string, path string")
+    got = {r.note_id: r.k for r in vault.numbered_names(rows).collect()}
+    assert [got[i] for i in range(4)] == [0, 2, 4, 5] and got[900] == got[4] == got[6] == 0 and sorted(got[7 + i] for i in range(300)) == list(range(300))
+
+
+def test_uri(spark):
+    def parsed(uri):
+        r = spark.createDataFrame([(uri,)], "u string").select(vault.parsed_uri(F.col("u")).alias("x")).first()["x"]
+        return r and tuple(r)
+
+    assert parsed("obsidian://open?vault=My%20Vault&file=a%2Fb+c%20") == ("My Vault", "a/b c")
+    assert parsed("obsidian://open?vault=V&file=a%2520b") == ("V", "a b")
+    assert parsed("obsidian://open?vault=V") is None and parsed("https://x.org/?vault=V&file=a") is None and parsed("plain/path.md") is None
+
+
+def test_link_status(spark):
+    cases = [("[[a|x]]", "a", True, "skipped"), ("[[a|x]]", "b", True, "matched"), ("[[a|x]]", "b", False, "skipped"), ("[[a|x]]", None, True, "skipped"), ("", None, True, "failed"), (None, "b", False, "matched"), ("", "b", True, "matched")]
+    df = spark.createDataFrame(cases, "e string, t string, f boolean, want string")
+    assert all(r.got == r.want for r in df.select("want", linkage.link_status(F.col("e"), F.col("t"), F.col("f")).alias("got")).collect())
+
+
+def test_doi_sets_take_all(spark):
+    items = ["see [[n|10.1/a 10.12345/b\n10.12345/c]] end", "10.12345/d and 10.12345/e", None, ""]
+    got = spark.createDataFrame([(items,)], "r array<string>").select(linkage.doi_set(F.col("r")).alias("s")).first()["s"]
+    assert got == ["10.12345/b", "10.12345/c", "10.12345/d", "10.12345/e"]
+
+
+def test_rebuilt_lists(spark):
+    from quillspark.operators import graph
+
+    rows = [(1, "reference", i, x) for i, x in enumerate(["[[N|10.1234/A1]]", "Plain text", "plain TEXT", "10.1234/a1", "[[q|10.1234/abc]]", " ", "[[M|10.1234/a1.]]"])]
+    got = graph.rebuilt_lists(spark.createDataFrame(rows, "note_id long, field string, pos int, raw string")).orderBy("pos").collect()
+    assert [(r.pos, r.raw, r.doi) for r in got] == [(0, "[[N|10.1234/A1]]", "10.1234/A1"), (1, "Plain text", None)]
+
+
+def test_archived_images(spark):
+    bodies = spark.createDataFrame([(1, "![a](../images/ab.jpg) ![b](C:\\v\\images\\0f.png) ![](images/cd.jpg)"), (2, None), (3, "![x](D:/y/images/ee.gif)")], "note_id long, body string")
+    inventory = spark.createDataFrame([("ab.jpg", "common", 1), ("ab.jpg", "vault", 0), ("0f.png", "common", 1)], "name string, source string, priority int")
+    there = spark.createDataFrame([("0f.png",)], "name string")
+    assert {tuple(r) for r in vault.archived_images(bodies, inventory, there).collect()} == {(1, "ab.jpg", "vault"), (1, "0f.png", "there"), (3, "ee.gif", None)}
+
+
 def test_unreferenced(spark):
     inventory = spark.createDataFrame([("a.png",), ("b.png",), ("b.png",)], "name string")
     texts = spark.createDataFrame([("![](images/a.png)",), (None,), ("![[b.png]]",)], "text string")
@@ -176,7 +248,7 @@ def test_first_deliveries(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.createDataFrame(rows, "note_id long, received_at timestamp").coalesce(1).write.parquet(path)
     stream = spark.readStream.schema("note_id long, received_at timestamp").parquet(path)
-    assert sorted(r.note_id for r in inbox.run_to_end(inbox.first_deliveries(stream), "append").collect()) == [1, 2]
+    assert sorted(r.note_id for r in inbox.run_to_end(inbox.first_deliveries(stream), str(tmp_path / "out")).collect()) == [1, 2]
 
 
 def test_begun_paths(spark):
