@@ -227,3 +227,13 @@ def p8_fill(spark, sf_dir: str) -> DataFrame:
         ((F.col("last") + 1) * F.col("capacity") - F.col("tokens")).alias("left_over"),
         F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"),
     )
+
+
+def p8_sound(spark, sf_dir: str) -> DataFrame:
+    """Per pack, what every packing must keep: the documents in it, containers that hold too much, documents that were cut though
+    they fit, and pieces that stand in two containers."""
+    rows = p8_packed(spark, sf_dir)
+    fill = rows.groupBy("pack", "capacity", "container").agg(F.sum("n_tokens").alias("n")).groupBy("pack").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_overfull"))
+    pieces = rows.groupBy("pack", "capacity", "doc_id").agg(F.count("*").alias("k"), F.countDistinct("piece").alias("d"), F.sum("n_tokens").alias("n"))
+    kept = pieces.groupBy("pack").agg(F.count("*").alias("n_documents"), F.count_if((F.col("k") > 1) & (F.col("n") <= F.col("capacity"))).alias("n_cut"), F.count_if(F.col("k") != F.col("d")).alias("n_twice"))
+    return kept.join(fill, "pack")

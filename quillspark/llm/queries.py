@@ -33,6 +33,7 @@ def queries() -> dict:
         "p7_ids": encoding.p7_ids,
         "p8_packed": packing.p8_packed,
         "p8_fill": packing.p8_fill,
+        "p8_sound": packing.p8_sound,
         "p9_found": abuse.p9_found,
         "p9_scores": abuse.p9_scores,
         "p9_rates": abuse.p9_rates,
@@ -45,6 +46,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE ref_id <> keep_ref_id""",
         "p2_collapsed": f"SELECT min(ref_id) AS ref_id, count(*) AS n_copies FROM ({_ENTRIES}) GROUP BY note_id, field, k",
         "p6_found": f"WITH {_SETS} SELECT a AS note_id_a, b AS note_id_b FROM links",
+        "p8_sound": "SELECT DISTINCT pack, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_overfull FROM pack_sizes",
         "p6_classes": f"""WITH {_SETS},
             s AS (SELECT note_id, list_sort(list(doi)) AS k FROM t GROUP BY 1),
             c AS (SELECT note_id, min(note_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n_same FROM s),

@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import doi as D
-from quillspark.tables import cut, table
+from quillspark.tables import cut, spread_join, table
 
 THRESHOLD = Fraction(85, 100)
 #: A set is small if it has at most this many subsets of the sizes that its possible partners ask for.
 MOST_SUBSETS = 40
+#: Where rows of one key meet each other, a key with more rows than this is spread.
+PAIR_LIMIT = 1000
 
 
 def overlap(a: int, b: int, t: Fraction) -> int:
@@ -130,10 +132,12 @@ def similar_classes(distinct: DataFrame, t: Fraction = THRESHOLD, most: int = MO
     )
     # two similar sets share a token among the first n - ceil(t * n) + 1 of each, in one common order
     length = (F.col("n") - F.ceil(F.col("n") * t.numerator / F.lit(float(t.denominator))) + 1).cast("int")
-    prefixes = ranked.select("class", "n", F.explode(F.slice("ranked", F.lit(1), length)).alias("r")).select("class", "n", F.col("r.tok").alias("key"))
+    # joined with itself and counted: written once
+    prefixes = cut(ranked.select("class", "n", F.explode(F.slice("ranked", F.lit(1), length)).alias("r")).select("class", "n", F.col("r.tok").alias("key")))
     one, two = prefixes.select("key", F.col("class").alias("a"), F.col("n").alias("n_a")), prefixes.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"))
     by_list = (
-        one.join(two, "key")
+        # a token that stands in many prefixes is spread over tasks
+        spread_join(one, two, "key", PAIR_LIMIT)
         .filter((F.col("a") < F.col("b")) & (F.greatest("n_a", "n_b") > small))
         .filter(F.least("n_a", "n_b") * t.denominator >= F.greatest("n_a", "n_b") * t.numerator)
         .select("a", "b")
@@ -167,12 +171,13 @@ def _membership(sets: DataFrame, distinct: DataFrame) -> DataFrame:
 def p6_found(spark, sf_dir: str) -> DataFrame:
     sets = cut(note_sets(table(spark, sf_dir, "frontmatter")))
     distinct = cut(classes(sets))
-    member = _membership(sets, distinct)
+    member = cut(_membership(sets, distinct))
     links = similar_classes(distinct).select("a", "b")
     # The pairs asked for are those of notes: links between classes meet the classes' members, and the members of a
     # class one another.
+    # A class of many copies makes many pairs: its members are salted, so that no task makes them all.
     two = links.join(member.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("class").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    one = member.select("class", F.col("id").alias("x")).join(member.select("class", F.col("id").alias("y")), "class").filter(F.col("x") < F.col("y")).select("x", "y")
+    one = spread_join(member.select("class", F.col("id").alias("x")), member.select("class", F.col("id").alias("y")), "class", PAIR_LIMIT).filter(F.col("x") < F.col("y")).select("x", "y")
     return two.unionByName(one).select(F.least("x", "y").alias("note_id_a"), F.greatest("x", "y").alias("note_id_b"))
 
 

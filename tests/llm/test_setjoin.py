@@ -47,6 +47,12 @@ def test_equals_brute_force(spark, seed, t, most):
     assert pairs(spark, sets, t, most) == want
 
 
+def test_hot_tokens_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "PAIR_LIMIT", 2)
+    sets = made(5)
+    assert pairs(spark, sets, Fraction(85, 100), 3) == brute(sets, Fraction(85, 100))
+
+
 def test_nothing(spark):
     assert pairs(spark, [(1, [])], Fraction(85, 100), 40) == set()
 
