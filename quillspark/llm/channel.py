@@ -205,7 +205,7 @@ class Model:
     def misread_han(self, s: str) -> list[tuple[int, str]]:
         """Places of Han characters taken for another, and what was meant: Viterbi search over the look-alikes under the
         corpus' characters; states are the last two characters."""
-        if not HAN.search(s):
+        if s.isascii() or not HAN.search(s):
             return []
         at = [i for i, c in enumerate(s) if not c.isspace()]
         text = "".join(s[i] for i in at)
@@ -262,15 +262,14 @@ class _Tally:
         self.chars.add(texts, words=False)
         joined = "\x01" + "\n\x01".join(t.replace("\x01", " ").replace("\x02", " ") for t in texts) + "\n\x01"
         whole = _BREAK.sub("\x02", joined) if _LINE_END.search(joined) else joined
-        memo, hashes = self.memo, []
+        memo = self.memo
         words = _WHOLE.findall(whole)
-        for w in words:
-            got = memo.get(w)
-            if got is None:
-                got = memo[w] = _hash(word_key(w))
-            hashes.append(got)
-        self.words.update(words)
-        h = np.array(hashes, np.uint64)
+        counts = Counter(words)
+        for w in counts:
+            if w not in memo:
+                memo[w] = _hash(word_key(w))
+        self.words.update(counts)
+        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         if len(h) > 1:
             at = (h[:-1] * np.uint64(3) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(43)
             self.pairs += np.bincount(at.astype(np.int64), minlength=WIDTH)

@@ -54,9 +54,10 @@ def page_furniture(line: str, edge: bool, alone: bool) -> str | None:
         return None
     if AUTHORS.match(s) or JOURNAL.match(s):
         return "header"
-    letters = [c for c in s if c.isalpha()]
-    if len(letters) > 5 and all(c.isupper() for c in letters) and not s.endswith(STOPS):
-        return "header"
+    if s.isupper() and not s.endswith(STOPS):
+        letters = [c for c in s if c.isalpha()]
+        if len(letters) > 5 and all(c.isupper() for c in letters):
+            return "header"
     return None
 
 
