@@ -213,6 +213,18 @@ def work_references(spark, sf_dir: str) -> DataFrame:
     return filled
 
 
+def appended_refs(spark, sf_dir: str) -> DataFrame:
+    """The section of references that is put at the end of each body that has none yet: numbered entries with the DOI they are
+    known with."""
+    texts = refs(spark, sf_dir).filter("field = 'reference'").select("note_id", "pos", D.strip_blanks(F.col("raw")).alias("raw"))
+    open_ = notes(spark, sf_dir).filter(~F.contains(F.coalesce("body", F.lit("")), F.lit("## 参考文献"))).select("note_id")
+    rows = work_references(spark, sf_dir).join(texts, ["note_id", "pos"]).join(open_, "note_id", "left_semi")
+    # a note's list, in order
+    lists = rows.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("pos", "raw", "doi"))).alias("l"))
+    lines = F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["raw"], F.lit(" DOI: "), x["doi"]))
+    return lists.select("note_id", F.concat(F.lit("\n\n## 参考文献\n"), F.array_join(lines, "\n")).alias("section"))
+
+
 def citation_misses(spark, sf_dir: str) -> DataFrame:
     """Citations without a DOI that nobody knows one for, and how often they are asked for."""
     entries = refs(spark, sf_dir).filter("field = 'reference'").select("raw")
@@ -244,7 +256,7 @@ def local_refs(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dedupe_refs, pin_main, pin_alike, number_refs, merge_dois, existing_dois, wikilinks, freshness_age, enrich_refs, lookup_misses, citedby_topn, citedby_claims, work_references, citation_misses, title_verified,
+        dedupe_refs, pin_main, pin_alike, number_refs, merge_dois, existing_dois, wikilinks, freshness_age, enrich_refs, lookup_misses, citedby_topn, citedby_claims, work_references, appended_refs, citation_misses, title_verified,
         local_refs,
     )
 }

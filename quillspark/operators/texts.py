@@ -62,19 +62,35 @@ def dash_quotes(spark, sf_dir: str) -> DataFrame:
 
 
 def main_doi_cascade(spark, sf_dir: str) -> DataFrame:
-    """A note's main DOI: of its front matter, else of a ``doi:`` line of its document, else the first plausible one in it."""
-    docs = _documents(spark, sf_dir).filter("note_id IS NOT NULL").groupBy("note_id").agg(F.min_by("text", "doc_id").alias("text"))
+    """A note's main DOI: of its front matter, else of a ``doi:`` line of one of its documents, else the first plausible one in
+    them; of several documents the first that has one."""
+    per_doc = _documents(spark, sf_dir).filter("note_id IS NOT NULL").select("note_id", "doc_id", D.doi_from_doi_line(F.col("text")).alias("line"), D.canonical(F.get(D.plausible_dois(F.col("text")), F.lit(0)))["doi"].alias("first"))
+    pick = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("doc_id"))).alias(c)
+    docs = per_doc.groupBy("note_id").agg(pick("line"), pick("first"))
     rows = frontmatter(spark, sf_dir).select("note_id", "doi").join(docs, "note_id", "left")
     own = D.canonical(D.doi_first(F.col("doi")))["doi"]
-    line = D.doi_from_doi_line(F.col("text"))
-    first = D.canonical(F.get(D.plausible_dois(F.col("text")), F.lit(0)))["doi"]
+    line, first = F.col("line"), F.col("first")
     return rows.select(
         "note_id", F.coalesce(own, line, first).alias("main_doi"), F.when(own.isNotNull(), "front matter").when(line.isNotNull(), "line").when(first.isNotNull(), "text").otherwise("none").alias("found_in")
     )
 
 
+def main_doi_of_body(spark, sf_dir: str) -> DataFrame:
+    """A note's main DOI for its cited-by list: of its front matter, else of its first reference, else the first one in its
+    repaired body (plausible or not), else of a ``doi:`` line."""
+    rows = frontmatter(spark, sf_dir).select("note_id", "doi", F.get("reference", F.lit(0)).alias("ref")).join(notes(spark, sf_dir).select("note_id", "body"), "note_id")
+    inner = F.when(F.col("ref").rlike(r"(?s)^\[\[.*\]\]$"), F.expr("substring(ref, 3, length(ref) - 4)")).otherwise(F.col("ref"))
+    listed = D.doi_first(F.regexp_replace(inner, r"(?s)^[^|]*\|", ""))
+    found = [D.canonical(x)["doi"] for x in (D.doi_first(F.col("doi")), listed, D.doi_first(D.repair_text(F.col("body"))))]
+    return rows.select("note_id", F.coalesce(*found, D.doi_from_doi_line(F.col("body"))).alias("main_doi"))
+
+
 def note_title(spark, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", M.first_title(F.col("text"), F.concat(F.lit("document "), "doc_id")).alias("title"))
+    """Title of each document: its first heading that is no section's, else its first one, else the title of its note's front
+    matter, else the note's name, else its number."""
+    meta = frontmatter(spark, sf_dir).select("note_id", F.nullif("title", F.lit("")).alias("meta_title")).join(notes(spark, sf_dir).select("note_id", "stem"), "note_id")
+    rows = _documents(spark, sf_dir).join(meta, "note_id", "left")
+    return rows.select("doc_id", M.first_title(F.col("text"), F.coalesce("meta_title", "stem", F.concat(F.lit("document "), "doc_id"))).alias("title"))
 
 
 def headings(spark, sf_dir: str) -> DataFrame:
@@ -218,7 +234,7 @@ def fuzzy_title(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doi_extract, doi_repair, doi_canonical, dash_quotes, main_doi_cascade, note_title, headings, paragraph_merge, table_md, pdf_markdown, title_clean, title_from_blocks, body_images, body_clean, url_extract,
+        doi_extract, doi_repair, doi_canonical, dash_quotes, main_doi_cascade, main_doi_of_body, note_title, headings, paragraph_merge, table_md, pdf_markdown, title_clean, title_from_blocks, body_images, body_clean, url_extract,
         url_linkify, json_leaves, frontmatter_split, first_time_branch, first_processing, content_dois, doi_sources, span_titles, remove_doi, fuzzy_title,
     )
 }

@@ -59,6 +59,9 @@ SQL = {
             FROM rec JOIN o ON o.folder = rec.folder AND o.k = rec.k + 1)
         SELECT folder, note_id, CAST(unnest(range(1, len(got) + 1)) AS INT) AS place, unnest(got) AS doi FROM rec""",
     "work_references": f"""WITH {_RAW}, {_CITATIONS} SELECT note_id, pos, coalesce(own, doi) AS doi, CASE WHEN own IS NOT NULL THEN 'own' ELSE 'text' END AS found_by FROM c LEFT JOIN lk USING (text) WHERE coalesce(own, doi) IS NOT NULL""",
+    "appended_refs": f"""WITH {NOTES}, {_RAW}, {_CITATIONS}, w AS (SELECT note_id, pos, coalesce(own, doi) AS doi FROM c LEFT JOIN lk USING (text) WHERE coalesce(own, doi) IS NOT NULL),
+        x AS (SELECT w.note_id, w.pos, w.doi, {strip('r.raw')} AS raw, row_number() OVER (PARTITION BY w.note_id ORDER BY w.pos) AS i FROM w JOIN r ON r.note_id = w.note_id AND r.pos = w.pos AND r.field = 'reference')
+        SELECT note_id, chr(10) || chr(10) || '## 参考文献' || chr(10) || string_agg(i || '. ' || x.raw || ' DOI: ' || doi, chr(10) ORDER BY i) AS section FROM x JOIN n USING (note_id) WHERE NOT contains(coalesce(n.body, ''), '## 参考文献') GROUP BY 1""",
     "citation_misses": f"WITH {_RAW}, {_CITATIONS} SELECT text, count(*) AS n FROM c WHERE own IS NULL AND text IS NOT NULL AND text NOT IN (SELECT text FROM lk) GROUP BY 1",
     "title_verified": f"""WITH {META}, {_OWN}, g AS (SELECT lower(title) AS key, min(lower(own)) AS doi FROM m JOIN own USING (note_id) WHERE title IS NOT NULL AND own IS NOT NULL GROUP BY 1)
         SELECT doc_id, m.note_id, g.doi FROM m JOIN documents d ON d.note_id = m.note_id JOIN g ON g.key = lower(m.title) WHERE d.text IS NOT NULL""",

@@ -121,12 +121,18 @@ SQL = {
     "doi_canonical": f"""WITH {_WORKS}, t(tail, suffix) AS (VALUES {_TAIL_ROWS}), x AS (SELECT w.doi, tail, w.doi || suffix AS v FROM w, t), y AS (SELECT doi, tail, {canonical('v')} AS canonical FROM x)
         SELECT doi, tail, canonical, {safe('canonical')} AS safe, {plausible('canonical')} AS plausible FROM y""",
     "dash_quotes": f"""WITH {META} SELECT note_id, translate(title, '‐‑–—', '----') AS dashes, replace(translate(title, '“”‘’–—', '""' || chr(39) || chr(39) || '--'), '…', '...') AS quotes FROM m WHERE title IS NOT NULL""",
-    "main_doi_cascade": f"""WITH {META}, {_DOCS}, f AS (SELECT note_id, arg_min(text, doc_id) AS text FROM d WHERE note_id IS NOT NULL GROUP BY 1),
-        x AS (SELECT m.note_id, {first_doi('doi')} AS a, regexp_extract(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda l: regexp_matches(l, '(?i)^\\s*doi:') AND regexp_matches(l, '(?i){DOI}'))[1], '(?i){DOI}') AS b,
-              list_filter(regexp_extract_all(text, '(?i){DOI}'), lambda y: {plausible('y')})[1] AS c FROM m LEFT JOIN f USING (note_id)),
+    "main_doi_cascade": f"""WITH {META}, {_DOCS}, p AS (SELECT note_id, doc_id, regexp_extract(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda l: regexp_matches(l, '(?i)^\\s*doi:') AND regexp_matches(l, '(?i){DOI}'))[1], '(?i){DOI}') AS b,
+              list_filter(regexp_extract_all(text, '(?i){DOI}'), lambda y: {plausible('y')})[1] AS c FROM d WHERE note_id IS NOT NULL),
+        f AS (SELECT note_id, arg_min(b, doc_id) FILTER (WHERE b IS NOT NULL) AS b, arg_min(c, doc_id) FILTER (WHERE c IS NOT NULL) AS c FROM p GROUP BY 1),
+        x AS (SELECT m.note_id, {first_doi('doi')} AS a, b, c FROM m LEFT JOIN f USING (note_id)),
         y AS (SELECT note_id, {canonical('a')} AS a, {canonical('b')} AS b, {canonical('c')} AS c FROM x)
         SELECT note_id, coalesce(a, b, c) AS main_doi, CASE WHEN a IS NOT NULL THEN 'front matter' WHEN b IS NOT NULL THEN 'line' WHEN c IS NOT NULL THEN 'text' ELSE 'none' END AS found_in FROM y""",
-    "note_title": f"WITH {_DOCS} SELECT doc_id, coalesce({_TITLE}, 'document ' || doc_id) AS title FROM d",
+    "main_doi_of_body": f"""WITH {META}, {NOTES}, {repaired('n', 'note_id', 'body')},
+        x AS (SELECT m.note_id, {first_doi('m.doi')} AS a, {first_doi("regexp_replace(CASE WHEN regexp_matches(reference[1], '(?s)^\\[\\[.*\\]\\]$') THEN substr(reference[1], 3, length(reference[1]) - 4) ELSE reference[1] END, '(?s)^[^|]*\\|', '')")} AS b,
+            {first_doi('t')} AS c, nullif(regexp_extract(list_filter(string_split(replace(body, chr(13), ''), chr(10)), lambda l: regexp_matches(l, '(?i)^\\s*doi:') AND regexp_matches(l, '(?i){DOI}'))[1], '(?i){DOI}'), '') AS e FROM m JOIN n USING (note_id) JOIN fixed USING (note_id)),
+        y AS (SELECT note_id, {canonical('a')} AS a, {canonical('b')} AS b, {canonical('c')} AS c, {canonical('e')} AS e FROM x) SELECT note_id, coalesce(a, b, c, e) AS main_doi FROM y""",
+    "note_title": f"""WITH {_DOCS}, {META}, {NOTES}, k AS (SELECT note_id, nullif(title, '') AS mt, stem FROM m JOIN n USING (note_id))
+        SELECT doc_id, coalesce({_TITLE}, mt, stem, 'document ' || doc_id) AS title FROM d LEFT JOIN k USING (note_id)""",
     "headings": f"WITH {_DOCS}, x AS (SELECT doc_id, text, {_promoted('text')} AS body FROM d) SELECT doc_id, md5(body) AS digest, length(body) - length(text) AS added FROM x",
     "paragraph_merge": f"WITH {_BLOCKS} SELECT block_id, {_merged('content')} AS merged FROM c WHERE kind = 'text' OR kind IS NULL",
     "table_md": f"WITH {_BLOCKS} SELECT block_id, {_table('content')} AS markdown FROM c WHERE kind = 'table'",
