@@ -26,8 +26,9 @@ YEAR_OR_DOTS_TAIL = r"\(\d{4}\)\.?$|\.+$"
 TRAILING = "。,， \t\n;：:"
 #: Characters a file name must not hold.
 UNSAFE = '\\:*?"<>|'
-#: Dashes written as a hyphen.
+#: Dashes written as a hyphen; with the horizontal bar, in citations.
 DASHES = "‐‑–—"
+CITATION_DASHES = "‐‑–—―"
 # ----------------------------------------------------------------------------------------------------------------
 
 
@@ -59,6 +60,10 @@ def normalize_dashes(text: Column) -> Column:
     return F.translate(text, DASHES, "-" * len(DASHES))
 
 
+def citation_dashes(text: Column) -> Column:
+    return F.translate(text, CITATION_DASHES, "-" * len(CITATION_DASHES))
+
+
 def smart_quotes(text: Column) -> Column:
     """Typographic quotes and the two long dashes become plain ones, the ellipsis three dots."""
     return F.replace(F.translate(text, "“”‘’–—", "\"\"''--"), F.lit("…"), F.lit("..."))

@@ -58,7 +58,7 @@ def doi_canonical(spark, sf_dir: str) -> DataFrame:
 
 def dash_quotes(spark, sf_dir: str) -> DataFrame:
     rows = frontmatter(spark, sf_dir).filter("title IS NOT NULL")
-    return rows.select("note_id", D.normalize_dashes(F.col("title")).alias("dashes"), D.smart_quotes(F.col("title")).alias("quotes"))
+    return rows.select("note_id", D.normalize_dashes(F.col("title")).alias("dashes"), D.citation_dashes(F.col("title")).alias("citation"), D.smart_quotes(F.col("title")).alias("quotes"))
 
 
 def main_doi_cascade(spark, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ SQL = {
         SELECT doc_id, len(l) AS n, array_to_string(l, ' ') AS dois FROM x WHERE len(l) > 0""",
     "doi_canonical": f"""WITH {_WORKS}, t(tail, suffix) AS (VALUES {_TAIL_ROWS}), x AS (SELECT w.doi, tail, w.doi || suffix AS v FROM w, t), y AS (SELECT doi, tail, {canonical('v')} AS canonical FROM x)
         SELECT doi, tail, canonical, {safe('canonical')} AS safe, {plausible('canonical')} AS plausible FROM y""",
-    "dash_quotes": f"""WITH {META} SELECT note_id, translate(title, '‐‑–—', '----') AS dashes, replace(translate(title, '“”‘’–—', '""' || chr(39) || chr(39) || '--'), '…', '...') AS quotes FROM m WHERE title IS NOT NULL""",
+    "dash_quotes": f"""WITH {META} SELECT note_id, translate(title, '‐‑–—', '----') AS dashes, translate(title, '‐‑–—―', '-----') AS citation, replace(translate(title, '“”‘’–—', '""' || chr(39) || chr(39) || '--'), '…', '...') AS quotes FROM m WHERE title IS NOT NULL""",
     "main_doi_cascade": f"""WITH {META}, {_DOCS}, p AS (SELECT note_id, doc_id, regexp_extract(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda l: regexp_matches(l, '(?i)^\\s*doi:') AND regexp_matches(l, '(?i){DOI}'))[1], '(?i){DOI}') AS b,
               list_filter(regexp_extract_all(text, '(?i){DOI}'), lambda y: {plausible('y')})[1] AS c FROM d WHERE note_id IS NOT NULL),
         f AS (SELECT note_id, arg_min(b, doc_id) FILTER (WHERE b IS NOT NULL) AS b, arg_min(c, doc_id) FILTER (WHERE c IS NOT NULL) AS c FROM p GROUP BY 1),

@@ -43,3 +43,12 @@ def test_core_queries_match_sql(spark):
         assert sorted(got.columns) == sorted(columns), name
         rows = sorted(map(repr, map(tuple, got.select(*columns).collect())))
         assert rows == sorted(map(repr, want.fetchall())), name
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="test data not here")
+def test_tasks_are_plans(spark):
+    from quillspark import api
+
+    for task in (api.citation_graph, api.match_notes, api.cited_by, api.reference_lists, api.converted_pages, api.clean_images, api.rename_files, api.remove_dois, api.archive, api.trash, api.resolve):
+        plans = task(spark, DATA)
+        assert plans and all(p.columns for p in plans.values())
