@@ -51,7 +51,9 @@ HOPELESS = -7.0
 #: Copies of a text carry the same misreadings.
 CLUSTER = 6.0
 #: Words with candidates that are broadcast as one table (about 100 bytes each); beyond, those below one in 2^18 of all words are joined.
-MOST_SENT, FREQUENT_SHARE = 1 << 20, 1 << 18
+MOST_SENT, FREQUENT_SHARE = 1 << 18, 1 << 18
+#: What is longer is no word (an address, a table's rule).
+LONGEST = 64
 #: Log costs of a Han character that is not, and that is, rare beside its look-alike.
 HAN_COST, HAN_RARE_COST, HAN_RARE = 4.0, -1.0, 0.15
 
@@ -65,9 +67,10 @@ WORD = re.compile(r"[^\W_]+(?:[@$|!]+[^\W_]+)*[@$]?")
 #: As ``WORD``, but no halves of broken words (\x02 stands for the break), and texts' ends (\x01).
 _WHOLE = re.compile(r"[^\W_]++(?:[@$|!]++[^\W_]++)*+[@$]?+(?!\x02)|\x01")
 _BREAK = re.compile(r"[-‐‑¬­]\s*(?:\n\s*[^\s\x01]*|(?=\x01)|$)")
-_BROKEN = re.compile(r"(?<![^\W_])([^\W_]++)[-‐‑¬­]\s*\n\s*([^\W_]+(?:[@$|!]+[^\W_]+)*)")
+_HYPHEN = re.compile(r"[-‐‑¬­]")
+_NEXT_LINE = re.compile(r"\s*\n\s*([^\W_]+(?:[@$|!]+[^\W_]+)*)?")
+_RUN = re.compile(r"[^\W_]*")
 _LINE_END = re.compile(r"[-‐‑¬­]\s*\n")
-_COMPOUND = re.compile(r"(?<![^\W_])[^\W_]++-[^\W_]*(?:-[^\W_]*)*")
 ROWS, WIDTH = 2, 1 << 21
 
 
@@ -84,10 +87,6 @@ def _places(h: int) -> tuple[int, int]:
     return h >> 43, (h * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 43
 
 
-def pair_place(a: str, b: str) -> int:
-    return ((_hash(a) * 3 + _hash(b)) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 43
-
-
 def one_step(w: str, start: int = 0) -> Iterator[tuple[str, str, int]]:
     """(reading, confusion, place after it): what the scanner may have read as ``w``."""
     for i in range(start, len(w)):
@@ -112,7 +111,8 @@ ALL = sorted({f"{c}>{x}" for c, xs in CONFUSIONS.items() for x in xs} | {f"{c}>{
 
 
 def worth_reading(w: str) -> bool:
-    return len(w) > 1 and any(map(str.isalpha, w)) and not (w.isupper() and len(w) < 4) and not ("⺀" <= w[0] <= "鿿")
+    """Han text and what is longer than any word is left to others."""
+    return 1 < len(w) <= LONGEST and any(map(str.isalpha, w)) and not (w.isupper() and len(w) < 4) and not ("⺀" <= w[0] <= "鿿")
 
 
 def genuine(n: float, misread: float) -> float:
@@ -136,6 +136,17 @@ class Model:
         self.pairs = narrow(np.maximum(pairs - int(np.median(pairs)), 0))
         #: word: the candidates for it, itself among them
         self.suspects: dict[str, list[Candidate]] = {}
+        self.fits: dict[str, float] = {}
+        self.hashes: dict[str, int] = {}
+
+    def hash(self, w: str) -> int:
+        """Hash of a word's key."""
+        got = self.hashes.get(w)
+        if got is None:
+            got = self.hashes[w] = _hash(word_key(w))
+            if len(self.hashes) > 200_000:
+                self.hashes.clear()
+        return got
 
     def upper(self, key: str) -> int:
         """At least the occurrences of a word."""
@@ -143,13 +154,14 @@ class Model:
         return min(int(self.sketch[0, a]), int(self.sketch[1, b]))
 
     def count(self, w: str) -> int:
-        return max(0, self.upper(word_key(w)) - self.noise)
+        a, b = _places(self.hash(w))
+        return max(0, min(int(self.sketch[0, a]), int(self.sketch[1, b])) - self.noise)
 
     def known(self, w: str) -> bool:
         return self.count(w) > 1
 
     def pair(self, a: str, b: str) -> int:
-        return int(self.pairs[pair_place(word_key(a), word_key(b))])
+        return int(self.pairs[(self.hash(a) * 3 + self.hash(b)) * 0xC2B2AE3D27D4EB4F % (1 << 64) >> 43])
 
     def spelled(self, w: str) -> float:
         """Occurrences to be expected of a word that the corpus has not: new words by the likelihood of their spelling."""
@@ -214,7 +226,13 @@ class Model:
         lm = self.lm
 
         def fit(i: int) -> float:
-            return lm.char(t[i - 2], t[i - 1], t[i]) + lm.char(t[i - 1], t[i], t[i + 1]) + lm.char(t[i], t[i + 1], t[i + 2])
+            v = t[i - 2 : i + 3]
+            got = self.fits.get(v)
+            if got is None:
+                got = self.fits[v] = lm.char(v[0], v[1], v[2]) + lm.char(v[1], v[2], v[3]) + lm.char(v[2], v[3], v[4])
+                if len(self.fits) > 200_000:
+                    self.fits.clear()
+            return got
 
         def cost(c: str, x: str) -> float:
             # a character that is rare beside its look-alike owes its occurrences to it unless its place says otherwise
@@ -250,6 +268,26 @@ _WORDS, _PAIRS, _HEADING = 10, 11, 12
 _TALLY = ["kind", "bucket", "word", "key", "n"]
 
 
+def _hyphenated(text: str) -> Counter:
+    """Both parts of hyphenated words with the hyphen between, or a part before one. Words broken at a line's end are no evidence
+    of what words there are, but may have been misread themselves: they are there without being counted."""
+    out: Counter = Counter()
+    for m in _HYPHEN.finditer(text):
+        i = k = m.start()
+        while k > 0 and text[k - 1].isalnum() and i - k < LONGEST:
+            k -= 1
+        if k == i:
+            continue
+        left = text[k:i]
+        broken = _NEXT_LINE.match(text, i + 1)
+        if broken is None:
+            if m.group() == "-":
+                out[f"{left}-{_RUN.match(text, i + 1).group()}"] += 1
+        elif broken.group(1):
+            out[left + broken.group(1)] += 0
+    return out
+
+
 class _Tally:
     """Counts of one task."""
 
@@ -273,12 +311,7 @@ class _Tally:
         if len(h) > 1:
             at = (h[:-1] * np.uint64(3) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(43)
             self.pairs += np.bincount(at.astype(np.int64), minlength=WIDTH)
-        # broken words are no evidence of what words there are, but may have been misread themselves
-        for a, b in _BROKEN.findall(joined):
-            self.words[a + b] += 0
-        for c in _COMPOUND.findall(whole):
-            parts = c.split("-")
-            self.words.update(f"{a}-{b}" for a, b in zip(parts, parts[1:]))
+        self.words.update(_hyphenated(joined))
         if len(memo) > 1_000_000:
             memo.clear()
 
@@ -289,7 +322,8 @@ class _Tally:
 
     def word_rows(self) -> pd.DataFrame:
         self.words.pop("\x01", None)
-        rows = [(_WORDS, 0, w, word_key(w), n) for w, n in self.words.items()] + [(_HEADING, 0, w, w, n) for w, n in self.headings.items()]
+        # Han text between blanks or signs is no word, and hardly ever the same twice
+        rows = [(_WORDS, 0, w, word_key(w), n) for w, n in self.words.items() if len(w) <= LONGEST and not "⺀" <= w[0] <= "鿿"] + [(_HEADING, 0, w, w, n) for w, n in self.headings.items()]
         self.words.clear()
         self.headings.clear()
         return pd.DataFrame(rows, columns=_TALLY)
