@@ -15,7 +15,7 @@ parsed AS (SELECT *, {_LINK} AND {_DISPLAY} <> '' AS is_link, {_NAME} AS name, {
 _OWN = f"own AS (SELECT note_id, {canonical(first_doi('doi'))} AS own FROM m)"
 _CHAIN = f"""links AS (SELECT DISTINCT note_id, {_KEY} AS doi FROM r WHERE field = 'reference' AND {_KEY} IS NOT NULL),
 chain AS (SELECT l.doi, l.note_id AS citing, o.own AS citing_doi, CAST(n.created_at AS DATE) AS day, n.path FROM links l JOIN n USING (note_id) JOIN own o USING (note_id))"""
-_TEXT = r"""lower(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)[\s,.;(]*(?:doi:?\s*)?10\.\d{4,9}/.*$', ''), '^\s+|\s+$', '', 'g'), '[\s.,;“”"]+$|^[\s“”"]+', '', 'g'))"""
+_TEXT = "lower(regexp_replace(" + strip(r"regexp_replace(raw, '(?i)[\s,.;(]*(?:doi:?\s*)?10\.\d{4,9}/.*$', '')") + r""", '[\s.,;“”"]+$|^[\s“”"]+', '', 'g'))"""
 _CITATIONS = f"""c AS (SELECT note_id, pos, {_KEY} AS own, CASE WHEN NOT contains(raw, '[[') AND length({_TEXT}) > 20 THEN {_TEXT} END AS text FROM r WHERE field = 'reference'),
 lk AS (SELECT text, min(own) AS doi FROM c WHERE text IS NOT NULL AND own IS NOT NULL GROUP BY 1)"""
 _W = "w AS (SELECT lower(doi) AS key, max(issued_year) AS issued_year, max(cited_count) AS cited_count FROM works WHERE doi IS NOT NULL GROUP BY 1)"
