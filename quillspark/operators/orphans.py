@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import doi as D
 from quillspark.functions import wikilink as W
 from quillspark.bloom import bloom_filter, might_contain
-from quillspark.tables import cut, lookup, table
+from quillspark.tables import cut, lookup, parallel, table
 
 def find_orphans(pointers: DataFrame, parents: DataFrame, carriers: DataFrame, ident: list[str]) -> DataFrame:
     """Orphans among ``pointers(ident..., carrier, key)``.
@@ -59,7 +59,7 @@ def note_pointers(frontmatter: DataFrame) -> DataFrame:
 
 def reference_pointers(refs: DataFrame) -> DataFrame:
     """DOIs of the ``reference`` entries: (note_id, field, pos, carrier, key)."""
-    return refs.filter(F.col("field") == "reference").select(
+    return parallel(refs.filter(F.col("field") == "reference").select("note_id", "field", "pos", "raw")).select(
         "note_id", "field", F.col("pos").cast("int").alias("pos"), F.col("note_id").alias("carrier"), D.key_of_entry(F.col("raw")).alias("key")
     ).filter(F.col("key").isNotNull())
 

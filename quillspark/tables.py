@@ -44,6 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def width(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Shuffled by ``keys`` into as many partitions as the session has for a shuffle. They are not put together where they are
+    small: for steps in which a row costs far more than its bytes."""
+    return rows.repartition(width(rows.sparkSession), *keys)
+
+
+def parallel(rows: DataFrame) -> DataFrame:
+    """For steps in which a row costs far more than its bytes: a table of fewer parts than there are cores is dealt out to all of
+    them; a larger one stays where it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def once(rows: DataFrame, key: str) -> DataFrame:
     """One row per ``key``, with only the repeated ones shuffled: keys alone are counted first, and a filter of bounded size
     tells the rows that may be repeated from the many that are not. Rows without a key are all kept."""
@@ -125,4 +142,4 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _once(rows: DataFrame, key: str) -> DataFrame:
     """Redelivered rows differ in ``received_at`` only, so any of them stands for the record."""
-    return rows.drop("received_at").dropDuplicates([key])
+    return spread(rows.drop("received_at"), key).dropDuplicates([key])
