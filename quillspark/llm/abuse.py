@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import lookalikes
-from quillspark.tables import cut, table
+from quillspark.tables import cut, parallel, table
 
 MOST_LABELS = 20_000
 #: The judged documents that are taken have at most so many characters together (a few hundred MB in the driver).
@@ -336,7 +336,7 @@ def scored(documents: DataFrame, model: tuple[np.ndarray, float, float]) -> Data
                 out[lo:hi] = worst_sentence(texts[lo:hi], weights, bias)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "score": out.round(6), "flagged": out >= threshold})
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, score double, flagged boolean")
+    return parallel(documents.select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, score double, flagged boolean")
 
 
 def _scored(spark, sf_dir: str) -> DataFrame:

@@ -501,8 +501,9 @@ def learned(blocks: DataFrame, heading_key, most_sent: int = MOST_SENT):
     got = tally.filter(F.col("kind") == _PAIRS).select("bucket", "n").toArrow()  # of fixed size
     pairs[got.column(0).to_numpy()] = got.column(1).to_numpy()
     words = tally.filter(F.col("kind") == _WORDS)
-    keyed = cut(words.groupBy("key").agg(F.sum("n").alias("n")))
-    total, single = keyed.agg(F.sum("n"), F.count_if(F.col("n") == 1)).first()
+    counts = cut(words.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("forms")))
+    total, single, forms = counts.agg(F.sum("n"), F.count_if(F.col("n") == 1), F.sum("forms")).first()
+    keyed = counts.select("key", "n")
     heads = tally.filter(F.col("kind") == _HEADING).select("key", "n")
     titles = heads.agg(F.sum("n")).first()[0] or 0
     # by definition, a usual heading makes up one in 4096 of all; there are fewer than that
@@ -510,7 +511,7 @@ def learned(blocks: DataFrame, heading_key, most_sent: int = MOST_SENT):
     model = Model(lm, _sketched(keyed), pairs, total or 0, single or 0, headings)
     first = spark.sparkContext.broadcast(model)
     # few bytes, much to do for each: as many tasks as the words ask for
-    n_tasks = max(spark.sparkContext.defaultParallelism, words.count() // 20_000)
+    n_tasks = max(spark.sparkContext.defaultParallelism, (forms or 0) // 20_000)
     vocabulary = cut(words.select("word", "key").join(keyed, "key").repartition(n_tasks, "word"))
     found, _ = suspects(vocabulary, keyed, first)
     found = cut(found)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.tables import SALTS, Hot, cut, table
+from quillspark.tables import SALTS, Hot, cut, parallel, table
 
 #: Words: runs of letters, marks and digits of any script.
 WORD = r"[\p{L}\p{M}\p{N}]+"
@@ -37,7 +37,7 @@ def canonical_key(text: Column, *within: Column) -> Column:
 
 
 def keyed(records: DataFrame, ident: str, text: str, within: list[str]) -> DataFrame:
-    return records.filter(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(
+    return parallel(records.filter(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(ident, text, *within)).select(
         F.col(ident).alias("id"), canonical_key(F.col(text), *(F.col(w) for w in within)).alias("key")
     )
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.tables import table
+from quillspark.tables import parallel, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The tokenizer's own way to split text before merging bytes (public, belongs to the vocabulary).
@@ -180,7 +180,7 @@ def encoded(documents: DataFrame, ident: str = "doc_id", text: str = "text", voc
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["ident", "ids"])
 
     kind = documents.schema[ident].dataType.simpleString()
-    return documents.select(ident, text).mapInArrow(run, f"ident {kind}, ids array<int>").withColumnRenamed("ident", ident)
+    return parallel(documents.select(ident, text)).mapInArrow(run, f"ident {kind}, ids array<int>").withColumnRenamed("ident", ident)
 
 
 def p7_ids(spark, sf_dir: str) -> DataFrame:

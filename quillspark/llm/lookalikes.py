@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import mojibake
-from quillspark.tables import table
+from quillspark.tables import spread, table
 
 # --- fixed values: letters that look like Latin ones, by script -----------------------------------------------------
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝӀ", "ABESIJKMHOPCTYXaeopcyxsijhdqwI"))
@@ -208,7 +208,8 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _values(frontmatter: DataFrame) -> DataFrame:
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS))).alias("v")
-    rows = frontmatter.filter(F.col("note_id").isNotNull()).select(F.col("note_id").alias("ident"), "doi", "title").dropDuplicates(["ident"])
+    rows = frontmatter.filter(F.col("note_id").isNotNull()).select(F.col("note_id").alias("ident"), "doi", "title")
+    rows = spread(rows, "ident").dropDuplicates(["ident"])
     return rows.select("ident", each).select("ident", "v.field", "v.value").filter(F.col("value").isNotNull())
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.language import _MIX, SIZES, WORD, Language, bucket, counted
-from quillspark.tables import table
+from quillspark.tables import spread, table
 
 #: (true, wrong) encodings. UTF-8 read in a single-byte encoding leaves sequences that no language writes; the others need
 #: the corpus to tell: a run may also be what it seems to be.
@@ -437,7 +437,8 @@ def suspects(batches: Iterator[pd.DataFrame], lm) -> Iterator[pd.DataFrame]:
 
 def restored(records: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, text, restored) of the damaged texts."""
-    texts = records.select(F.col(ident).alias("ident"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col("ident").isNotNull()).dropDuplicates(["ident"])
+    texts = records.select(F.col(ident).alias("ident"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & F.col("ident").isNotNull())
+    texts = spread(texts, "ident").dropDuplicates(["ident"])
     lm = records.sparkSession.sparkContext.broadcast(counted(texts.select("text"), clean))
     # plain ASCII cannot be damaged in a way that leaves a trace; all other texts are searched
     rows = texts.filter(F.col("text").rlike(r"[^\x00-\x7F]")).mapInPandas(lambda it: suspects(it, lm), f"ident {records.schema[ident].dataType.simpleString()}, text string, restored string")

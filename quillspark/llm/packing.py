@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.encoding import VOCABULARY, encoder
-from quillspark.tables import cut, table
+from quillspark.tables import cut, parallel, table
 
 #: containers made alike: how many, and how many items of each length in one
 Kind = tuple[int, tuple[tuple[int, int], ...]]
@@ -151,7 +151,7 @@ def _measured(documents: DataFrame, capacities: list[int], ident: str, text: str
             yield pa.RecordBatch.from_arrays(columns, ["part", "ident", "n", "ranks", "before"])
 
     kind = documents.schema[ident].dataType.simpleString()
-    return documents.select(ident, text).mapInArrow(run, f"part int, ident {kind}, n long, ranks array<long>, before array<long>")
+    return parallel(documents.select(ident, text)).mapInArrow(run, f"part int, ident {kind}, n long, ranks array<long>, before array<long>")
 
 
 def packed(documents: DataFrame, packs: list[tuple[str, int]], ident: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

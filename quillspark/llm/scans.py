@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import channel
 from quillspark.llm.channel import WORD, Candidate, Model
-from quillspark.tables import cut, once, table
+from quillspark.tables import cut, once, parallel, table
 
 #: Characters by which wrapped lines differ in length.
 RAGGED = 12
@@ -207,7 +207,7 @@ class Scanner:
 
 def _blocks(content: DataFrame) -> DataFrame:
     rows = content.filter(F.col("block_id").isNotNull() & F.col("content").isNotNull() & (F.coalesce("kind", F.lit("text")).isin("text", "title")))
-    return once(rows.select("block_id", "note_id", "page", "ord", "kind", "content"), "block_id")
+    return parallel(once(rows.select("block_id", "note_id", "page", "ord", "kind", "content"), "block_id"))
 
 
 def _heading_key(text: str) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import doi as D
-from quillspark.tables import cut, spread_join, table
+from quillspark.tables import cut, parallel, spread_join, table
 
 THRESHOLD = Fraction(85, 100)
 #: A set is small if it has at most this many subsets of the sizes that its possible partners ask for.
@@ -159,7 +159,7 @@ def similar_classes(distinct: DataFrame, t: Fraction = THRESHOLD, most: int = MO
 def note_sets(frontmatter: DataFrame) -> DataFrame:
     """DOI sets of the notes, one row per note."""
     keys = F.transform("reference", lambda x: D.key_of_entry(x))
-    return token_sets(frontmatter, "note_id", keys).dropDuplicates(["id"])
+    return token_sets(parallel(frontmatter.select("note_id", "reference")), "note_id", keys).dropDuplicates(["id"])
 
 
 def _membership(sets: DataFrame, distinct: DataFrame) -> DataFrame:
