@@ -32,6 +32,8 @@ MOST_LABELS = 20_000
 MOST_CHARS = 48_000_000
 #: N-grams below which a sentence is short.
 SHORT = 8
+#: Log odds of a sentence of which nothing is known.
+USUAL = -6.0
 BUCKETS, DIM = 1 << 18, 16
 #: Lengths of the n-grams; pairs only for scripts written without gaps.
 NGRAMS = (3, 5, 7)
@@ -215,8 +217,9 @@ def _sums(codes: np.ndarray, sentence: np.ndarray, starts: np.ndarray, weights:
 
 
 def _probability(total: np.ndarray, sizes: np.ndarray, bias: float) -> np.ndarray:
-    """Per sentence; the less there is of a short one, the nearer it stays to the bias. A sentence of no n-gram is nothing."""
-    z = total / np.maximum(sizes, SHORT) + bias
+    """Per sentence; the less there is of a short one, the nearer it stays to what is usual. A sentence of no n-gram is nothing."""
+    weight = np.minimum(sizes / SHORT, 1.0)
+    z = weight * (total / np.maximum(sizes, 1) + bias) + (1 - weight) * USUAL
     return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 

@@ -76,3 +76,9 @@ def test_operator(spark):
     assert sum(right) / len(right) > 0.97
     assert abuse.scored(documents.limit(0), model).count() == 0
     assert not any(r.flagged for r in abuse.scored(documents, abuse.fitted_model(documents, marks.limit(0))).collect())
+
+
+def test_short_sentences_are_scored():
+    weights, bias, threshold = abuse.train(*sample(500))
+    score = abuse.worst_sentence(["Moron!", "Ok", "p53", "Mice", "."], weights, bias)
+    assert score[0] >= threshold and (score[1:] < threshold).all()
