@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import doi as D
@@ -212,6 +212,18 @@ def frontmatter_split(spark, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", F.get_json_object("fm", "$.tags[0]").alias("tag"), F.get_json_object("fm", "$.title").isNotNull().alias("has_title"), "rest")
 
 
+def never_worked_on(fm: Column) -> Column:
+    """Whether front matter as JSON has neither aliases nor references; a key without a value is there."""
+    keys = F.coalesce(F.json_object_keys(fm), F.array().cast("array<string>"))
+    return ~F.array_contains(keys, "aliases") & ~F.array_contains(keys, "reference")
+
+
+def first_page_dois(pages: DataFrame) -> DataFrame:
+    """(path, doi): of ``pages(path, page, text)`` the first DOI of the first page that has a plausible one, canonical."""
+    found = pages.select("path", "page", F.get(D.plausible_dois(D.repair_text(F.col("text"))), F.lit(0)).alias("d")).filter("d IS NOT NULL")
+    return found.groupBy("path").agg(F.min_by("d", "page").alias("d")).select("path", D.canonical(F.col("d"))["doi"].alias("doi"))
+
+
 def first_time_branch(spark, sf_dir: str) -> DataFrame:
     """Notes that were never worked on: neither aliases nor references are there (an empty list is)."""
     return frontmatter(spark, sf_dir).groupBy((F.col("aliases").isNull() & F.col("reference").isNull()).alias("first_time")).agg(F.count("*").alias("n"))

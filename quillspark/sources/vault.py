@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +95,42 @@ def zip_members(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, member string, ord int, kind string, content binary")
 
 
+def _pdf_reader() -> Callable[[bytes], list[str]]:
+    """Page texts of a PDF by whichever library is installed."""
+    try:
+        import fitz
+
+        return lambda data: [page.get_text() for page in fitz.open(stream=data, filetype="pdf")]
+    except ImportError:
+        pass
+    try:
+        import pdfplumber
+
+        return lambda data: [page.extract_text() or "" for page in pdfplumber.open(io.BytesIO(data)).pages]
+    except ImportError:
+        raise RuntimeError("no library that reads PDFs is installed: give a reader, or start from a table of pages") from None
+
+
+def pdf_pages(spark: SparkSession, root: str, reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """(path, page, text) of the PDFs of a folder, pages from 0. ``reader`` makes page texts of a file's bytes; a file that it
+    cannot read has no rows. A file is read whole by one task."""
+    read = reader or _pdf_reader()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    pages = read(content)
+                except Exception:  # whatever a library raises for a broken file
+                    continue
+                rows += [(path, i, text) for i, text in enumerate(pages)]
+            yield pd.DataFrame(rows, columns=["path", "page", "text"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(root)
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
 def cached(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A lookup table kept as Parquet; empty if it is not there yet."""
     jvm = spark._jvm

@@ -258,3 +258,28 @@ def test_begun_paths(spark):
     asked = spark.createDataFrame([(10, "Alder_2002_Plasma_"), (11, "Alder_2002_Pl.md"), (12, "Bi"), (13, "Birc..."), (14, ".md"), (15, "irch"), (16, "Birch")], "note_id long, page string")
     got = {r.note_id: (r.found_id, r.priority) for r in vault.begun_paths(asked, notes).collect()}
     assert got == {10: (3, 3), 11: (3, 3), 13: (5, 3), 16: (5, 3)}
+
+
+def test_pdf_pages(spark, tmp_path):
+    """Pages by a reader that is given; broken files have no rows; the first page with a DOI decides."""
+    from quillspark.operators import texts
+
+    (tmp_path / "a.pdf").write_bytes(b"none here|see 10.1234/ab 1 and 10.1234/zz9|10.1234/q8")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_bytes(b"10.1234/c1")
+
+    def read(data):
+        if data == b"broken":
+            raise ValueError
+        return data.decode().split("|")
+
+    pages = sources.pdf_pages(spark, str(tmp_path), read)
+    assert sorted((r.path[-5:], r.page) for r in pages.collect()) == [("a.pdf", 0), ("a.pdf", 1), ("a.pdf", 2)]
+    assert [r.doi for r in texts.first_page_dois(pages).collect()] == ["10.1234/ab1"]
+
+
+def test_never_worked_on(spark):
+    from quillspark.operators import texts
+
+    df = spark.createDataFrame([('{"title": "x"}',), ('{"aliases": null}',), ('{"reference": []}',), ("{}",), (None,)], "fm string")
+    assert [r.x for r in df.select(texts.never_worked_on(F.col("fm")).alias("x")).collect()] == [True, False, False, True, True]
