@@ -207,7 +207,7 @@ class Scanner:
 
 def _blocks(content: DataFrame) -> DataFrame:
     rows = content.filter(F.col("block_id").isNotNull() & F.col("content").isNotNull() & (F.coalesce("kind", F.lit("text")).isin("text", "title")))
-    return parallel(once(rows.select("block_id", "note_id", "page", "ord", "kind", "content"), "block_id"))
+    return once(parallel(rows.select("block_id", "note_id", "page", "ord", "kind", "content")), "block_id")
 
 
 def _heading_key(text: str) -> str:
