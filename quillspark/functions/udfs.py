@@ -34,6 +34,23 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="object").astype(float)
 
 
+#: Below this bound on the similarity, the bound itself is taken.
+SCREEN = 0.7
+
+
+@F.pandas_udf(T.DoubleType())
+def screened_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """As :func:`similarity` where the bound by common characters reaches ``SCREEN``, else that bound."""
+    def one(x, y):
+        if x is None or y is None:
+            return None
+        m = difflib.SequenceMatcher(None, x.lower(), y.lower())
+        bound = m.quick_ratio()
+        return round(m.ratio() if bound >= SCREEN else bound, 6)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="object").astype(float)
+
+
 @F.pandas_udf(T.StringType())
 def front_matter_json(block: pd.Series) -> pd.Series:
     """A YAML block as JSON; what is broken or no mapping becomes an empty one."""

@@ -243,7 +243,7 @@ def title_verified(spark, sf_dir: str) -> DataFrame:
     asked = frontmatter(spark, sf_dir).filter("title IS NOT NULL").select("note_id", F.lower("title").alias("key")).join(headed, "note_id")
     hit = lookup(asked, "key", registry).filter("found IS NOT NULL")
     again = lookup(hit.withColumn("retry_key", F.lower("known_title")), "retry_key", registry.select(F.col("key").alias("retry_key"), F.col("found").alias("retry")))
-    alike = F.when(F.col("heading").isNull(), 1.0).otherwise(udfs.similarity("heading", "known_title"))
+    alike = F.when(F.col("heading").isNull(), 1.0).otherwise(udfs.screened_similarity("heading", "known_title"))
     return again.select("doc_id", "note_id", F.when(alike >= 0.5, F.col("found")).otherwise(F.coalesce("retry", "found")).alias("doi"))
 
 

@@ -240,7 +240,7 @@ def fuzzy_title(spark, sf_dir: str) -> DataFrame:
     """Notes whose title resembles the first heading of their document by at least a half."""
     docs = _documents(spark, sf_dir).filter("note_id IS NOT NULL").select("doc_id", "note_id", M.first_title(F.col("text"), F.lit(None).cast("string")).alias("heading")).filter("heading IS NOT NULL")
     rows = docs.join(frontmatter(spark, sf_dir).filter("title IS NOT NULL").select("note_id", "title"), "note_id")
-    return rows.withColumn("similarity", udfs.similarity("title", "heading")).filter("similarity >= 0.5").select("doc_id", "note_id", "similarity")
+    return rows.withColumn("similarity", udfs.screened_similarity("title", "heading")).filter("similarity >= 0.5").select("doc_id", "note_id", "similarity")
 
 
 QUERIES = {

@@ -185,3 +185,10 @@ def test_plain_links_and_blanks(spark, text, plain):
 
 def test_json_leaves():
     assert udfs.string_leaves('{"a": ["x", {"b": "y"}], "c": 1, "d": "z"}') == ["x", "y", "z"] and udfs.string_leaves("{") == udfs.string_leaves(None) == []
+
+
+def test_screened_similarity(spark):
+    rows = [("abcd", "abcd", 1.0), ("abcdef", "fedcba", 0.166667), ("abcdxxxx", "dcbayyyy", 0.5), (None, "a", None)]
+    df = spark.createDataFrame(rows, "a string, b string, want double")
+    got = [(r.got, r.want) for r in df.select("want", udfs.screened_similarity("a", "b").alias("got")).collect()]
+    assert got[0] == (1.0, 1.0) and got[1][0] < 0.5 and got[2] == (0.5, 0.5) and got[3] == (None, None)
