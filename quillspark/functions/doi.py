@@ -34,12 +34,12 @@ CITATION_DASHES = "‐‑–—―"
 
 def doi_all(text: Column) -> Column:
     """All DOIs of ``text`` in order, repeats kept (null for null)."""
-    return F.regexp_extract_all(text, F.lit(f"(?i)({DOI_PATTERN})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(DOI_PATTERN), F.lit(0))
 
 
 def doi_first(text: Column) -> Column:
     """The first DOI of ``text``; null if there is none."""
-    return F.nullif(F.regexp_extract(text, f"(?i){DOI_PATTERN}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, DOI_PATTERN, 0), F.lit(""))
 
 
 def is_plausible(doi: Column) -> Column:
@@ -122,12 +122,12 @@ def _safe_name(doi: Column) -> Column:
 def key_of_entry(raw: Column) -> Column:
     """Join key of the DOI a list entry carries: first DOI, stand-in slash read as slash, without the punctuation
     that follows it, in lower case; null if the entry carries none."""
-    found = F.regexp_extract(F.translate(raw, SLASH_STAND_IN, "/"), f"(?i){DOI_PATTERN}", 0)
-    end = F.when(F.contains(found, F.lit("(")), F.rtrim(found, F.lit(".;:/"))).otherwise(F.rtrim(found, F.lit(".;:/()")))
-    return F.nullif(F.lower(end), F.lit(""))
+    # no part is named twice: within a list nothing would keep it from being worked out twice
+    found = F.get(F.regexp_extract_all(F.translate(raw, SLASH_STAND_IN, "/"), F.lit(DOI_PATTERN), F.lit(0)), F.lit(0))
+    return F.lower(F.regexp_replace(found, r"^([^(]*?)[.;:/)]+$|[.;:/]+$", "$1"))
 
 
 def doi_from_doi_line(text: Column) -> Column:
     """Canonical DOI of the first line that begins with ``doi:`` and holds one."""
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(r"(?i)^\s*doi:") & x.rlike(f"(?i){DOI_PATTERN}"))
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: x.rlike(r"(?i)^\s*doi:") & x.rlike(DOI_PATTERN))
     return canonical(doi_first(F.get(lines, F.lit(0))))["doi"]

@@ -192,3 +192,18 @@ def test_screened_similarity(spark):
     df = spark.createDataFrame(rows, "a string, b string, want double")
     got = [(r.got, r.want) for r in df.select("want", udfs.screened_similarity("a", "b").alias("got")).collect()]
     assert got[0] == (1.0, 1.0) and got[1][0] < 0.5 and got[2] == (0.5, 0.5) and got[3] == (None, None)
+
+
+def test_key_of_entry_equals_plain_python(spark):
+    import random
+    import re
+
+    def plain(raw):
+        m = re.search(r"10\.\d{4,9}/[-A-Za-z0-9._;()/:]+", raw.replace("￥", "/"))
+        return (m.group().rstrip(".;:/" if "(" in m.group() else ".;:/()").lower() or None) if m else None
+
+    rng = random.Random(4)
+    rows = ["10.1234/ab).", "10.1234/S0(99)1.", "10.1234/a(b).", "10.1234/x(", "10.1234￥A;:", "no", "", "10.12/x", "10.1234/((", "x 10.1234/a) 10.5678/b"]
+    rows += ["[[10.1234/" + "".join(rng.choice("aB1.;:/()") for _ in range(rng.randrange(1, 9))) + rng.choice([" x", "]]", ""]) for _ in range(300)]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").select("i", D.key_of_entry(F.col("r")).alias("k")).orderBy("i").collect()
+    assert [r.k for r in got] == [plain(r) for r in rows]
