@@ -10,7 +10,8 @@ Only what decides about words with candidates is sent out: as one table while it
 broadcast and the others by a join with the blocks they stand in. What is sent out besides has a fixed size: hashed
 characters, word pairs and a count-min sketch of the words.
 
-All tests compare probabilities, so a corpus told twice gives the same result.
+Decisions compare probabilities, so they do not move with the size of the corpus; absolute numbers stand only where little is
+known (a word is known from its second occurrence on, its own occurrence is no evidence for it).
 """
 
 from __future__ import annotations
